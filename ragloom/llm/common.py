@@ -51,6 +51,13 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return out
 
 
+def filesystem(path: str):
+    """The file system of a path or URI, and the path within it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables of :func:`written` that no later plan reads."""
     for df in tables:
@@ -88,3 +95,39 @@ def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
         yield text[at:cut]
         at = cut + 1
     yield text[at:]
+
+
+def with_results(docs: DataFrame, text_col: str, keep: list[str], compute: Callable[..., list[pa.Array]], fields: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row ``row, text, out`` for each row of ``docs``.
+
+    ``row`` is a struct of the columns ``keep`` but the text's own, ``text`` is the text if it is kept and
+    else null, ``out`` is a struct of ``fields``. So names of columns never clash. ``compute`` gets the
+    texts of a batch as bytes (null: empty) and lists of the columns ``extra``, and returns an array for each field.
+    """
+    others = [c for c in keep if c != text_col]
+    kept = text_col in keep
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(1)
+            texts = [t or b"" for t in text.cast(pa.binary()).to_pylist()]
+            found = compute(texts, *(batch.column(2 + k).to_pylist() for k in range(len(extra))))
+            out = pa.StructArray.from_arrays(found, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), text if kept else pa.nulls(len(text), pa.string()), out], ["row", "text", "out"])
+
+    from pyspark.sql import types as T
+
+    parsed = T._parse_datatype_string(fields)
+    names = parsed.names
+    source = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in others), F.lit(True).alias("_present")).alias("row"),
+        F.col(text_col).cast("string").alias("text"),
+        *(F.col(c) for c in extra),
+    )
+    schema = T.StructType([source.schema["row"], T.StructField("text", T.StringType()), T.StructField("out", parsed)])
+    return source.mapInArrow(each, schema)
+
+
+def restored(docs: DataFrame, text_col: str) -> list:
+    """The columns of ``docs``, in order, from rows of :func:`with_results` that kept them all."""
+    return [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
