@@ -16,10 +16,12 @@ import numpy as np
 
 REMEMBERED_UNITS = 700_000
 REMEMBERED_CHARS = 48
+UNITS_PER_CALL = 512
 SLICE_CHARS = 1 << 20
 
 #: A space before something other than an ordinary visible character: there the plain cut would not do.
 _ODD_SPACE = re.compile(" [^!-~¡-ɏ]| \\Z|\\A ")
+_ODD_ASCII = [" " + c for c in (" ", *map(chr, range(9, 14)), *map(chr, range(28, 32)))]
 _ODD_START = re.compile("[^!-~¡-ɏ]|\\Z")
 _CUT = re.compile("(?= [!-~¡-ɏ])")
 
@@ -40,11 +42,13 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
         self.begins = np.zeros(self.library.get_vocab_size(), bool)
         self.begins[[i for piece, i in self.library.get_vocab().items() if piece.startswith("Ġ")]] = True
+        self.marks = {m: array("i", self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ",.;:!?"}
         self.units: dict[str, bytes] = {}
 
     def _parts(self, text: str):
         """Lists of units of ``text``, in order. A unit is with the space before it, but for the very first."""
-        if not _ODD_SPACE.search(text):
+        odd = any(o in text for o in _ODD_ASCII) or text[:1] == " " or text[-1:] == " " if text.isascii() else _ODD_SPACE.search(text)
+        if not odd:
             if len(text) <= SLICE_CHARS:
                 first, *rest = text.split(" ")
                 yield first, rest
@@ -66,43 +70,74 @@ class Encoder:
             else:
                 yield unit, []
 
+    def _call(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of units, each with a space before it, from the library."""
+        new: dict[str, bytes] = {}
+        plain = [u for u in units if " " not in u and not self.special.search(u) and not _ODD_START.match(u)]
+        for i in range(0, len(plain), UNITS_PER_CALL):  # one call for many units; a token that begins with the space begins each
+            some = plain[i : i + UNITS_PER_CALL]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            packed, starts = ids.tobytes(), (4 * np.flatnonzero(self.begins[ids])).tolist()
+            starts.append(len(packed))
+            if len(starts) != len(some) + 1:
+                raise ValueError("the vocabulary joins units across a space")
+            new.update(zip(some, [packed[a:b] for a, b in zip(starts, starts[1:])]))
+        if len(plain) < len(units):
+            odd = [u for u in units if u not in new]
+            found = self.library.encode_batch_fast([" " + u for u in odd], add_special_tokens=False)
+            new.update((u, array("i", e.ids).tobytes()) for u, e in zip(odd, found, strict=True))
+        return new
+
+    def _learn(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of units that are not known. A last comma or the like after a letter is a pre-token of its own."""
+        known, stems, whole = self.units, {}, []
+        for u in units:
+            if u[-1:] in self.marks and "A" <= u[-2:-1] <= "ɏ" and u[-2].isalpha():
+                stems[u] = u[:-1]
+            else:
+                whole.append(u)
+        new = self._call(list({*whole, *(s for s in stems.values() if s not in known)}))
+        for u, stem in stems.items():
+            new[u] = (known.get(stem) or new[stem]) + self.marks[u[-1]]
+        return new
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         if len(self.units) > REMEMBERED_UNITS:
             self.units = {}
         known = self.units
-        parts = [list(self._parts(t)) for t in texts]
-        missing: set[str] = set()
-        for one in parts:
-            for _, rest in one:
-                missing.update(rest)
-        missing = missing.difference(known)
-        new = {}
-        if missing:
-            order = list(missing)
-            plain = [u for u in order if " " not in u and not self.special.search(u) and not _ODD_START.match(u)]
-            for i in range(0, len(plain), 4096):  # one call for many units; a token that begins with the space begins each
-                some = plain[i : i + 4096]
-                ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int32)
-                packed, starts = ids.tobytes(), (4 * np.flatnonzero(self.begins[ids])).tolist()
-                new.update((u, packed[a:b]) for u, a, b in zip(some, starts, [*starts[1:], len(packed)], strict=True))
-            odd = [u for u in order if u not in new]
-            found = self.library.encode_batch_fast([" " + u for u in odd], add_special_tokens=False) if odd else []
-            new.update((u, array("i", e.ids).tobytes()) for u, e in zip(odd, found, strict=True))
-            known.update(new)
-        firsts = [first for one in parts for first, _ in one if first]
+        units: list[str] = []
+        layout: list[list[tuple[str, int]]] = []  # of each text: a first unit without space, and where the units after it end
+        for text in texts:
+            parts = []
+            for first, rest in self._parts(text):
+                units += rest
+                parts.append((first, len(units)))
+            layout.append(parts)
+        values = list(map(known.get, units))
+        gaps = [i for i, v in enumerate(values) if v is None]
+        if gaps:
+            new = self._learn({units[i] for i in gaps})
+            for i in gaps:
+                values[i] = new[units[i]]
+            known.update(new if max(map(len, new)) <= REMEMBERED_CHARS else {u: v for u, v in new.items() if len(u) <= REMEMBERED_CHARS})
+        firsts = [first for parts in layout for first, _ in parts if first]
         heads = iter(self.library.encode_batch_fast(firsts, add_special_tokens=False) if firsts else [])
-        out = []
-        for one in parts:
-            pieces = []
-            for first, rest in one:
-                if first:
-                    pieces.append(array("i", next(heads).ids).tobytes())
-                pieces.extend(map(known.__getitem__, rest))
-            out.append(b"".join(pieces))
-        for u in new:
-            if len(u) > REMEMBERED_CHARS:
-                del known[u]
+        out, at = [], 0
+        for parts in layout:
+            if len(parts) == 1:
+                first, end = parts[0]
+                body = b"".join(values[at:end])
+                out.append(array("i", next(heads).ids).tobytes() + body if first else body)
+            else:
+                pieces = []
+                for first, end in parts:
+                    if first:
+                        pieces.append(array("i", next(heads).ids).tobytes())
+                    pieces += values[at:end]
+                    at = end
+                out.append(b"".join(pieces))
+            at = parts[-1][1]
         return out
 
 
