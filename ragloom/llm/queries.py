@@ -9,7 +9,7 @@ from . import decontamination, quality, toxicity, url_lists, warc
 from .common import new_path, table
 from .packing import pack_documents
 from .token_counts import count_tokens
-from .token_files import digests, read_tokens, write_tokens
+from .token_files import digests, write_tokens
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +23,7 @@ def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "token-files")
-    write_tokens(table(spark, sf_dir, "documents"), path)
-    return digests(read_tokens(spark, path))
+    return digests(write_tokens(table(spark, sf_dir, "documents"), new_path(spark, "token-files")))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,37 +1,30 @@
 """Token ids in Parquet files that allow selective reads of ids and of metadata.
 
-A row holds one document: ``shard, shard_start, doc_id, n_tokens, ids``. Rows are in
-ascending document order over the shards and within them. ``ids`` is a list column with
-dictionary encoding; the other columns are delta encoded (writer version 2, no dictionary).
-Row groups and pages are small enough, and their indexes are written, so that a filter on
-``doc_id`` reads few pages, and a query of the metadata never touches the ids.
+A row holds one document: ``doc_id, shard_start, n_tokens, ids``. Rows are in ascending
+document order over the shards and within them. ``ids`` is a list column with dictionary encoding; the
+other columns are delta encoded. Row groups hold about :data:`GROUP_IDS` ids and pages
+:data:`PAGE_BYTES` bytes, and page indexes are written, so that a range of documents reads few pages, and a query of
+the metadata never touches the ids. A manifest names the file of each shard with its numbers of rows and ids.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_units import encoder, groups
+from .common import filesystem, written
 
-#: Options of the files. Sizes are in bytes.
-FILE_OPTIONS = {
-    "compression": "zstd",
-    "parquet.writer.version": "PARQUET_2_0",
-    "parquet.enable.dictionary": "false",
-    "parquet.enable.dictionary#ids.list.element": "true",
-    "parquet.dictionary.page.size": str(1 << 20),
-    "parquet.block.size": str(32 << 20),
-    "parquet.page.size": str(256 << 10),
-    "parquet.page.row.count.limit": "2000",
-}
-FILE_SCHEMA = "shard int, shard_start long, doc_id {kind}, n_tokens long, ids array<int>"
+GROUP_IDS, PAGE_BYTES = 8 << 20, 256 << 10
+MANIFEST = "shard int, file string, n_rows long, n_tokens long"
 
 
 def _list_array(packed: list[bytes]) -> pa.Array:
@@ -40,59 +33,112 @@ def _list_array(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the ids of each text, then ``end_id``, to ``path``.
+def _writer(file, schema: pa.Schema):
+    import pyarrow.parquet as pq
+
+    delta = {c: "DELTA_BINARY_PACKED" for c in schema.names if pa.types.is_integer(schema.field(c).type)}
+    return pq.ParquetWriter(file, schema, compression="zstd", compression_level=1, version="2.6", data_page_version="2.0", use_dictionary=["ids.list.element"], column_encoding=delta, write_page_index=True, data_page_size=PAGE_BYTES)
+
+
+def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the ids of each text, then ``end_id``, to files in ``path``; returns the manifest, a table.
 
     A null text is empty and so has the end id alone. Rows with equal ids stand next to
     each other, ordered by text; null ids come first. Other columns are
-    ignored. An empty table gives files without rows.
+    ignored. An empty table gives an empty manifest. A task that is run again writes another file; the
+    manifest names the one that counts. ``before`` in the manifest is the number of ids in the shards before.
     """
     vocabulary_path = public_tokenizers.path(vocabulary)
     end = int(end_id).to_bytes(4, "little")
 
-    def each(batches):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        shard, start, tokens = context.partitionId() if context else 0, 0, encoder(vocabulary_path)
+        shard, start, rows, tokens = context.partitionId() if context else 0, 0, 0, encoder(vocabulary_path)
+        writer = file = None
+        held: list[pa.RecordBatch] = []
+        name = f"part-{shard:06d}-{uuid.uuid4().hex}.parquet"
+
+        def flush() -> None:
+            nonlocal writer, file
+            if writer is None:
+                system, inner = filesystem(path)
+                system.create_dir(inner, recursive=True)
+                file = system.open_output_stream(f"{inner}/{name}")
+                writer = _writer(file, held[0].schema)
+            writer.write_table(pa.Table.from_batches(held), row_group_size=1 << 30)
+            held.clear()
+
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in groups(texts):
                 packed = [p + end for p in tokens.encode(["" if t is None else t for t in texts[i:j]])]
                 n = np.array([len(p) // 4 for p in packed], np.int64)
-                starts = start + np.cumsum(n) - n
-                start += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, shard, np.int32)), pa.array(starts), batch.column(0).slice(i, j - i), pa.array(n), _list_array(packed)], ["shard", "shard_start", "doc_id", "n_tokens", "ids"])
+                held.append(pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(start + np.cumsum(n) - n), pa.array(n), _list_array(packed)], ["doc_id", "shard_start", "n_tokens", "ids"]))
+                start, rows = start + int(n.sum()), rows + j - i
+                if sum(len(h.column(3).values) for h in held) >= GROUP_IDS:
+                    flush()
+        if held:
+            flush()
+        if writer is not None:
+            writer.close()
+            file.close()
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{path}/{name}"]), pa.array([rows], pa.int64()), pa.array([start], pa.int64())], ["shard", "file", "n_rows", "n_tokens"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(each, FILE_SCHEMA.format(kind=kind)).write.options(**FILE_OPTIONS).parquet(path)
+    manifest = written(ordered.mapInArrow(each, MANIFEST), "token-manifest")
+    # one row for each shard, so the window without partitions is over few rows
+    before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    return manifest.withColumn("before", F.coalesce(before, F.lit(0)))
+
+
+def _tables(batches: Iterator[pa.RecordBatch], columns: list[str], low: int | None, high: int | None) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Row groups of the files that manifest rows name, with the ids before the file; only the pages of ``columns`` are read."""
+    import pyarrow.parquet as pq
 
+    for batch in batches:
+        for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            system, inner = filesystem(path)
+            with system.open_input_file(inner) as source, pq.ParquetFile(source) as file:
+                for g in range(file.num_row_groups):
+                    stats = file.metadata.row_group(g).column(0).statistics
+                    if stats and stats.has_min_max and ((low is not None and stats.max < low) or (high is not None and stats.min > high)):
+                        continue
+                    for part in file.iter_batches(batch_size=8192, row_groups=[g], columns=columns):
+                        if low is not None or high is not None:
+                            ids = part.column(0).to_numpy(zero_copy_only=False)
+                            part = part.filter(pa.array((ids >= (low if low is not None else ids.min(initial=0))) & (ids <= (high if high is not None else ids.max(initial=0)))))
+                        yield before, part
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the files, with ``start``: the number of ids of all documents before.
 
-    Offsets of the shards come from their totals, which takes the small metadata columns only;
-    there are as many as partitions were written.
+def _over_files(manifest: DataFrame, function, schema: str) -> DataFrame:
+    files = max(1, manifest.count())
+    return manifest.select("file", "before").repartition(files, "file").mapInArrow(function, schema)
+
+
+def read_tokens(manifest: DataFrame, kind: str = "long", with_ids: bool = True, low: int | None = None, high: int | None = None) -> DataFrame:
+    """``doc_id, start, n_tokens[, ids]`` of the files of ``manifest``; documents from ``low`` to ``high`` if these are given.
+
+    ``start`` is the number of ids of all documents before.
     """
-    files = spark.read.parquet(path)
-    totals = sorted((r[0], r[1]) for r in files.groupBy("shard").agg(F.sum("n_tokens")).collect())
-    before, rows = 0, []
-    for shard, n in totals:
-        rows.append((shard, before))
-        before += n
-    offsets = spark.createDataFrame(rows, "shard int, _before long")
-    return files.join(F.broadcast(offsets), "shard").withColumn("start", F.col("_before") + F.col("shard_start")).drop("_before")
+    columns = ["doc_id", "shard_start", "n_tokens", *["ids"] * with_ids]
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for before, part in _tables(batches, [c if c != "ids" else "ids.list.element" for c in columns], low, high):
+            start = pa.array(part.column(1).to_numpy() + before)
+            yield pa.RecordBatch.from_arrays([part.column(0), start, part.column(2), *[part.column(3)] * with_ids], ["doc_id", "start", *columns[2:]])
 
-def digests(tokens: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of rows of :func:`read_tokens`, from the ids that were read."""
+    return _over_files(manifest, each, f"doc_id {kind}, start long, n_tokens long" + ", ids array<int>" * with_ids)
 
-    def each(batches):
-        for batch in batches:
-            ids = batch.column(2)
+
+def digests(manifest: DataFrame, kind: str = "long") -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of the files, from the ids that are read."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for before, part in _tables(batches, ["doc_id", "shard_start", "ids.list.element"], None, None):
+            ids = part.column(2)
             at, data = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
             raw = memoryview(np.ascontiguousarray(data, "<i4")).cast("B")
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(part.column(1).to_numpy() + before), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "start", "ids").mapInArrow(each, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return _over_files(manifest, each, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
