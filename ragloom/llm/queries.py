@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality, toxicity, url_lists, warc
+from . import decontamination, html_extraction, jaccard_join, quality, toxicity, url_lists, warc
 from .common import new_path, table
 from .packing import pack_documents
 from .token_counts import count_tokens
@@ -22,6 +22,10 @@ def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.evaluate(captures, url_lists.demo_entries(pages))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(write_tokens(table(spark, sf_dir, "documents"), new_path(spark, "token-files")))
 
@@ -38,6 +42,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extraction.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("row.page_id", "row.url", F.col("out.main").alias("text"), F.length("out.main").cast("long").alias("n_chars"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     counts = [f"out.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -63,7 +72,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_url_lists, op4_token_files, op5_decontamination, op7_quality_rules, op8_toxicity, op9_warc, op10_best_fit_packing)
+    for f in (op1_token_counts, op2_url_lists, op3_jaccard_join, op4_token_files, op5_decontamination, op6_html_extraction, op7_quality_rules, op8_toxicity, op9_warc, op10_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
