@@ -29,10 +29,7 @@ def _most_equal(values: Column) -> Column:
 
 
 def _contains(text: Column, values: list[str]) -> Column:
-    found = F.lit(False)
-    for v in values:
-        found = found | text.contains(v)
-    return found
+    return text.rlike("|".join(values))
 
 
 def _count(text: Column, pattern: str) -> Column:

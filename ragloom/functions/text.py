@@ -6,12 +6,18 @@ Null texts give null unless a docstring says otherwise.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed a single time however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str]:
     """Letters that have a base letter in the Basic Multilingual Plane, after lower-casing, and these base letters."""
@@ -62,9 +68,10 @@ def useful_line(line: Column) -> Column:
 def clean_lines(text: Column, repeats: int = 2) -> Column:
     """Useful lines joined by LF, each at most ``repeats`` times by its folded form. Null gives an empty text."""
     kept = F.filter(F.transform(lines(F.coalesce(text, F.lit(""))), trim_space), useful_line)
-    keyed = F.transform(kept, lambda line: F.struct(line.alias("line"), fold(line).alias("key")))
-    chosen = F.filter(keyed, lambda x, i: F.size(F.filter(F.slice(keyed, F.lit(1), i), lambda before: before["key"] == x["key"])) < repeats)
-    return F.array_join(F.transform(chosen, lambda x: x["line"]), "\n")
+    keyed = F.array_sort(F.transform(kept, lambda line, i: F.struct(fold(line).alias("key"), i.alias("at"), line.alias("line"))))
+    # in the order of the folded lines, a line is one too many if the line ``repeats`` places before it is equal
+    chosen = once(keyed, lambda s: F.filter(s, lambda x, i: (i < repeats) | (F.get(s, i - repeats)["key"] != x["key"])))
+    return F.array_join(F.transform(F.array_sort(F.transform(chosen, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line")))), lambda x: x["line"]), "\n")
 
 
 def truncate_at_space(text: Column, most: int | Column) -> Column:
@@ -110,10 +117,7 @@ def person_name(text: Column) -> Column:
 
     The question may end in "is what" or a question mark, but only one of these is left out.
     """
-    folded = fold(text)
-    asked = F.lit(False)
-    for word in ("email", "mail", "thu dien tu", "cua ai", "la ai"):
-        asked = asked | folded.contains(word)
+    asked = fold(text).rlike("email|mail|thu dien tu|cua ai|la ai")
     tail = r"\s+(.+?)(?:\s+(?:là|la)\s+gì|[?？])?$"
     mail = F.regexp_extract(text, r"(?iu)(?:email|mail|thư điện tử)\s+(?:của|cua)" + tail, 1)
     anyone = trim_space(F.regexp_extract(text, r"(?iu)(?:của|cua)" + tail, 1))
