@@ -23,7 +23,7 @@ BEGINNING = 4
 #: Labelled rows that the machine is fitted on: those with the smallest hash of their id.
 TRAINING_ROWS = 12_000
 #: Texts that a term must be in to get a weight, and its least chi-square against the label.
-LEAST_TEXTS, LEAST_CHI2 = 3, 12.0
+LEAST_TEXTS, LEAST_CHI2 = 3, 8.0
 FACTORS, EPOCHS, RATE, SHRINK = 8, 12, 0.1, 1e-5
 THRESHOLD = 0.3
 REMEMBERED_WORDS = 400_000
