@@ -151,16 +151,18 @@ def chunks(text: Column, size: int = 600, overlap: int = 100) -> Column:
     def step(acc: Column, _: Column) -> Column:
         at = acc["at"]
         target = F.least(F.lit(size), n - at)
-        last = at + target >= n
         tail = F.substring(text, at + target - overlap + 1, F.lit(overlap)) if overlap else F.lit("")
-        back = F.instr(F.reverse(tail), " ")
-        cut = at + target - back
-        usable = ~last & (back > 0) & (cut > at) & (cut - at >= overlap + least)
-        taken = F.when(usable, cut - at).otherwise(target)
-        piece = trim_space(F.substring(text, at + 1, taken))
-        out = F.when(piece == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(piece)))
-        moved = F.struct((at + F.greatest(taken - overlap, F.lit(least))).alias("at"), (at + taken >= n).alias("done"), out.alias("out"))
-        return F.when(acc["done"], acc).otherwise(moved)
+
+        def length(back: Column) -> Column:  # ``back``: place of the last space, counted from the window's end
+            cut = target - back
+            usable = (at + target < n) & (back > 0) & (cut > 0) & (cut >= overlap + least)
+            return F.when(usable, cut).otherwise(target)
+
+        def moved(taken: Column) -> Column:
+            piece = F.filter(F.array(trim_space(F.substring(text, at + 1, taken))), lambda p: p != "")
+            return F.struct((at + F.greatest(taken - overlap, F.lit(least))).alias("at"), (at + taken >= n).alias("done"), F.concat(acc["out"], piece).alias("out"))
+
+        return F.when(acc["done"], acc).otherwise(once(once(F.instr(F.reverse(tail), " "), length), moved))
 
     rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / least).cast("int")))
     folded = F.aggregate(rounds, state, step, lambda acc: acc["out"])

@@ -1,0 +1,248 @@
+"""Search, expansion, context, changes, streams and files."""
+
+import datetime
+import io
+import json
+import zipfile
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ragloom.functions.embedding import embed, hashed
+from ragloom.operators import chunking, context, corpus, expansion, search
+from ragloom.sources import files as sources
+from ragloom.streaming import files
+
+
+def chunk_rows(spark, rows):
+    made = spark.createDataFrame([(f"c{i}", i, t, json.dumps(m, ensure_ascii=False), v) for i, (t, m, v) in enumerate(rows)], corpus.SCHEMA)
+    return corpus.hoisted(made)
+
+
+@pytest.fixture(scope="module")
+def chunks(spark):
+    return chunk_rows(
+        spark,
+        [
+            ("Bước 1: mở tờ trình", {"source": "a", "page": 1, "content_kind": "instruction_text"}, [1.0, 0.0]),
+            ("tìm kiếm hồ sơ 123456", {"source": "a", "page": 2, "content_kind": "image_ui_description"}, [0.6, 0.8]),
+            ("tờ trình nghiệp vụ", {"source": "b", "slide": 3, "content_kind": "instruction_text"}, [0.0, 1.0]),
+            ("số 91234567", {"source": "b", "content_kind": "image_ui_description"}, None),
+            ("không liên quan", {"source": None}, [-1.0, 0.0]),
+        ],
+    )
+
+
+def test_hybrid_search(spark, chunks):
+    queries = spark.createDataFrame([(1, "tờ trình", [1.0, 0.0]), (2, "123456", [0.0, 0.0])], "query_id int, text string, embedding array<float>")
+    rows = search.hybrid(chunks, queries, top_k=5).collect()
+    first = {r.query_id: r for r in rows if r["rank"] == 1}
+    assert first[1].id == "c0" and first[2].id in ("c1", "c3") and first[2].score > 10_000
+    assert {r.id for r in rows if r.query_id == 2 and r.score > 10_000} == {"c1", "c3"}  # anywhere in the text
+    one = next(r for r in rows if r.query_id == 1 and r.id == "c1")
+    assert one.score == pytest.approx(1 / (60 + 2) + 1 / (60 + 9999), abs=1e-9) and one.distance == pytest.approx(0.4, abs=1e-6)
+    only = search.hybrid(chunks, queries, top_k=5, keywords=False).filter("query_id = 1 and id = 'c1'").first()
+    assert only.score == pytest.approx(1 / 62, abs=1e-9)
+    assert {r.id for r in search.hybrid(chunks, queries, top_k=5, kind="instruction_text").collect()} == {"c0", "c2"}
+    assert search.clamp_top_k(0) == 1 and search.clamp_top_k(500) == 50
+
+
+def test_queries_in_blocks(spark, chunks, monkeypatch):
+    queries = spark.createDataFrame([(i, "tờ trình 123456", [1.0, float(i)]) for i in range(9)], "query_id int, text string, embedding array<float>")
+    whole = sorted(map(tuple, search.hybrid(chunks, queries).collect()))
+    monkeypatch.setattr(search, "QUERIES_PER_BLOCK", 2)
+    assert sorted(map(tuple, search.hybrid(chunks, queries).collect())) == whole
+
+
+def test_bm25_by_hand(spark):
+    docs = chunk_rows(spark, [("a a b", {}, None), ("b c", {}, None), ("c", {}, None)])
+    queries = spark.createDataFrame([(1, "A a b")], "query_id int, text string")
+    scores = {r.id: r.score for r in search.bm25(docs, queries).collect()}
+    idf = lambda df: np.log(1 + (3 - df + 0.5) / (df + 0.5))
+    part = lambda tf, dl: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / 2))
+    assert scores == {"c0": pytest.approx(idf(1) * part(2, 3) + idf(2) * part(1, 3), abs=1e-6), "c1": pytest.approx(idf(2) * part(1, 2), abs=1e-6)}
+
+
+def test_related_and_citations(spark, chunks):
+    hits = chunks.filter("id in ('c0', 'c3', 'c4')").withColumn("query_id", F.lit(7)).withColumn("rank", F.col("row_seq"))
+    assert {r.id for r in expansion.related(chunks, hits, "image_ui_description", 10).collect()} == {"c3"}  # c3 has no place: its whole source
+    assert [(r.source, r.page, r.id) for r in expansion.citations(hits).orderBy("rank").collect()] == [("a", "1", "c0"), ("b", None, "c3"), (None, None, "c4")]
+    same = chunk_rows(spark, [("x", {"source": "s", "page": 1, "content_kind": "instruction_text"}, None), ("y", {"source": "s", "page": 1, "content_kind": "image_ui_description"}, None), ("z", {"source": "s", "page": 2, "content_kind": "image_ui_description"}, None)])
+    hit = same.filter("id = 'c0'").withColumn("query_id", F.lit(1)).withColumn("rank", F.lit(1))
+    assert [r.id for r in expansion.related(same, hit, "image_ui_description", 5).collect()] == ["c1"]
+
+
+def test_procedures_by_former_name(spark):
+    meta = {"content_kind": "instruction_text", "instruction_role": "procedure_steps", "source": "s"}
+    rows = chunk_rows(spark, [("a", {**meta, "action_kind": "phe_duyet", "slide": 10}, None), ("b", {**meta, "action_kind": "duyet", "slide": 9}, None), ("c", {**meta, "action_kind": "in"}, None), ("d", {**meta, "action_kind": "duyet"}, None)])
+    wanted = spark.createDataFrame([(1, "duyet", ["s", "S", None, ""])], "query_id int, action string, sources array<string>")
+    assert [r.id for r in expansion.procedures(rows, wanted).orderBy("position").collect()] == ["c3", "c1", "c0"]
+
+
+def test_rerank_drops_other_actions(spark):
+    meta = {"content_kind": "instruction_text", "source": "s"}
+    rows = chunk_rows(spark, [("x", {**meta, "action_kind": "in"}, None), ("y", {**meta, "action_kind": "duyet"}, None), ("z", {**meta, "action_kind": "phe_duyet", "instruction_role": "procedure_steps"}, None), ("w", meta, None)])
+    questions = spark.createDataFrame([(1, "cách duyệt hồ sơ"), (2, "phê duyệt màn hình"), (3, "xin hỏi")], "query_id int, text string")
+    hits = rows.withColumn("rank", F.col("row_seq")).crossJoin(questions.select("query_id"))
+    of = {q: [r.id for r in expansion.rerank(hits, questions).filter(f"query_id = {q}").orderBy("place").collect()] for q in (1, 2, 3)}
+    assert of == {1: ["c2", "c1", "c3"], 2: ["c2", "c1", "c3", "c0"], 3: ["c0", "c1", "c2", "c3"]}
+
+
+def test_append_and_fallback(spark):
+    base = spark.createDataFrame([(1, 1, "a", "Tờ trình"), (1, 2, "b", "khác")], "query_id int, position int, id string, document string")
+    more = spark.createDataFrame([(1, 1, "c", "to  TRINH"), (1, 2, "d", "mới"), (1, 3, "e", " "), (1, 4, "f", "MOI")], base.schema)
+    assert [r.id for r in expansion.append_new(base, more).orderBy("place").collect()] == ["a", "b", "d"]
+    one, two = base.filter("query_id = 2"), base.unionAll(base.withColumn("query_id", F.lit(2)))
+    assert expansion.with_fallback(base, two).groupBy("query_id").count().count() == 2 and expansion.with_fallback(one, base).count() == 2
+
+
+def line_chunk(names, **meta):
+    return {"document": "\n".join(names), "content_kind": "instruction_text", **meta}
+
+
+def test_context_rules():
+    seven = [f"dòng số {i}" for i in range(7)]
+    assert context.assemble([line_chunk(seven[:3]), line_chunk(seven[:3][::-1])], "General")[1] == [0, 1]  # too few lines to compare
+    two = [line_chunk(["a1", "b1", "c1", "d1"]), line_chunk(["d1", "c1", "b1", "a1"])]
+    assert context.assemble(two, "General")[1] == [0]
+    assert context.assemble([two[0], {**two[1], "slide_title": "T"}], "General")[1] == [0, 1]
+    assert context.assemble([line_chunk(seven), line_chunk([*seven[:6], "khác hẳn"])], "General")[1] == [0]
+    text, used = context.assemble([line_chunk([f"chunk {i} " + "x" * 930]) for i in range(20)], "General")
+    assert len(text) <= 18000 and used == list(range(len(used))) and len(used) < 20
+    text, used = context.assemble([line_chunk([f"w{i} " + "y" * 1950]) for i in range(12)] + [line_chunk(["small"])], "General")
+    assert len(text) <= 18000 and 12 in used
+    text, _ = context.assemble([{"document": "pic", "content_kind": "image_ui_description", "source": "s", "page": "3"}, {"document": "words", "content_kind": "instruction_text"}, {"document": "old"}], "UiLocation")
+    assert text == "=== MO TA TRUC QUAN GIAO DIEN TU ANH ===\n\n[ĐOẠN 1 - s, page 3]\npic\n\n---\n\n=== VAN BAN HUONG DAN THAO TAC ===\n\n[ĐOẠN 2 - unknown source]\nwords\n\n---\n\n[ĐOẠN 3 - unknown source]\nold"
+
+
+def test_upsert_and_delete(spark):
+    rows = lambda *r: spark.createDataFrame([(*x[:3], None, x[3]) for x in r], "id string, document string, metadata string, embedding array<float>, position int")
+    first = corpus.upsert(corpus.empty(spark), rows(("a", "1", '{"source":"s"}', 1), ("b", "2", None, 2), ("a", "3", '{"source":"t","relative_path":"p"}', 3)))
+    assert sorted((r.id, r.row_seq, r.document, r.metadata) for r in first.collect()) == [("a", 2, "3", '{"source":"t","relative_path":"p"}'), ("b", 1, "2", "{}")]
+    second = corpus.upsert(first, rows(("c", "x", "{}", 1), ("a", "y", "{bad", 2)))
+    assert sorted((r.id, r.row_seq, r.document) for r in second.collect()) == [("a", 2, "y"), ("b", 1, "2"), ("c", 3, "x")]
+    assert sorted(r.id for r in corpus.delete(first, "p", None).collect()) == ["b"] and sorted(r.id for r in corpus.delete(first, None, "t").collect()) == ["b"] and corpus.delete(first).count() == 2
+
+
+def test_metadata_values(spark):
+    df = spark.createDataFrame([('{"a": "x"}',), ('{"a": 1.50}',), ('{"a": true}',), ('{"a": {"b": 1}}',), ("{bad",), (None,), ('{"a": null}',)], "m string")
+    assert [r[0] for r in df.select(corpus.metadata_value(F.col("m"), "a")).collect()] == ["x", "1.5", None, None, None, None, None]
+
+
+def test_near_duplicates(spark):
+    five = "\n".join(f"dòng {i} của trang" for i in range(5))
+    rows = [("s", "a", five), ("s", "b", "[SLIDE: 2]\n" + "\n".join(five.split("\n")[:4] + ["khác"])), ("s", "c", "x\ny\nz"), ("t", "d", five), ("s", "e", "\n".join(f"q{i}" for i in range(5))), ("s", "f", None)]
+    pairs = chunking.near_duplicate_pairs(spark.createDataFrame(rows, "source string, id string, document string"))
+    assert [(r.a, r.b, r.shared, r.n, r.m) for r in pairs.collect()] == [("a", "b", 4, 5, 5)]
+
+
+def test_embedding(spark):
+    df = spark.createDataFrame([("Một hai",), ("một  hai ",), (None,), ("",)], "t string")
+    rows = embed(df, "t", once=True).collect()
+    assert len(rows) == 4 and sorted(round(float(np.linalg.norm(r.embedding)), 3) for r in rows if r.embedding is not None)[-2:] == [1, 1]
+    assert np.allclose(embed(df, "t").collect()[0].embedding, hashed(["Một hai"])[0])
+    with pytest.raises(Exception, match="another number"):
+        embed(df, "t", model=lambda texts: hashed(texts)[:0]).collect()
+
+
+def test_throttle_batch_and_stream(spark, tmp_path):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    events = [(1, "p", at(0)), (2, "p", at(1.5)), (3, "p", at(2)), (4, "p", at(3.9)), (5, "p", at(4)), (6, "q", at(1))]
+    df = spark.createDataFrame(events, "event_id long, path string, ts timestamp")
+    assert sorted(r.event_id for r in files.throttled(df, 2).collect()) == [1, 3, 5, 6]
+    df.select("path", "ts").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("path string, ts timestamp").parquet(str(tmp_path / "in"))
+    query = files.throttle_stream(stream, 2.0).writeStream.format("memory").queryName("throttled").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r.path, r.ts.second) for r in spark.table("throttled").collect()) == [("p", 0), ("p", 2), ("p", 4), ("q", 1)]
+
+
+def test_ingestion_replaces_a_file(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    (folder / "a.txt").write_text("xin chào")
+    (folder / "b.csv").write_text('Họ,Tên\nTrần,"An, B"\n,\n x ,\n')
+    docs = sources.read_documents(spark, str(folder))
+    found = {(sources.file_name(r.path), r.document, json.loads(r.metadata).get("row")) for r in docs.collect()}
+    assert found == {("a.txt", "xin chào", None), ("b.csv", "Họ: Trần, Tên: An, B", 2), ("b.csv", "Họ: x", 4)}
+
+    def parse(batch):
+        name = F.regexp_extract("path", "[^/]+$", 0)
+        return batch.select(name.alias("id"), F.col("content").cast("string").alias("document"), F.to_json(F.struct(name.alias("relative_path"))).alias("metadata"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(1).alias("position"), name.alias("relative_path"))
+
+    table = files.CorpusTable(spark, str(tmp_path / "corpus"))
+    assert table.read().count() == 0
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(str(folder))
+    files.ingest_stream(stream, table, parse, str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert {r.id for r in table.read().collect()} == {"a.txt", "b.csv"} and table.version() == 1
+
+
+def test_ledger_stability_and_retries(spark):
+    at = datetime.datetime(2024, 1, 1)
+    seen = spark.createDataFrame([("a", at, 1), ("a", at, 1), ("b", at, 2)], "path string, modified timestamp, length long")
+    assert [r.path for r in files.unseen(seen, seen.filter("path = 'b'")).collect()] == ["a"]
+    watched = spark.createDataFrame([("a", 1, 5, at), ("a", 2, 6, at), ("a", 3, 6, at), ("b", 1, 1, at), ("b", 2, 2, at), ("c", 6, 1, at), ("c", 7, 1, at)], "path string, attempt int, length long, modified timestamp")
+    assert [(r.path, r.attempt) for r in files.stable(watched).collect()] == [("a", 3)]
+    tried = spark.createDataFrame([("a", i, i == 7) for i in range(1, 8)], "path string, attempt int, succeeded boolean")
+    assert [r.action for r in files.retries(tried).orderBy("attempt").collect()] == ["retry", "retry", "retry", "drop", "retry", "retry", "done"]
+
+
+def archive(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_office_files():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    docx = archive({"word/document.xml": f"<w:document {w}><w:body><w:p><w:r><w:t>one</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>no</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:t>two</w:t></w:r></w:p></w:body></w:document>"})
+    assert [(t, m["paragraph_index"]) for t, m in sources.parse_docx(docx, "x.docx")] == [("one", 0), ("two", 2)]
+    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = f'<worksheet {s}><sheetData><row r="2"><c r="A2" t="s"><v>0</v></c><c r="C2" t="inlineStr"><is><t>Age</t></is></c></row><row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3"><v>9</v></c><c r="C3"><v>41</v></c></row><row r="5"><c r="B5"><v>1</v></c></row></sheetData></worksheet>'
+    xlsx = archive({"xl/workbook.xml": f'<workbook {s} xmlns:r="{r}"><sheets><sheet name="A" r:id="rId7"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships xmlns="x"><Relationship Id="rId7" Target="worksheets/s.xml"/></Relationships>', "xl/worksheets/s.xml": sheet, "xl/sharedStrings.xml": f"<sst {s}><si><t>Name</t></si><si><r><t>A</t></r><r><t>n</t></r></si></sst>"})
+    assert list(sources.parse_xlsx(xlsx, "x.xlsx")) == [("Name: An, Age: 41", {"source": "x.xlsx", "row": 3})]
+    p, a = "http://schemas.openxmlformats.org/presentationml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/main"
+    shape = lambda *t: "<p:sp><p:txBody>" + "".join(f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>" for x in t) + "</p:txBody></p:sp>"
+    slide = lambda body: f'<p:sld xmlns:p="{p}" xmlns:a="{a}"><p:cSld><p:spTree>{body}</p:spTree></p:cSld></p:sld>'
+    grid = "<p:graphicFrame><a:graphic><a:tbl><a:tr><a:tc><a:txBody><a:p><a:r><a:t>x</a:t></a:r></a:p></a:txBody></a:tc><a:tc><a:txBody><a:p><a:r><a:t>y</a:t></a:r></a:p></a:txBody></a:tc></a:tr></a:tbl></a:graphic></p:graphicFrame>"
+    parts = {
+        "ppt/presentation.xml": f'<p:presentation xmlns:p="{p}" xmlns:r="{r}"><p:sldIdLst><p:sldId r:id="b"/><p:sldId r:id="a"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": '<Relationships xmlns="x"><Relationship Id="a" Target="slides/slide1.xml"/><Relationship Id="b" Target="slides/slide2.xml"/></Relationships>',
+        "ppt/slides/slide1.xml": slide(shape("Tổng quan") + f"<p:grpSp>{shape('trong nhóm')}</p:grpSp>" + grid),
+        "ppt/slides/slide2.xml": slide(shape("Phê duyệt tờ trình") + shape("Bước 1: mở", "Bước 2: bấm\tOK")),
+    }
+    found = list(sources.parse_pptx(archive(parts), "x.pptx"))
+    assert [(m["slide"], m["instruction_role"], m.get("action_kind"), m.get("step_count")) for _, m in found] == [(1, "procedure_steps", "duyet", 2), (2, "ui_details", None, None)]
+    assert found[0][0] == "Phê duyệt tờ trình\nBước 1: mở\nBước 2: bấm nút OK" and found[1][0] == "Tổng quan\ntrong nhóm\nx | y"
+    del parts["ppt/presentation.xml"]
+    assert [(t, m["type"]) for t, m in sources.parse_pptx(archive(parts), "x.pptx")][1] == ("Phê duyệt tờ trình Bước 1: mở Bước 2: bấm\tOK", "pptx_slide_text_fallback")
+
+
+def test_slide_text():
+    assert sources.clean_slide_text("bấm nut\tLưu") == "bấm nut Lưu" and sources.clean_slide_text("a   b") == "a b" and sources.clean_slide_text("a" + " " * 16 + "b") == "a nút b"
+    assert sources.clean_slide_text("a \r\n  b") == "a\nb" and sources.clean_slide_text("  ") == ""
+
+
+def test_recognition_takes_the_first_text():
+    calls = []
+
+    def recognise(image, language):
+        calls.append((image, language))
+        return " found " if (image, language) == (b"2", "vie") else " "
+
+    assert sources.first_recognised(b"1", [lambda i: i, lambda i: b"2"], ("eng+vie", "vie", "eng"), recognise) == "found"
+    assert calls == [(b"1", "eng+vie"), (b"1", "vie"), (b"1", "eng"), (b"2", "eng+vie"), (b"2", "vie")]
+
+
+def test_plans_push_down_and_limit_early(spark):
+    sf = "/root/testdata/sf0.001"
+    from ragloom.plans.queries import QUERIES
+
+    plan = QUERIES["vector_topk"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    read = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").filter("doc_id > 5")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThan(doc_id,5)]" in read
