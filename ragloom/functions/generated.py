@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import filled_lines, fold, is_blank, trim_space
+from .text import filled_lines, fold, is_blank, once, trim_space
 
 # What captions must and must not contain.
 PLACEHOLDERS = ["<visible title", "<visible text", "<verbatim important", "<table names", "<button names", "<only if useful", "<ghi ", "<chep ", "<liet ke ", "<chi ghi "]
@@ -41,10 +41,12 @@ def caption_is_useful(caption: Column) -> Column:
     text = F.coalesce(caption, F.lit(""))
     folded = fold(text)
     long_lines = F.filter(F.transform(filled_lines(text), fold), lambda line: F.length(line) > 12)
-    repeated = (F.size(long_lines) >= 4) & (_most_equal(long_lines) >= 3)
-    tokens = F.filter(F.split(folded, " "), lambda t: t != "")
-    most = _most_equal(tokens)
-    degenerate = (F.size(tokens) >= 20) & ((most >= 12) | (most >= F.size(tokens) * F.lit(0.45).cast("double")))
+    repeated = once(long_lines, lambda found: (F.size(found) >= 4) & (_most_equal(found) >= 3))
+
+    def too_common(tokens: Column) -> Column:
+        return once(_most_equal(tokens), lambda most: (F.size(tokens) >= 20) & ((most >= 12) | (most >= F.size(tokens) * F.lit(0.45).cast("double"))))
+
+    degenerate = once(F.filter(F.split(folded, " "), lambda t: t != ""), too_common)
     compact = F.regexp_replace(text, r"(?U)\s+", "")
     digits, letters = _count(compact, r"\p{Nd}"), _count(text, r"\p{L}")
     runaway = (F.length(compact) >= 120) & (((digits > letters * 3) & compact.rlike(NUMBER_RUN)) | compact.rlike(ZERO_RUN))
@@ -61,16 +63,21 @@ def repeats_lines(text: Column) -> Column:
 def repeats_last_sentence(text: Column) -> Column:
     """Of four or more sentences of 35 folded characters at least, the last one occurs three times or more."""
     found = F.filter(F.transform(F.split(trim_space(F.coalesce(text, F.lit(""))), r"(?U)(?<=[.!?])\s+"), fold), lambda s: F.length(s) >= 35)
-    last = F.try_element_at(found, F.lit(-1))
-    return (F.size(found) >= 4) & (F.size(F.filter(found, lambda s: s == last)) >= 3)
+
+    def again(all_: Column) -> Column:
+        return (F.size(all_) >= 4) & (F.size(F.filter(all_, lambda s: s == F.try_element_at(all_, F.lit(-1)))) >= 3)
+
+    return once(found, again)
 
 
 def repeats_tail(text: Column, length: int = 40) -> Column:
     """The last ``length`` folded characters occur twice without overlap, scanned from the left."""
-    folded = fold(F.coalesce(text, F.lit("")))
-    tail = F.right(folded, F.lit(length))
-    first = F.position(tail, folded)
-    return (F.length(folded) >= 2 * length) & (F.position(tail, folded, first + length) > 0)
+
+    def again(folded: Column) -> Column:
+        tail = F.right(folded, F.lit(length))
+        return (F.length(folded) >= 2 * length) & (F.position(tail, folded, F.position(tail, folded) + length) > 0)
+
+    return once(fold(F.coalesce(text, F.lit(""))), again)
 
 
 def is_repetition_loop(text: Column) -> Column:
