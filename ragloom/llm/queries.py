@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, html_extraction, jaccard_join, quality, toxicity, url_lists, warc
 from .common import new_path, table
+from .oracles import ORACLE_SQL  # noqa: F401
 from .packing import pack_documents
 from .token_counts import count_tokens
 from .token_files import digests, write_tokens
@@ -19,7 +20,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")))
-    return url_lists.evaluate(captures, url_lists.demo_entries(pages))
+    return url_lists.evaluate(captures, url_lists.demo_entries(pages)).withColumn("day", F.col("day").cast("string"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,5 +75,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_token_counts, op2_url_lists, op3_jaccard_join, op4_token_files, op5_decontamination, op6_html_extraction, op7_quality_rules, op8_toxicity, op9_warc, op10_best_fit_packing)
 }
-
-ORACLE_SQL: dict[str, str] = {}
