@@ -106,4 +106,4 @@ SCREENSHOT_MARK = "[Ảnh giao diện]"
 def skip_recognition(width: Column, height: Column) -> Column:
     """Images with a side under 20 pixels or sides that differ by more than 15 times are not read."""
     narrow, wide = F.least(width, height), F.greatest(width, height)
-    return (narrow < 20) | (wide / narrow > 15)
+    return (narrow < 20) | (narrow * 15 < wide)

@@ -489,17 +489,18 @@ def retry_policy(spark, sf_dir):
     return files.retries(seen)
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'của ai' ELSE text || ' ' || (CASE WHEN turn % 4 = 0 THEN CAST(1000000 + conv_id AS VARCHAR) ELSE '' END) END AS text FROM conversations),
-  k AS (SELECT *, nullif(regexp_extract(text, '\\b\\d{6,}\\b'), '') AS found FROM t),
-  r AS (SELECT *, last_value(found IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS remembered FROM k)
-SELECT conv_id, turn, md5(CASE WHEN text = 'của ai' AND remembered IS NOT NULL THEN remembered || ' là của ai' ELSE text END) AS effective FROM r""")
+@query("""WITH t AS (SELECT conv_id, turn, turn * (CASE WHEN conv_id % 2 = 0 THEN 7 ELSE 4 END) AS minute, CASE WHEN turn % 3 = 2 THEN 'của ai' ELSE text || ' ' || (CASE WHEN turn % 4 = 0 THEN CAST(1000000 + conv_id AS VARCHAR) ELSE '' END) END AS text FROM conversations),
+  k AS (SELECT *, nullif(regexp_extract(text, '\\b\\d{6,}\\b'), '') AS found, text = 'của ai' AS follows FROM t),
+  g AS (SELECT *, last_value(CASE WHEN found IS NOT NULL OR follows THEN minute END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+  s AS (SELECT *, sum(CASE WHEN (found IS NOT NULL OR follows) AND (before IS NULL OR minute - before > 15) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS span FROM g),
+  r AS (SELECT *, last_value(found IGNORE NULLS) OVER (PARTITION BY conv_id, span ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM s)
+SELECT conv_id, turn, md5(CASE WHEN follows AND known IS NOT NULL THEN known || ' là của ai' ELSE text END) AS effective FROM r""")
 def followup_resolution(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     said = F.when(F.col("turn") % 3 == 2, "của ai").otherwise(F.concat("text", F.lit(" "), F.when(F.col("turn") % 4 == 0, (1000000 + F.col("conv_id")).cast("string")).otherwise("")))
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    kept = c.select("conv_id", "turn", said.alias("text")).withColumn("remembered", F.last(text.identifier(F.col("text")), ignorenulls=True).over(before))
-    effective = F.when(intent.is_follow_up(F.col("text")) & F.col("remembered").isNotNull(), F.concat("remembered", F.lit(" là của ai"))).otherwise(F.col("text"))
-    return kept.select("conv_id", "turn", F.md5(effective).alias("effective"))
+    minute = F.col("turn") * F.when(F.col("conv_id") % 2 == 0, 7).otherwise(4)
+    timed = c.select("conv_id", "turn", said.alias("text"), F.timestamp_seconds(minute * 60).alias("ts"))
+    return expansion.resolve_follow_ups(timed).select("conv_id", "turn", F.md5("effective").alias("effective"))
 
 
 @query("""WITH i AS (SELECT user_id AS file, event_id % 4 AS slide, event_id AS image_index, event_id % 3 <> 0 AS eligible FROM events),

@@ -246,3 +246,31 @@ def test_plans_push_down_and_limit_early(spark):
     assert "WindowGroupLimit" in plan
     read = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").filter("doc_id > 5")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(doc_id), GreaterThan(doc_id,5)]" in read
+
+
+def test_follow_ups_forget_after_a_while(spark):
+    at = lambda m: datetime.datetime(2024, 1, 1, 8) + datetime.timedelta(minutes=m)
+    said = [(1, 1, at(0), "MSSV 20110123"), (1, 2, at(10), "của ai"), (1, 3, at(24), "Là của ai"), (1, 4, at(30), "khác"), (1, 5, at(40), "cua ai"), (1, 6, at(44), "của ai"), (2, 1, at(0), "của ai")]
+    rows = expansion.resolve_follow_ups(spark.createDataFrame(said, "conv_id int, turn int, ts timestamp, text string")).orderBy("conv_id", "turn").collect()
+    found = "20110123 là của ai"
+    assert [r.effective for r in rows] == ["MSSV 20110123", found, found, "khác", "cua ai", "của ai", "của ai"]
+
+
+def test_image_preparation(spark, tmp_path):
+    from ragloom.functions import images
+
+    gray = np.array([[10] * 50 + [200] * 50] * 4, np.uint8)
+    assert 10 <= images.otsu_threshold(gray) < 200 and images.otsu_threshold(np.zeros((2, 2), np.uint8)) == 0
+    assert images.target_size(600, 100) == (1200, 200) and images.target_size(2000, 100) == (2000, 100) and images.target_size(100, 3000) == (107, 3200)
+    made = images.variants(np.repeat(gray[:, :, None], 3, 2))
+    assert len(made) == 4 and made[0].shape == (48, 1200, 3) and made[1].shape == (128, 1280, 3) and (made[2] == 255 - made[3]).all() and set(np.unique(made[2])) == {0, 255}
+    import struct
+    import zlib as z
+
+    def chunk(name, data):
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", z.crc32(name + data))
+
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 2, 0, 0, 0)) + chunk(b"IDAT", z.compress(b"\0" + bytes([0, 0, 0, 250, 250, 250]))) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(png)
+    row = images.read_images(spark, str(tmp_path)).collect()[0]
+    assert (row.width, row.height) == (2, 1) and row.threshold < 250
