@@ -94,14 +94,18 @@ def parse_xlsx(content: bytes, name: str) -> Rows:
             yield text, {"source": name, "row": int(row.get("r", at))}
 
 
+# Headings within documents.
+TEXT_HEADING, PICTURE_HEADING = "[VĂN BẢN HƯỚNG DẪN]", "[MÔ TẢ GIAO DIỆN TỪ HÌNH ẢNH]"
+
+
 def parse_docx(content: bytes, name: str) -> Rows:
-    """A document for each paragraph of the body itself that has text; tables are left out, empty paragraphs count."""
+    """A document for each paragraph of the body itself that has text in its runs; tables are left out, paragraphs count from 1, empty ones too."""
     with zipfile.ZipFile(io.BytesIO(content)) as package:
         body = ElementTree.fromstring(package.read("word/document.xml")).find(f"{_W}body")
-    for number, paragraph in enumerate(body.findall(f"{_W}p") if body is not None else []):
-        text = "".join((n.text or "") if n.tag == f"{_W}t" else "\n" if n.tag == f"{_W}br" else "\t" if n.tag == f"{_W}tab" else "" for n in paragraph.iter()).strip()
+    for number, paragraph in enumerate(body.findall(f"{_W}p") if body is not None else [], start=1):
+        text = "".join(t.text or "" for run in paragraph.findall(f"{_W}r") for t in run.findall(f"{_W}t")).strip()
         if text:
-            yield text, {"source": name, "type": "docx_text", "content_kind": "instruction_text", "paragraph_index": number}
+            yield f"{TEXT_HEADING}\n{text}", {"source": name, "type": "docx_text", "content_kind": "instruction_text", "paragraph_index": number}
 
 
 _GAP = re.compile(r"[ \t]*\t[ \t]*| {8,}")
@@ -160,52 +164,55 @@ def _paragraphs(element) -> str:
 
 
 def _walk(tree) -> Iterator[str]:
-    """Texts of shapes, rows of tables with bars between cells, and what groups hold, in order."""
+    """Texts in order: of each shape, of each row of a table with bars between cells, and of what groups hold."""
     for element in tree:
-        if element.tag == f"{_P}sp":
+        if element.tag == f"{_P}graphicFrame" and element.find(f".//{_A}tbl") is not None:
+            for row in element.find(f".//{_A}tbl").iter(f"{_A}tr"):
+                yield " | ".join(c for c in map(_paragraphs, row.iter(f"{_A}tc")) if c)
+        elif element.tag in (f"{_P}sp", f"{_P}graphicFrame"):
             yield _paragraphs(element)
-        elif element.tag == f"{_P}graphicFrame":
-            for row in element.iter(f"{_A}tr"):
-                cells = [c for c in (_paragraphs(cell) for cell in row.findall(f"{_A}tc")) if c]
-                yield " | ".join(cells)
         elif element.tag == f"{_P}grpSp":
             yield from _walk(element)
 
 
+def _slides(package: zipfile.ZipFile) -> list:
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(package.read("ppt/_rels/presentation.xml.rels"))}
+    order = [posixpath.normpath(posixpath.join("ppt", targets[s.get(f"{_R}id")])) for s in ElementTree.fromstring(package.read("ppt/presentation.xml")).iter(f"{_P}sldId")]
+    return [ElementTree.fromstring(package.read(n)).find(f"{_P}cSld/{_P}spTree") for n in order]
+
+
+def _plain_slides(package: zipfile.ZipFile, name: str) -> Rows:
+    """Slides by the number in their name, as their paragraphs' text alone."""
+    found = sorted((n for n in package.namelist() if re.fullmatch(r"ppt/slides/slide[^/]*\.xml", n, re.I)), key=lambda n: int((re.search(r"(\d+)\.xml$", n) or [0, 1 << 31])[1]))
+    for number, n in enumerate(found, start=1):
+        text = _paragraphs(ElementTree.fromstring(package.read(n)))
+        if text:
+            yield f"{TEXT_HEADING}\n{text}", {"source": name, "slide": number, "type": "pptx_slide_text_fallback", "content_kind": "instruction_text"}
+
+
 def parse_pptx(content: bytes, name: str) -> Rows:
-    """Blocks of instructions of each slide in the order of the presentation; without that order, slides by number and their text alone."""
+    """Blocks of instructions of each slide in the order of the presentation; without that order, the slides' text alone.
+
+    Each shape and each row of a table is instructions of its own: blocks of steps, or else details.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as package:
-        names = package.namelist()
         try:
-            targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(package.read("ppt/_rels/presentation.xml.rels"))}
-            order = [posixpath.normpath(posixpath.join("ppt", targets[s.get(f"{_R}id")])) for s in ElementTree.fromstring(package.read("ppt/presentation.xml")).iter(f"{_P}sldId")]
-            trees = [ElementTree.fromstring(package.read(n)).find(f"{_P}cSld/{_P}spTree") for n in order]
+            trees = _slides(package)
         except (KeyError, ElementTree.ParseError):
-            slides = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-            for number, n in enumerate(slides, start=1):
-                text = " ".join(re.sub(r"<[^>]+>", " ", t) for t in re.findall(r"<a:t>([^<]*)</a:t>", package.read(n).decode("utf-8", "replace"))).strip()
-                if text:
-                    yield text, {"source": name, "type": "pptx_slide_text_fallback", "slide": number}
+            yield from _plain_slides(package, name)
             return
     for number, tree in enumerate(trees, start=1):
         if tree is None:
             continue
         title = slide_title([t for t in (_paragraphs(e) for e in tree if e.tag == f"{_P}sp") if t])
-        kind = action_of(title)
-        text = clean_slide_text("\n".join(t for t in _walk(tree) if t))
-        if not text:
-            continue
-        blocks = procedure_blocks(text)
-        for block in blocks or [text]:
-            own = {"source": name, "type": "pptx_slide", "slide": number, "content_kind": "instruction_text", "instruction_role": "procedure_steps" if blocks else "ui_details"}
-            if title:
-                own["slide_title"] = title
-            action = action_of(block) or kind
-            if action:
-                own["action_kind"] = action
-            if blocks:
-                own["step_count"] = len(_STEPS.findall(block))
-            yield block, own
+        heading = (f"[SLIDE: {title}]\n" if title else "") + TEXT_HEADING
+        for text in filter(None, map(clean_slide_text, _walk(tree))):
+            blocks = procedure_blocks(text)
+            for block in blocks or [text]:
+                own = {"source": name, "slide": number, "type": "pptx_slide", "content_kind": "instruction_text", "instruction_role": "procedure_steps" if blocks else "ui_details"}
+                action = action_of(block) or action_of(title)
+                own |= {k: v for k, v in (("slide_title", title), ("action_kind", action), ("step_count", len(_STEPS.findall(block)))) if v}
+                yield f"{heading}\n{block}", own
 
 
 def nothing(content: bytes, name: str) -> Rows:
@@ -253,3 +260,50 @@ def first_recognised(image: bytes, variants: list[Callable[[bytes], bytes]], lan
             if text and text.strip():
                 return text.strip()
     return ""
+
+
+def image_parser(size: Callable[[bytes], tuple[int, int] | None], recognise: Callable[[bytes], str], caption: Callable[[bytes, str], str | None] | None = None, useful: Callable[[str | None], bool] = bool) -> Callable[[bytes, str], Rows]:
+    """A parser of images from engines: an image without text and without a useful caption has no document, nor has one that cannot be decoded."""
+
+    def parse(content: bytes, name: str) -> Rows:
+        sides = size(content)
+        if sides is None:
+            return
+        text = recognise(content) or ""
+        said = caption(content, text) if caption else None
+        said = said if useful(said) else None
+        if not text.strip() and not (said or "").strip():
+            return
+        parts = [f"Image dimensions: {sides[0]}x{sides[1]}px."] + [f"OCR text: {text}"] * bool(text.strip()) + [f"Vision caption: {said}"] * bool(said)
+        yield "\n".join(parts), {"source": name, "type": "image", "width": sides[0], "height": sides[1], "has_ocr_text": bool(text.strip()), "caption_source": "ocr+vision" if said else "ocr"}
+
+    return parse
+
+
+#: Words below which a page counts as scanned.
+LEAST_PAGE_WORDS = 10
+
+
+def pdf_parser(pages: Callable[[bytes], Iterator[tuple[str, bytes, int, int]]], recognise: Callable[[bytes], str], caption: Callable[[bytes, str], str | None] | None = None, useful: Callable[[str | None], bool] = bool) -> Callable[[bytes, str], Rows]:
+    """A parser of PDF from engines; ``pages`` gives each page's text, its picture and the picture's sides.
+
+    A page with few words is scanned: its text is recognised in the picture, and the picture may be described.
+    """
+
+    def parse(content: bytes, name: str) -> Rows:
+        images = 0
+        for number, (text, picture, width, height) in enumerate(pages(content), start=1):
+            if len((text or "").split()) >= LEAST_PAGE_WORDS:
+                yield f"{TEXT_HEADING}\n{text.strip()}", {"source": name, "page": number, "type": "pdf_text", "content_kind": "instruction_text"}
+                continue
+            found = recognise(picture) or ""
+            if found.strip():
+                yield f"{TEXT_HEADING}\n{found}", {"source": name, "page": number, "type": "pdf_scanned_text", "content_kind": "instruction_text"}
+            if caption:
+                images += 1
+                said = caption(picture, found)
+                if useful(said):
+                    own = {"type": "pdf_scanned_image", "content_kind": "image_ui_description", "image_index": images, "width": width, "height": height, "image_role": "scanned_page"}
+                    yield f"{PICTURE_HEADING}\n[Trang tài liệu scan: Vision caption: {said}]", {"source": name, "page": number, **own}
+
+    return parse

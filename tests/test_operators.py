@@ -199,7 +199,7 @@ def archive(parts):
 def test_office_files():
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     docx = archive({"word/document.xml": f"<w:document {w}><w:body><w:p><w:r><w:t>one</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>no</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:t>two</w:t></w:r></w:p></w:body></w:document>"})
-    assert [(t, m["paragraph_index"]) for t, m in sources.parse_docx(docx, "x.docx")] == [("one", 0), ("two", 2)]
+    assert [(t, m["paragraph_index"]) for t, m in sources.parse_docx(docx, "x.docx")] == [("[VĂN BẢN HƯỚNG DẪN]\none", 1), ("[VĂN BẢN HƯỚNG DẪN]\ntwo", 3)]
     s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     sheet = f'<worksheet {s}><sheetData><row r="2"><c r="A2" t="s"><v>0</v></c><c r="C2" t="inlineStr"><is><t>Age</t></is></c></row><row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3"><v>9</v></c><c r="C3"><v>41</v></c></row><row r="5"><c r="B5"><v>1</v></c></row></sheetData></worksheet>'
@@ -216,10 +216,22 @@ def test_office_files():
         "ppt/slides/slide2.xml": slide(shape("Phê duyệt tờ trình") + shape("Bước 1: mở", "Bước 2: bấm\tOK")),
     }
     found = list(sources.parse_pptx(archive(parts), "x.pptx"))
-    assert [(m["slide"], m["instruction_role"], m.get("action_kind"), m.get("step_count")) for _, m in found] == [(1, "procedure_steps", "duyet", 2), (2, "ui_details", None, None)]
-    assert found[0][0] == "Phê duyệt tờ trình\nBước 1: mở\nBước 2: bấm nút OK" and found[1][0] == "Tổng quan\ntrong nhóm\nx | y"
+    head = "[SLIDE: Phê duyệt tờ trình]\n[VĂN BẢN HƯỚNG DẪN]\n"
+    assert [(t, m["slide"], m["instruction_role"], m.get("action_kind"), m.get("step_count")) for t, m in found[:2]] == [(head + "Phê duyệt tờ trình", 1, "ui_details", "duyet", None), (head + "Bước 1: mở\nBước 2: bấm nút OK", 1, "procedure_steps", "duyet", 2)]
+    assert [(t.split("\n")[-1], m["slide"], m["slide_title"]) for t, m in found[2:]] == [("Tổng quan", 2, "Tổng quan"), ("trong nhóm", 2, "Tổng quan"), ("x | y", 2, "Tổng quan")]
     del parts["ppt/presentation.xml"]
-    assert [(t, m["type"]) for t, m in sources.parse_pptx(archive(parts), "x.pptx")][1] == ("Phê duyệt tờ trình Bước 1: mở Bước 2: bấm\tOK", "pptx_slide_text_fallback")
+    assert [(t, m["type"]) for t, m in sources.parse_pptx(archive(parts), "x.pptx")][1] == ("[VĂN BẢN HƯỚNG DẪN]\nPhê duyệt tờ trình\nBước 1: mở\nBước 2: bấm nút OK", "pptx_slide_text_fallback")
+
+
+def test_parsers_with_engines(spark, tmp_path):
+    ten = " ".join("abcdefghij")
+    pdf = sources.pdf_parser(lambda content: iter([(ten, b"", 1, 1), ("few", b"scan", 5, 6), ("", b"empty", 1, 1)]), lambda picture: {b"scan": "read"}.get(picture, ""), lambda picture, text: "seen" if picture == b"scan" else None)
+    assert [(t.split("\n")[1], m["type"], m["page"]) for t, m in pdf(b"", "x.pdf")] == [(ten, "pdf_text", 1), ("read", "pdf_scanned_text", 2), ("[Trang tài liệu scan: Vision caption: seen]", "pdf_scanned_image", 2)]
+    image = sources.image_parser(lambda c: (3, 4) if c else None, lambda c: "words" if c == b"w" else "", lambda c, t: "caption" if c == b"c" else None)
+    assert [(t, m["caption_source"]) for t, m in image(b"w", "i.png")] == [("Image dimensions: 3x4px.\nOCR text: words", "ocr")] and [m["has_ocr_text"] for _, m in image(b"c", "i.png")] == [False]
+    assert list(image(b"", "i.png")) == list(image(b"x", "i.png")) == []
+    (tmp_path / "a.PDF").write_bytes(b"%PDF")
+    assert sources.read_documents(spark, str(tmp_path)).count() == 0 and sources.read_documents(spark, str(tmp_path), {"pdf": pdf}).count() == 3
 
 
 def test_slide_text():
