@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-REMEMBERED_UNITS = 700_000
+REMEMBERED_UNITS = 1_000_000
 REMEMBERED_CHARS = 48
 UNITS_PER_CALL = 512
 SLICE_CHARS = 1 << 20
@@ -23,6 +23,8 @@ SLICE_CHARS = 1 << 20
 _ODD_SPACE = re.compile(" [^!-~¡-ɏ]| \\Z|\\A ")
 _ODD_ASCII = [" " + c for c in (" ", *map(chr, range(9, 14)), *map(chr, range(28, 32)))]
 _ODD_START = re.compile("[^!-~¡-ɏ]|\\Z")
+#: Units of letters alone, of ranges in which all agree what a letter is: each is one pre-token.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _CUT = re.compile("(?= [!-~¡-ɏ])")
 
 
@@ -42,6 +44,16 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
         self.begins = np.zeros(self.library.get_vocab_size(), bool)
         self.begins[[i for piece, i in self.library.get_vocab().items() if piece.startswith("Ġ")]] = True
+        # the same model without the pattern, for units that are one pre-token; its own memory would only be filled with units that come once
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        if hasattr(self.bare.model, "_resize_cache"):
+            self.bare.model._resize_cache(0)
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.byte_names = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}  # as byte-level vocabularies name bytes
         self.marks = {m: array("i", self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ",.;:!?"}
         self.units: dict[str, bytes] = {}
 
@@ -73,16 +85,22 @@ class Encoder:
     def _call(self, units: list[str]) -> dict[str, bytes]:
         """Ids of units, each with a space before it, from the library."""
         new: dict[str, bytes] = {}
-        plain = [u for u in units if " " not in u and not self.special.search(u) and not _ODD_START.match(u)]
-        for i in range(0, len(plain), UNITS_PER_CALL):  # one call for many units; a token that begins with the space begins each
-            some = plain[i : i + UNITS_PER_CALL]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int32)
-            packed, starts = ids.tobytes(), (4 * np.flatnonzero(self.begins[ids])).tolist()
-            starts.append(len(packed))
-            if len(starts) != len(some) + 1:
-                raise ValueError("the vocabulary joins units across a space")
-            new.update(zip(some, [packed[a:b] for a, b in zip(starts, starts[1:])]))
-        if len(plain) < len(units):
+        words = list(filter(_WORD.fullmatch, units))
+        plain = [u for u in units if not _WORD.fullmatch(u) and " " not in u and not self.special.search(u) and not _ODD_START.match(u)]
+        for library, of in ((self.bare, words), (self.library, plain)):
+            for i in range(0, len(of), UNITS_PER_CALL):  # one call for many units; a token that begins with the space begins each
+                some = of[i : i + UNITS_PER_CALL]
+                if library is self.bare:
+                    joined = "Ġ" + "\nĠ".join(u if u.isascii() else u.encode().decode("latin-1").translate(self.byte_names) for u in some)
+                else:
+                    joined = " " + " ".join(some)
+                ids = np.array(library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+                packed, starts = ids.tobytes(), (4 * np.flatnonzero(self.begins[ids])).tolist()
+                starts.append(len(packed))
+                if len(starts) != len(some) + 1:
+                    raise ValueError("the vocabulary joins units across a space")
+                new.update(zip(some, [packed[a:b] for a, b in zip(starts, starts[1:])]))
+        if len(new) < len(units):
             odd = [u for u in units if u not in new]
             found = self.library.encode_batch_fast([" " + u for u in odd], add_special_tokens=False)
             new.update((u, array("i", e.ids).tobytes()) for u, e in zip(odd, found, strict=True))
