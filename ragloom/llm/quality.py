@@ -1,10 +1,11 @@
 """Quality rules: base counts, and bands of n-gram perplexity for each language.
 
-The language model is a modified Kneser-Ney model of order four over 64 classes of UTF-8 bytes. Spark
-counts the n-grams of all documents; the model is a sorted array of 32-bit hashes (language class,
-n-gram) beside an array of log probabilities, in which a document's n-grams are looked up. A language's
-documents form a distribution of log perplexity; a document outside the language's band, on either
-side, is rejected.
+The language model is that of :mod:`ngram_model`: whole code points, counted over all documents, a model for each
+half of a language's documents. A document is scored by the half that it is not in, so its own n-grams
+do not count as seen. A language's documents form a distribution of log perplexity; a document outside the
+language's band, on either side, is rejected.
+
+The functions over 64 classes of bytes are a small model for one machine's memory; :func:`judge` does not use them.
 """
 
 from __future__ import annotations
@@ -14,21 +15,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ngram_model
 from .common import with_results, written
 
 ORDER, BITS = 4, 6
-#: Classes that languages are hashed to. A language has at most 2**24 n-grams.
+#: Languages of the model of byte classes.
 LANGUAGES = 64
-#: N-grams that a scoring pass sends to the executors; languages beyond it take further passes.
+#: Rows of the model that a scoring task holds at once; larger models take further passes.
 NGRAMS_PER_PASS = 1 << 24
 #: Bytes of text whose n-grams are sorted together.
 GROUP_BYTES = 4 << 20
 #: Half widths of the bands below and above the median. The unit is the spread of a document's length:
 #: the distance between the median and the 16th (84th) percentile, and the chance variation of n symbols.
-LOW_WIDTH, HIGH_WIDTH = 3.5, 40.0
+LOW_WIDTH, HIGH_WIDTH = 2.5, 2.5
 #: Distances below this (in nats) count as this, so that uniform languages keep wide bands.
 LEAST_DISTANCE = 0.02
 #: Variance of a symbol's log probability, for the chance variation.
@@ -227,42 +229,30 @@ def _log_perplexity(texts: list[bytes], langs: list[int], codes: np.ndarray, log
     return out
 
 
-def score(docs: DataFrame, counts: DataFrame, keep: list[str], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """Rows ``row, text, out`` with the base counts, ``lang_class``, ``n_bytes`` and ``log_perplexity`` (null without text)."""
-    fields = BASE_FIELDS + ", lang_class int, n_bytes long, log_perplexity double"
-    sizes = {r[0]: r[1] for r in counts.groupBy(F.shiftright("code", BITS * ORDER).alias("c")).count().collect()}
-    passes: list[list[int]] = [[]]
-    room = NGRAMS_PER_PASS
-    for c in range(LANGUAGES):
-        if passes[-1] and sizes.get(c, 0) > room:
-            passes.append([])
-            room = NGRAMS_PER_PASS
-        passes[-1].append(c)
-        room -= sizes.get(c, 0)
-    result = None
-    for classes in passes:
-        lo, hi = classes[0], classes[-1]
-        model = docs.sparkSession.sparkContext.broadcast(train(counts.filter((F.shiftright("code", BITS * ORDER) >= lo) & (F.shiftright("code", BITS * ORDER) <= hi))))
-
-        def compute(texts: list[bytes], langs: list[str | None], model=model) -> list[pa.Array]:
-            of = [language_class(x) for x in langs]
-            base = list(zip(*map(base_counts, texts))) or [()] * 5
-            return [*(pa.array(c, pa.int64()) for c in base), pa.array(of, pa.int32()), pa.array([len(t) for t in texts], pa.int64()), pa.array(_log_perplexity(texts, of, *model.value), pa.float64())]
-
-        mine = docs
-        if len(passes) > 1:
-            mine = docs.filter(F.pmod(F.crc32(F.coalesce(F.col(lang_col).cast("string"), F.lit(""))), F.lit(LANGUAGES)).between(lo, hi))
-        part = with_results(mine, text_col, keep, compute, fields, extra=(lang_col,))
-        result = part if result is None else result.unionAll(part)
-    return result
+def language_ids(docs: DataFrame, lang_col: str = "lang") -> DataFrame:
+    """``_lang, _lang_id``: an own number for each distinct language; a null language is the empty one."""
+    names = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang")).distinct()
+    return written(names.withColumn("_lang_id", F.row_number().over(Window.orderBy("_lang")).cast("long")), "languages")
+
+
+def score(docs: DataFrame, model: ngram_model.Model, keep: list[str], text_col: str = "text") -> DataFrame:
+    """Rows ``row, text, out`` of ``docs`` with ``_lang_id``: the base counts, ``lang_id``, ``n_chars`` and ``log_perplexity`` (null without text)."""
+    fields = BASE_FIELDS + ", lang_id long, n_chars long, log_perplexity double"
+
+    def compute(texts: list[bytes], ids: list[int]) -> list[pa.Array]:
+        base = list(zip(*map(base_counts, texts))) or [()] * 5
+        logs, sizes = model.log_perplexity(texts, ids)
+        return [*(pa.array(c, pa.int64()) for c in base), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(logs, pa.float64())]
+
+    return with_results(docs, text_col, keep, compute, fields, extra=("_lang_id",))
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """``lang_class, middle, below, above``: median log perplexity of each language class and its distances, from all its documents."""
+    """``lang_id, middle, below, above``: median log perplexity of each language and its distances, from all its documents."""
     p = F.percentile_approx("log_perplexity", F.array(*map(F.lit, (0.16, 0.5, 0.84))), 2000)
-    of = scored.groupBy("lang_class").agg(p.alias("p"))
+    of = scored.groupBy("lang_id").agg(p.alias("p"))
     least = F.lit(LEAST_DISTANCE)
-    return of.select("lang_class", F.col("p")[1].alias("middle"), F.greatest(least, F.col("p")[1] - F.col("p")[0]).alias("below"), F.greatest(least, F.col("p")[2] - F.col("p")[1]).alias("above"))
+    return of.select("lang_id", F.col("p")[1].alias("middle"), F.greatest(least, F.col("p")[1] - F.col("p")[0]).alias("below"), F.greatest(least, F.col("p")[2] - F.col("p")[1]).alias("above"))
 
 
 def base_failed() -> Column:
@@ -273,18 +263,21 @@ def judge(docs: DataFrame, keep: list[str] | None = None, lang_col: str = "lang"
     """Rows ``row, text, out, base_failed, kept, perplexity, low, high`` for each row of ``docs``.
 
     ``low`` and ``high`` are the perplexities between which a document of this language and length stays.
-    Null and empty texts have no words and fail the base rules. Languages are compared by their class; a null
+    Null and empty texts have no words and fail the base rules. Each distinct language has its own model and band; a null
     language is the empty one. Repeated rows are judged alike and all come back. Counts, model and
     bands come from all rows of ``docs``.
     """
-    counts = written(count_ngrams(docs, lang_col, text_col), "ngram-counts")
-    scored = written(score(docs, counts, docs.columns if keep is None else keep, lang_col, text_col), "quality-scores")
-    limits = F.broadcast(bands(scored.select("out.*")))  # one row for each language class, so 64 at most
-    chance = F.lit(SYMBOL_VARIANCE) / F.nullif(F.col("out.n_bytes"), F.lit(0))
+    ids = language_ids(docs, lang_col)
+    of_language = docs.join(ids, F.coalesce(docs[lang_col].cast("string"), F.lit("")) == ids["_lang"])
+    counts = written(ngram_model.count(of_language, "_lang_id", text_col), "ngram-counts")
+    model = ngram_model.sharded(ngram_model.train(counts), NGRAMS_PER_PASS)
+    scored = written(score(of_language, model, docs.columns if keep is None else keep, text_col), "quality-scores")
+    limits = bands(scored.select("out.*"))
+    chance = F.lit(SYMBOL_VARIANCE) / F.nullif(F.col("out.n_chars"), F.lit(0))
     low = F.col("middle") - low_width * F.sqrt(F.col("below") * F.col("below") + chance)
     high = F.col("middle") + high_width * F.sqrt(F.col("above") * F.col("above") + chance)
     return (
-        scored.join(limits, scored["out.lang_class"] == limits["lang_class"], "left")
+        scored.join(limits, scored["out.lang_id"] == limits["lang_id"], "left")
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("out.log_perplexity").between(low, high), F.lit(False)))
         .select("row", "text", "out", "base_failed", "kept", F.exp("out.log_perplexity").alias("perplexity"), F.exp(low).alias("low"), F.exp(high).alias("high"))
