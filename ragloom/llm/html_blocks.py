@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -12,7 +13,11 @@ TAG_HASHES, WORD_HASHES = 512, 1024
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-      | <(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|select)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)
+      | <svg\b(?:"[^"]*+"|'[^']*+'|[^>"'])*+(?<=/)>
+      | <(?P<raw>script|style|template|textarea|title|iframe)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)
+      | <svg\b[^>]*+>(?:(?!<(?:p|div|h[1-6]|[uod]l|li|d[dt]|table|pre|blockquote|body|span)\b).)*?</svg\s*+>
+      | <select\b[^>]*+>(?:(?!<(?:select|input|textarea)\b).)*?</select\s*+>
+      | <noscript\b[^>]*+>(?:(?!<noscript\b).)*?</noscript\s*+>
       | <(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>(?:"[^"]*+"|'[^']*+'|[^>"'])*+)>
       | <[!?/][^>]*+>
       | (?P<text>[^<]++|<)
@@ -52,13 +57,15 @@ def blocks(source: str) -> list[Block]:
     """The leaf blocks of ``source`` in page order.
 
     Character references are decoded, white space becomes one space, and ends are trimmed. Comments, scripts, styles
-    and what a title holds are no blocks. Tags that are not closed, or not opened, do no harm.
+    and what a title holds are no blocks; an svg, select or noscript is none if it is closed, before what ends it
+    in a parser, and else a tag like others. However deep, all open tags count. Tags that are not closed, or not opened, do no harm.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[tuple[str, frozenset[int], int]] = []  # a tag, the tokens of it and those above, the links among them
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     path: tuple[int, ...] = ()
-    linked = links = 0
+    linked = 0
 
     def end() -> None:
         nonlocal linked
@@ -69,16 +76,20 @@ def blocks(source: str) -> list[Block]:
             pieces.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        opened.subtract(name for name, *_ in stack[k:])
+        del stack[k:]
+
     for token in _TOKEN.finditer(source):
         text = token["text"]
         if text is not None:
             if not pieces:
                 if text.isspace():
                     continue
-                path = tuple(sorted({t for _, of in stack for t in of}))
+                path = tuple(sorted(stack[-1][1])) if stack else ()
             text = html.unescape(text)
             pieces.append(text)
-            if links:
+            if stack and stack[-1][2]:
                 linked += len(text.strip())
             continue
         tag = token["tag"]
@@ -95,24 +106,21 @@ def blocks(source: str) -> list[Block]:
         if tag in _VOID:
             continue
         if token["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    links = sum(name == "a" for name, _ in stack)
-                    break
+            if opened[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if not inline:
             closes = ("p",) if tag not in _CLOSES else (*_CLOSES[tag], "p")
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1 if any(opened[c] for c in closes) else -1, -1, -1):
                 if stack[k][0] in closes:
-                    del stack[k:]
-                    links = sum(name == "a" for name, _ in stack)
+                    close(k)
                     if stack and stack[-1][0] not in closes:
                         break
                 elif stack[k][0] not in _INLINE and stack[k][0] != "p":
                     break
-        if len(stack) < 256:
-            stack.append((tag, _tokens(tag, token["attributes"] or "")))
-            links += tag == "a"
+        above, links = stack[-1][1:] if stack else (frozenset(), 0)
+        own = _tokens(tag, token["attributes"] or "")
+        stack.append((tag, above if above.issuperset(own) else above.union(own), links + (tag == "a")))
+        opened[tag] += 1
     end()
     return out
