@@ -36,14 +36,19 @@ def keys_of(host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, prefixes)))
 
 
+def entry_key(key: Column) -> Column:
+    """An entry's key with its host in lower case; the path keeps its case, as in :func:`keys_of`."""
+    return F.concat(F.lower(F.regexp_extract(key, "^[^/]*", 0)), F.regexp_extract(key, "(?s)/.*$", 0))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """``list, key, valid_from, valid_to`` of dated entries ``list, key, action, day``.
 
     ``action`` is add or remove. An entry holds from the day it is added until the day it is removed (excluded, null if it never is).
     On one day a removal comes first, so an entry that is removed and added holds on. Repeated rows change nothing.
-    Entries with a null key, day or action are ignored.
+    The host of a key is compared in lower case, its path as it is. Entries with a null key, day or action are ignored.
     """
-    clean = entries.select("list", F.lower("key").alias("key"), "action", "day").filter("key is not null and day is not null and action in ('add', 'remove')")
+    clean = entries.select("list", entry_key(F.col("key")).alias("key"), "action", "day").filter("key is not null and day is not null and action in ('add', 'remove')")
     daily = clean.groupBy("key", "list", "day").agg(F.max(F.col("action") == "add").alias("holds"))
     of = Window.partitionBy("key", "list").orderBy("day")
     changes = daily.withColumn("before", F.lag("holds").over(of)).filter(F.col("before").isNull() | (F.col("before") != F.col("holds")))
