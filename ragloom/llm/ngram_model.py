@@ -23,9 +23,9 @@ MASK = (1 << BITS) - 1
 #: Log probability of a symbol below order one: any code point.
 UNIFORM = -float(np.log(0x110000))
 #: Bytes of text whose n-grams are sorted together.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 #: Distinct n-grams that a counting task holds before it hands them on.
-HELD = 2_000_000
+HELD = 1_200_000
 _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 #: The hashes of contexts differ from those of n-grams by this in their level.
 _CONTEXT = 8
