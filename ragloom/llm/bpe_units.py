@@ -14,7 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 
-REMEMBERED_UNITS = 1_000_000
+from .common import memory
+
+#: Units that a worker remembers, of up to so many characters: about 140 bytes each, 100 MB in all.
+REMEMBERED_UNITS = 700_000
 REMEMBERED_CHARS = 48
 UNITS_PER_CALL = 512
 SLICE_CHARS = 1 << 20
@@ -159,14 +162,12 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker's encoder; a worker keeps it from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder; a worker keeps it from task to task of this kind."""
+    kept = memory("encoders")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def groups(texts: list[str | None], chars: int = 1 << 20):

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Salts of :func:`join_few`.
+SALTS = 32
 #: Code points after which a text is cut at a space, so that no list of its words is large.
 SLICE_CHARS = 1 << 20
+_MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is what the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset, as in tests on one machine, a temporary folder is set.
+    unset and all runs on one machine, as in tests, a temporary folder is set.
     """
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="ragloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -68,19 +76,54 @@ def forget(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``function`` over each Arrow batch of ``df``."""
+_memories: dict[str, dict] = {}
+
+
+def memory(name: str) -> dict:
+    """What this process keeps from task to task under ``name``; what it kept under other names goes."""
+    for other in [n for n in _memories if n != name]:
+        del _memories[other]
+    return _memories.setdefault(name, {})
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the machine, for the tasks of other processes."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield function(batch)
 
-    return df.mapInArrow(each, schema)
+def tidied(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` for ``mapInArrow``, with :func:`give_back` at the end of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
+def join_few(rows: DataFrame, few: DataFrame, key: str, *by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few``, a table with one row for each value of ``key``.
+
+    Spark broadcasts ``few`` if its files are below the threshold for that. Else both are shuffled, each value of ``key`` dealt by ``by``
+    over :data:`SALTS` parts, since one value may hold much of ``rows``.
+    """
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
 
 
-def with_bytes(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """The columns ``keep`` and ``text`` as UTF-8 bytes; a null text is empty."""
-    return df.select(*keep, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
+def mixed(*parts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of rows of integers."""
+    h = np.zeros(1, np.uint64)
+    for p in parts:
+        h = (h ^ p.astype(np.uint64, copy=False)) * _MULTIPLY[0]
+        h ^= h >> np.uint64(29)
+        h *= _MULTIPLY[1]
+        h ^= h >> np.uint64(32)
+    return h
 
 
 def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
@@ -97,35 +140,41 @@ def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def with_results(docs: DataFrame, text_col: str, keep: list[str], compute: Callable[..., list[pa.Array]], fields: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def with_results(docs: DataFrame, text_col: str, keep: list[str], compute: Callable[..., list[pa.Array]], fields: str, extra: tuple[str | Column, ...] = ()) -> DataFrame:
     """One row ``row, text, out`` for each row of ``docs``.
 
     ``row`` is a struct of the columns ``keep`` but the text's own, ``text`` is the text if it is kept and
     else null, ``out`` is a struct of ``fields``. So names of columns never clash. ``compute`` gets the
     texts of a batch as bytes (null: empty) and lists of the columns ``extra``, and returns an array for each field.
     """
+    source, schema = source_rows(docs, text_col, keep, fields, extra)
+    return source.mapInArrow(tidied(computing(compute, text_col in keep, schema["out"].dataType.names, len(extra))), schema)
+
+
+def source_rows(docs: DataFrame, text_col: str, keep: list[str], fields: str, extra: tuple[str | Column, ...] = ()) -> tuple[DataFrame, T.StructType]:
+    """The rows ``row, text, _0, _1 ...`` that :func:`with_results` hands to tasks, and the schema of what it returns."""
     others = [c for c in keep if c != text_col]
-    kept = text_col in keep
+    source = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in others), F.lit(True).alias("_present")).alias("row"),
+        F.col(f"`{text_col}`").cast("string").alias("text"),
+        *((F.col(f"`{c}`") if isinstance(c, str) else c).alias(f"_{k}") for k, c in enumerate(extra)),
+    )
+    out = T._parse_datatype_string(fields)
+    return source, T.StructType([source.schema["row"], T.StructField("text", T.StringType()), T.StructField("out", out)])
+
+
+def computing(compute: Callable[..., list[pa.Array]], kept: bool, names: list[str], n_extra: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function over batches of :func:`source_rows`."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(1)
             texts = [t or b"" for t in text.cast(pa.binary()).to_pylist()]
-            found = compute(texts, *(batch.column(2 + k).to_pylist() for k in range(len(extra))))
+            found = compute(texts, *(batch.column(2 + k).to_pylist() for k in range(n_extra)))
             out = pa.StructArray.from_arrays(found, names=names)
             yield pa.RecordBatch.from_arrays([batch.column(0), text if kept else pa.nulls(len(text), pa.string()), out], ["row", "text", "out"])
 
-    from pyspark.sql import types as T
-
-    parsed = T._parse_datatype_string(fields)
-    names = parsed.names
-    source = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in others), F.lit(True).alias("_present")).alias("row"),
-        F.col(text_col).cast("string").alias("text"),
-        *(F.col(c) for c in extra),
-    )
-    schema = T.StructType([source.schema["row"], T.StructField("text", T.StringType()), T.StructField("out", parsed)])
-    return source.mapInArrow(each, schema)
+    return each
 
 
 def restored(docs: DataFrame, text_col: str) -> list:

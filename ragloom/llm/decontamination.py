@@ -2,25 +2,33 @@
 
 Patterns are windows of benchmark words. For each pattern length there is a table of shifts by
 block (a few consecutive words): a block that ends no pattern tells how far the search
-may move on at once. Where the shift is zero, the block selects the patterns that end in it, and each is
-compared with the text word by word. Most of a text is skipped.
+may move on at once. Where the shift is zero, the block selects the patterns that end in it; a hash of the other words
+picks among them, and the words themselves are compared. Most of a text is skipped: only every eleventh block is looked at
+unless it occurs in a pattern.
+
+Tables are sorted arrays; words are numbers of the table's vocabulary. A table takes up to 30 bytes a benchmark word and 130 a distinct one.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_results
+from .common import filesystem, memory, mixed, new_path, with_results
 
 WINDOW = 13
 BLOCK = 3
-#: Bytes of benchmark text whose tables are sent to the executors together; more text takes more passes.
-BYTES_PER_PASS = 32 << 20
+#: Bytes of benchmark text of one table. More text makes more tables; a task holds one at a time.
+BYTES_PER_PASS = 8 << 20
+#: Bytes of documents that are searched together.
+GROUP_BYTES = 1 << 20
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -30,47 +38,123 @@ def words(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())  # bytes: only A-Z change
 
 
+class _Vocabulary(dict):
+    """Numbers of words; -1 for words that no pattern has."""
+
+    def __missing__(self, word: bytes | None) -> int:
+        return -1
+
+
+def _rows(ids: np.ndarray, starts: np.ndarray, width: int) -> list[np.ndarray]:
+    return [ids[starts + k] for k in range(width)]
+
+
+def _spread(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``first, first + 1 ...``, ``count`` numbers for each first."""
+    before = np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(firsts, counts) + np.arange(int(counts.sum())) - before
+
+
 class WuManber:
-    """Finds patterns of one length among words."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str]], block: int = BLOCK):
-        self.length = len(next(iter(patterns)))
-        self.block = min(block, self.length)
-        self.most = self.length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.ending: dict[tuple[bytes, ...], list[tuple[list[bytes], set[str]]]] = {}
-        for pattern, items in patterns.items():
-            for end in range(self.block, self.length + 1):
-                key = pattern[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.most), self.length - end)
-            self.ending.setdefault(pattern[self.length - self.block :], []).append((list(pattern), items))
-
-    def search(self, text: list[bytes], spans: list[tuple[int, int]], items: set[str]) -> None:
-        """Adds the spans and the items of all occurrences in ``text``."""
-        shift, length, block, most = self.shift, self.length, self.block, self.most
-        end, n = length, len(text)
-        while end <= n:
-            key = tuple(text[end - block : end])
-            step = shift.get(key, most)
-            if step:
-                end += step
-                continue
-            for pattern, of in self.ending[key]:
-                if text[end - length : end] == pattern:
-                    spans.append((end - length, end))
-                    items |= of
-            end += 1
-
-
-def searchers(rows: list[tuple[str, str | None]], window: int = WINDOW) -> list[WuManber]:
-    """One searcher for each pattern length of benchmark rows (item, text)."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    for item, text in rows:
-        w = words((text or "").encode())
-        size = min(window, len(w))
-        for i in range(len(w) - size + 1 if size else 0):
-            by_length.setdefault(size, {}).setdefault(tuple(w[i : i + size]), set()).add(item)
-    return [WuManber(p) for p in by_length.values()]
+    """Finds patterns of one length. ``ids`` are the words of the texts ``(item, first, number)`` that patterns are windows of."""
+
+    def __init__(self, length: int, ids: np.ndarray, texts: list[tuple[int, int, int]], block: int = BLOCK):
+        self.length, self.block = length, min(block, length)
+        self.last = length - self.block  # where in a pattern its last block starts
+        self.ids = ids
+        items, firsts, sizes = np.array(texts, np.int64).T
+        windows = sizes - length + 1
+        starts, of = _spread(firsts, windows), np.repeat(items, windows)
+        blocks = sizes - self.block + 1
+        places = _spread(firsts, blocks)
+        shift = np.maximum(self.last - (places - np.repeat(firsts, blocks)), 0)  # a block further on ends a pattern
+        keys = mixed(*_rows(ids, places, self.block))
+        order = np.lexsort((shift, keys))
+        keys, shift = keys[order], shift[order]
+        once = np.r_[True, keys[1:] != keys[:-1]]
+        self.blocks, self.shift = keys[once], shift[once].astype(np.uint8)
+        keys = mixed(*_rows(ids, starts, length))
+        order = np.lexsort((of, keys))
+        keys, starts, of = keys[order], starts[order], of[order]
+        differs = keys[1:] != keys[:-1]
+        for k in range(length):  # equal keys of different windows stay apart
+            differs |= ids[starts[1:] + k] != ids[starts[:-1] + k]
+        first = np.flatnonzero(np.r_[True, differs])
+        self.patterns, self.starts, self.items, self.items_at = keys[first], starts[first].astype(np.int32), of.astype(np.int32), np.r_[first, len(of)]
+
+    def _shifts(self, keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.blocks, keys), len(self.blocks) - 1)
+        return np.where(self.blocks[at] == keys, self.shift[at], self.last + 1).astype(np.int64)
+
+    def search(self, text: list[bytes | None], vocabulary: _Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """Where patterns start in ``text``, and which; ``None`` stands between texts."""
+        most, number = self.last + 1, vocabulary.__getitem__
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        count = len(range(self.last, len(text) - self.block + 1, most))
+        if not count:
+            return none
+        looked = np.array([np.fromiter(map(number, text[self.last + k :: most][:count]), np.int64, count) for k in range(self.block)])
+        known = np.flatnonzero((looked >= 0).all(0))
+        shift = self._shifts(mixed(*looked[:, known]))
+        near = shift < most
+        at, shift = self.last + known[near] * most, shift[near]
+        at = _spread(at + shift, most - shift)  # what the shift leaves of the way to the next look
+        at = at[at <= len(text) - self.block]
+        looked = np.array([np.fromiter((number(text[i + k]) for i in at.tolist()), np.int64, len(at)) for k in range(self.block)])
+        ends = np.flatnonzero((looked >= 0).all(0))
+        ends = ends[self._shifts(mixed(*looked[:, ends])) == 0]
+        at = at[ends] - self.last
+        if not len(at):
+            return none
+        own = np.array([np.fromiter((number(text[i + k]) for i in at.tolist()), np.int64, len(at)) for k in range(self.length)])
+        keys = mixed(*own)
+        left, right = np.searchsorted(self.patterns, keys, "left"), np.searchsorted(self.patterns, keys, "right")
+        which, place = _spread(left, right - left), np.repeat(np.arange(len(at)), right - left)
+        same = np.ones(len(which), bool)
+        for k in range(self.length):
+            same &= own[k][place] == self.ids[self.starts[which] + k]
+        return at[place[same]], which[same]
+
+
+class Table:
+    """Searchers, one for each pattern length, of benchmark rows (item, text)."""
+
+    def __init__(self, rows: list[tuple[str | None, str | None]], window: int = WINDOW):
+        self.vocabulary, self.names, self.searchers = _Vocabulary(), [], []
+        by_length: dict[int, tuple[list[np.ndarray], list[tuple[int, int, int]]]] = {}
+        numbers: dict[str | None, int] = {}
+        for name, text in rows:
+            w = words((text or "").encode())
+            if w:
+                item = numbers.setdefault(name, len(numbers))
+                ids = np.fromiter((self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w), np.int32, len(w))
+                parts, texts = by_length.setdefault(min(window, len(w)), ([], []))
+                texts.append((item, texts[-1][1] + texts[-1][2] if texts else 0, len(w)))
+                parts.append(ids)
+        self.names = list(numbers)
+        self.searchers = [WuManber(length, np.concatenate(parts), texts) for length, (parts, texts) in by_length.items()]
+
+    def find(self, text: list[bytes | None], firsts: np.ndarray, number: int, spans: list[list[tuple[int, int]]], items: list[set]) -> None:
+        """Adds spans and names to those of each document from ``number`` on; ``firsts`` are the places of the documents' first words."""
+        for s in self.searchers:
+            at, which = s.search(text, self.vocabulary)
+            docs = np.searchsorted(firsts, at, "right") - 1
+            for doc, start in zip(docs.tolist(), (at - firsts[docs]).tolist()):
+                spans[number + doc].append((start, start + s.length))
+            pairs = np.unique(np.stack([docs, which]), axis=1)
+            for doc, p in pairs.T.tolist():
+                items[number + doc].update(self.names[i] for i in s.items[s.items_at[p] : s.items_at[p + 1]].tolist())
+
+
+def _table(path: str) -> Table:
+    """The table at ``path``, kept until another is asked for."""
+    kept = memory("benchmark tables")
+    if path not in kept:
+        kept.clear()
+        fs, at = filesystem(path)
+        with fs.open_input_stream(at) as file:
+            kept[path] = pickle.loads(file.read())
+    return kept[path]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -84,6 +168,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= GROUP_BYTES or i == len(texts) - 1:
+            yield start, i + 1
+            start, size = i + 1, 0
+
+
 _FIELDS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -93,53 +186,43 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
 
     ``spans`` are word positions (end excluded), ``items`` the benchmark items with windows that occur, sorted as
     strings. A null or empty text has no words; a benchmark text without words has no windows, one with fewer words than a window is one window. Equal
-    windows of several items count for each. The benchmark is read in passes of :data:`BYTES_PER_PASS`.
+    windows of several items count for each; rows of one item id are one item. Rows with a null item id are one item without a name, a null that comes last. Repeated
+    rows of ``docs`` all come back. Texts of any length are searched whole. An empty table on either side is fine; other columns play no part, whatever
+    their names. The benchmark comes to the driver, and to tasks, in tables of :data:`BYTES_PER_PASS`; each batch of documents meets one after the other.
     """
-    keep = docs.columns if keep is None else keep
-    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body"))
+    spark = docs.sparkSession
+    bench = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").alias("body"))
     size = bench.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    passes = max(1, math.ceil(size / BYTES_PER_PASS))
-
-    def one(rows: list[tuple[str, str | None]]) -> DataFrame:
-        session = docs.sparkSession
-        tables = session.sparkContext.broadcast(searchers(rows, window))
-
-        def compute(texts: list[bytes]) -> list[pa.Array]:
-            counts, spans, items = [], [], []
-            for text in texts:
-                w, s, of = words(text), [], set()
-                for searcher in tables.value:
-                    searcher.search(w, s, of)
-                counts.append(len(w))
-                spans.append([{"start": a, "end": b} for a, b in merged(s)])
-                items.append(sorted(of))
-            return [pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
-
-        return with_results(docs, text_col, keep if passes == 1 else sorted({*keep, text_col}), compute, _FIELDS)
-
-    if passes == 1:
-        return one([(r[0], r[1]) for r in bench.collect()])
-    parts = None
+    passes, paths = max(1, math.ceil(size / BYTES_PER_PASS)), []
+    folder = new_path(spark, "benchmark-tables")
+    fs, at = filesystem(folder)
+    fs.create_dir(at, recursive=True)
     for k in range(passes):
-        some = bench.filter(F.pmod(F.xxhash64("item", "body"), F.lit(passes)) == k).collect()
-        part = one([(r[0], r[1]) for r in some])
-        parts = part if parts is None else parts.unionAll(part)
-    spans = F.flatten(F.collect_list("out.spans"))
-    starts = F.array_sort(spans)
-    joined = F.aggregate(
-        starts,
-        F.array().cast("array<struct<start:long,end:long>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (x["start"] <= F.element_at(done, -1)["end"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
-    return (
-        parts.groupBy("row", "text", F.col("out.n_words").alias("n_words"))
-        .agg(joined.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("out.items")))).alias("items"), (F.count("*") / passes).cast("int").alias("copies"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-        .select("row", "text", F.struct("n_words", "spans", "items").alias("out"))
-    )
+        some = bench.filter(F.pmod(F.xxhash64("item", "body"), F.lit(passes)) == k) if passes > 1 else bench
+        with fs.open_output_stream(f"{at}/{k}") as file:
+            file.write(pickle.dumps(Table([(r[0], r[1]) for r in some.collect()], window)))
+        paths.append(f"{folder}/{k}")
+
+    def compute(texts: list[bytes]) -> list[pa.Array]:
+        counts = np.zeros(len(texts), np.int64)
+        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        items: list[set] = [set() for _ in texts]
+        for path in paths:
+            table = _table(path)
+            for i, j in _groups(texts):
+                flat: list[bytes | None] = []
+                firsts = np.zeros(j - i, np.int64)
+                for k in range(i, j):
+                    firsts[k - i] = len(flat)
+                    flat += words(texts[k])
+                    counts[k] = len(flat) - firsts[k - i]
+                    flat.append(None)
+                table.find(flat, firsts, i, spans, items)
+        joined = [[{"start": a, "end": b} for a, b in merged(s)] for s in spans]
+        names = [sorted(of, key=lambda x: (x is None, x)) for of in items]
+        return [pa.array(counts), pa.array(joined, _SPANS), pa.array(names, pa.list_(pa.string()))]
+
+    return with_results(docs, text_col, docs.columns if keep is None else keep, compute, _FIELDS)
 
 
 def n_hit() -> Column:

@@ -1,45 +1,36 @@
-"""A language model of code points, counted and trained by Spark and looked up in shards.
+"""A language model of code points, counted and trained by Spark.
 
 Modified Kneser-Ney of order five over whole code points. N-grams are counted exactly, as 21 bits a
 symbol in two longs, for each language and each half of its documents. Nothing is capped: tables grow with
-what the corpus holds and stay in Spark. The trained model is rows of a 64-bit hash and a logarithm, dealt to shards
-by the model and the symbol before the last, so that a shard alone decides about the positions that are its own.
+what the corpus holds and stay in Spark. A row has both halves' numbers of an n-gram, so the two models are trained
+at once, and each n-gram that occurs in one half has its probability under the other half's model without any search for
+shorter ends. These logarithms are sorted by a 64-bit hash of the n-gram. Where they fit into a task's memory, tasks read them
+whole; else they are joined with the distinct n-grams of chunks of documents.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import filesystem, new_path, written
+from .common import filesystem, forget, join_few, mixed, tidied, written
 
 ORDER, BITS = 5, 21
 MASK = (1 << BITS) - 1
-#: Log probability of a symbol below order one: any code point.
-UNIFORM = -float(np.log(0x110000))
+#: Probability of a symbol below order one: any code point.
+UNIFORM = 1 / 0x110000
 #: Bytes of text whose n-grams are sorted together.
 GROUP_BYTES = 1 << 20
 #: Distinct n-grams that a counting task holds before it hands them on.
-HELD = 1_200_000
-_MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
-#: The hashes of contexts differ from those of n-grams by this in their level.
-_CONTEXT = 8
-
-
-def mixed(*parts: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of rows of integers."""
-    h = np.zeros(1, np.uint64)
-    for p in parts:
-        h = (h ^ p.astype(np.uint64, copy=False)) * _MULTIPLY[0]
-        h ^= h >> np.uint64(29)
-        h *= _MULTIPLY[1]
-        h ^= h >> np.uint64(32)
-    return h
+HELD = 1_000_000
+#: Bytes of text of a chunk whose n-grams are joined with their values together.
+CHUNK_BYTES = 8 << 20
 
 
 def half(text: bytes) -> int:
@@ -47,6 +38,11 @@ def half(text: bytes) -> int:
     return zlib.crc32(text) & 1
 
 
+def language(lang: Column) -> Column:
+    """The number of a language: a 64-bit hash of its whole name; null is the empty one."""
+    return F.xxhash64(F.coalesce(lang.cast("string"), F.lit("")))
+
+
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First symbols (``hi``) and last three (``lo``) of the n-gram that ends at each code point, and each text's code points."""
     strings = [t.decode("utf-8", "replace") for t in texts]
@@ -82,29 +78,32 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
 
 
-def count(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``m, hi, lo, n``: how often each n-gram occurs in each model, 2 * language id + half."""
+def _texts(column: pa.Array) -> list[bytes]:
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def count(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
+    """``m, hi, lo, n0, n1``: how often each n-gram occurs in each half of the language ``m``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def fold(h, m, hi, lo, n) -> tuple[np.ndarray, ...]:
+        def fold(h, m, hi, lo, n0, n1) -> tuple[np.ndarray, ...]:
             order, firsts = _distinct(h)
             at = order[firsts]
-            return h[at], m[at], hi[at], lo[at], np.add.reduceat(n[order], firsts)
+            return h[at], m[at], hi[at], lo[at], *(np.add.reduceat(n[order], firsts, dtype=np.int32) for n in (n0, n1))
 
         def out(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in part[1:]], ["m", "hi", "lo", "n"])
+            return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in part[1:4]), *map(pa.array, part[4:])], ["m", "hi", "lo", "n0", "n1"])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            ids, texts = batch.column(0).to_numpy(), _texts(batch.column(1))
             for i, j in groups(texts):
                 hi, lo, lengths = grams(texts[i:j])
                 if not len(hi):
                     continue
-                m = np.repeat(2 * ids[i:j] + np.array([half(t) for t in texts[i:j]]), lengths)
-                held.append(fold(mixed(m, hi, lo), m, hi, lo, np.ones(len(hi), np.int64)))
+                m, n1 = np.repeat(ids[i:j], lengths), np.repeat(np.array([half(t) for t in texts[i:j]], np.int32), lengths)
+                held.append(fold(mixed(m, hi, lo), m, hi, lo, 1 - n1, n1))
                 if sum(len(x[0]) for x in held) > HELD:
                     held = [fold(*map(np.concatenate, zip(*held)))]
                     if len(held[0][0]) > HELD // 2:
@@ -112,8 +111,8 @@ def count(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if held:
             yield out(fold(*map(np.concatenate, zip(*held))))
 
-    counted = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(each, "m long, hi long, lo long, n long")
-    return counted.groupBy("m", "hi", "lo").agg(F.sum("n").alias("n"))
+    counted = docs.select(lang.alias("m"), text.cast("string").alias("text")).mapInArrow(tidied(each), "m long, hi long, lo long, n0 int, n1 int")
+    return counted.groupBy("m", "hi", "lo").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def _suffix(k: int) -> list[Column]:
@@ -129,144 +128,142 @@ def _context() -> list[Column]:
 
 
 def _discounts(level: DataFrame) -> DataFrame:
-    """``m, d1, d2, d3`` of modified Kneser-Ney for each model."""
-    of = level.groupBy("m").agg(*(F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)))
-    n = lambda k: F.nullif(F.col(f"n{k}"), F.lit(0.0))
-    y = n(1) / (F.col("n1") + 2 * F.col("n2"))
-    d = [k - (k + 1) * y * F.col(f"n{k + 1}") / n(k) for k in (1, 2, 3)]
-    return of.select("m", *(F.when(x > 0, F.least(x, F.lit(float(k)))).otherwise(0.5 * k).alias(f"d{k}") for k, x in enumerate(d, 1)))
+    """``m, d01, d02, d03, d11, d12, d13`` of modified Kneser-Ney for each language and half."""
+    of = level.groupBy("m").agg(*(F.sum((F.col(f"n{h}") == k).cast("double")).alias(f"n{h}{k}") for h in (0, 1) for k in (1, 2, 3, 4)))
+    out = []
+    for h in (0, 1):
+        n = lambda k: F.nullif(F.col(f"n{h}{k}"), F.lit(0.0))  # noqa: B023, E731
+        y = n(1) / (F.col(f"n{h}1") + 2 * F.col(f"n{h}2"))
+        for k in (1, 2, 3):
+            x = k - (k + 1) * y * F.col(f"n{h}{k + 1}") / n(k)
+            out.append(F.when(x > 0, F.least(x, F.lit(float(k)))).otherwise(0.5 * k).alias(f"d{h}{k}"))
+    return of.select("m", *out)
 
 
 def train(counts: DataFrame) -> DataFrame:
-    """``m, level, hi, lo, v``: log probabilities of n-grams of each level, and log weights of contexts (level + 8)."""
+    """``m, hi, lo, n0, n1, p0, p1``: probabilities of the n-grams of ``counts``, a table, under the model of each half.
+
+    An n-gram that a half does not have gets what its model gives the symbol after the longest end that it knows. The groups of a window
+    are the symbols after one context, so they hold no more rows than there are code points.
+    """
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):  # lower orders count the different symbols before
-        levels[k] = written(levels[k + 1].select("m", *_suffix(k)).groupBy("m", "hi", "lo").agg(F.count("*").alias("n")), f"level-{k}")
-    model, below = [], None
+        of = levels[k + 1].select("m", *_suffix(k), *((F.col(f"n{h}") > 0).cast("int").alias(f"n{h}") for h in (0, 1)))
+        levels[k] = written(of.groupBy("m", "hi", "lo").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), f"level-{k}")
+    below = None
     for k in range(1, ORDER + 1):
-        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        grams_ = levels[k].join(F.broadcast(_discounts(levels[k])), "m").select("m", "hi", "lo", "n", d.alias("d"), *_context())
-        contexts = grams_.groupBy("m", "chi", "clo").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("freed"))
-        contexts = written(contexts, f"contexts-{k}")
-        p = grams_.join(contexts, ["m", "chi", "clo"])
+        few = written(_discounts(levels[k]), "discounts")
+        rows = join_few(levels[k], few, "m", "hi", "lo").select("m", "hi", "lo", "n0", "n1", *_context(), *(
+            F.when(F.col(f"n{h}") == 0, 0.0).when(F.col(f"n{h}") == 1, F.col(f"d{h}1")).when(F.col(f"n{h}") == 2, F.col(f"d{h}2")).otherwise(F.col(f"d{h}3")).alias(f"d{h}") for h in (0, 1)
+        ))
+        after = Window.partitionBy("m", "chi", "clo")
+        rows = rows.select("*", *(F.sum(f"{x}{h}").over(after).alias(f"{name}{h}") for h in (0, 1) for x, name in (("n", "total"), ("d", "freed"))))
         if below is None:
-            p = p.withColumn("lower", F.lit(float(np.exp(UNIFORM))))
+            rows = rows.withColumn("lower0", F.lit(UNIFORM)).withColumn("lower1", F.lit(UNIFORM))
         else:
-            low = below.select("m", F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("p").alias("lower"))
+            low = below.select("m", F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("p0").alias("lower0"), F.col("p1").alias("lower1"))
             s = _suffix(k - 1)
-            p = p.withColumn("shi", s[0]).withColumn("slo", s[1]).join(low, ["m", "shi", "slo"])
-        below = written(p.select("m", "hi", "lo", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("freed") * F.col("lower")).alias("p")), f"probabilities-{k}")
-        model.append(below.select("m", F.lit(k).alias("level"), "hi", "lo", F.log("p").alias("v")))
-        model.append(contexts.select("m", F.lit(k - 1 + _CONTEXT).alias("level"), F.col("chi").alias("hi"), F.col("clo").alias("lo"), F.log("freed").alias("v")))
-    out = model[0]
-    for part in model[1:]:
-        out = out.unionAll(part)
-    return out
+            rows = rows.withColumn("shi", s[0]).withColumn("slo", s[1]).join(low, ["m", "shi", "slo"])
+        p = [
+            F.when(F.col(f"total{h}") > 0, (F.col(f"n{h}") - F.col(f"d{h}")) / F.col(f"total{h}") + F.col(f"freed{h}") / F.col(f"total{h}") * F.col(f"lower{h}")).otherwise(F.col(f"lower{h}")).alias(f"p{h}")
+            for h in (0, 1)
+        ]
+        last, below = below, written(rows.select("m", "hi", "lo", *["n0", "n1"] * (k == ORDER), *p), f"probabilities-{k}")
+        forget(few, levels[k], *[last] * (last is not None))
+    return below
 
 
-def _shard(m: np.ndarray, symbol: np.ndarray, shards: int) -> np.ndarray:
-    return (mixed(m, symbol) % np.uint64(shards)).astype(np.int64)
+def values(trained: DataFrame) -> DataFrame:
+    """``key, v``, a table sorted by key: the log probability of each n-gram of a half under the model of the other half."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, hi, lo, n0, n1, p0, p1 = (c.to_numpy() for c in batch.columns)
+            for h, n, p in ((0, n0, p1), (1, n1, p0)):
+                has = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(mixed(m[has], np.uint64([h]), hi[has], lo[has]).view(np.int64)), pa.array(np.log(p[has]))], ["key", "v"])
+
+    found = written(trained.mapInArrow(each, "key long, v double").repartitionByRange("key").sortWithinPartitions("key"), "values")
+    forget(trained)
+    return found
 
 
 class Model:
-    """The shards of a trained model, read where a task needs them; shard -1 is of use to all positions."""
+    """The values of n-grams in sorted arrays, read when a task first needs them."""
 
-    def __init__(self, path: str, shards: int, present: list[int]):
-        self.path, self.shards, self.present, self.held = path, shards, present, {}
+    def __init__(self, path: str):
+        self.path, self.held = path, None
 
     def __getstate__(self):
-        return self.path, self.shards, self.present
+        return self.path
 
     def __setstate__(self, state):
-        self.__init__(*state)
+        self.__init__(state)
 
-    def _read(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        if shard not in self.held:
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        if self.held is None:
             from pyarrow import dataset
 
-            if shard >= 0:  # one shard at a time
-                self.held = {k: x for k, x in self.held.items() if k < 0}
-            h, v = np.zeros(0, np.uint64), np.zeros(0)
-            if shard in self.present:
-                fs, at = filesystem(f"{self.path}/shard={shard}")
-                rows = dataset.dataset(at, filesystem=fs, format="parquet").to_table(columns=["h", "v"])
-                h = rows.column("h").to_numpy().view(np.uint64)
-                order = np.argsort(h)
-                h, v = h[order], rows.column("v").to_numpy()[order]
-            self.held[shard] = h, v
-        return self.held[shard]
-
-    def _find(self, shard: int, m: np.ndarray, level: int, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which n-grams the shard has, and their logarithms (0 for the others)."""
-        keys, values = self._read(shard)
-        if not len(keys):
-            return np.zeros(len(m), bool), np.zeros(len(m))
-        wanted = mixed((m << 4) | level, hi, lo)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        found = keys[at] == wanted
-        return found, np.where(found, values[at], 0.0)
-
-    def _logs(self, m: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-        """Log probabilities of n-grams: the longest known end of each, and the weights of the contexts left out."""
-        out = np.zeros(len(m))
-        of = _shard(m, (lo >> np.uint64(BITS)) & np.uint64(MASK), self.shards)
-        left = []
-        for shard in self.present:
-            todo = np.flatnonzero(of == shard)
-            for k in range(ORDER, 1, -1):
-                if not len(todo):
-                    break
-                low = np.uint64((1 << (BITS * min(k, 3))) - 1)
-                a, b, of_m = hi[todo] & np.uint64((1 << (BITS * max(k - 3, 0))) - 1), lo[todo] & low, m[todo]
-                found, v = self._find(shard, of_m, k, a, b)
-                out[todo] += v
-                todo, a, b, of_m = todo[~found], a[~found], b[~found], of_m[~found]
-                moved = ((a & np.uint64(MASK)) << np.uint64(2 * BITS)) | (b >> np.uint64(BITS))
-                out[todo] += self._find(shard, of_m, k - 1 + _CONTEXT, a >> np.uint64(BITS), moved)[1]
-            left.append(todo)
-        todo = np.concatenate([*left, np.flatnonzero(~np.isin(of, self.present))])
-        zero = np.zeros(len(todo), np.uint64)
-        found, v = self._find(-1, m[todo], 1, zero, lo[todo] & np.uint64(MASK))
-        out[todo] += np.where(found, v, self._find(-1, m[todo], _CONTEXT, zero, zero)[1] + UNIFORM)
-        return out
-
-    def log_perplexity(self, texts: list[bytes], ids: list[int]) -> tuple[list[float | None], list[int]]:
-        """Log perplexity of each text (null if it is empty) under its language's other half, and its code points."""
-        out: list[float | None] = []
-        sizes: list[int] = []
-        for i, j in groups(texts):
-            hi, lo, lengths = grams(texts[i:j])
-            m = np.repeat(2 * np.array(ids[i:j], np.int64) + np.array([1 - half(t) for t in texts[i:j]]), lengths)
-            order, firsts = _distinct(mixed(m, hi, lo))
-            values = np.zeros(len(hi))
-            if len(hi):
-                at = order[firsts]
-                values[order] = np.repeat(self._logs(m[at], hi[at], lo[at]), np.diff(np.r_[firsts, len(hi)]))
-            sums = np.concatenate([[0.0], np.cumsum(values)])
-            ends = np.cumsum(lengths)
-            out += [-(sums[e] - sums[e - n]) / n if n else None for e, n in zip(ends.tolist(), lengths.tolist())]
-            sizes += lengths.tolist()
-        return out, sizes
-
-
-def sharded(model: DataFrame, per_shard: int) -> Model:
-    """``model`` written as shards of about ``per_shard`` rows."""
-    shards = max(1, -(-model.count() // per_shard))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, at = filesystem(self.path)
+            rows = dataset.dataset(at, filesystem=fs, format="parquet").to_table(columns=["key", "v"])
+            k, v = (rows.column(c).to_numpy() for c in ("key", "v"))
+            del rows
+            if len(k) and (k[1:] < k[:-1]).any():  # files of another order
+                order = np.argsort(k)
+                k, v = k[order], v[order]
+            self.held = k, v
+        return self.held[1][np.searchsorted(self.held[0], keys)]
+
+
+def _keys(texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The key of the n-gram that ends at each code point, and each text's code points."""
+    hi, lo, lengths = grams(texts)
+    return mixed(np.repeat(ids, lengths), np.repeat(np.array([half(t) for t in texts], np.uint64), lengths), hi, lo).view(np.int64)[: len(hi)], lengths
+
+
+def log_perplexity(texts: list[bytes], ids: list[int], find: Callable[[np.ndarray], np.ndarray]) -> tuple[list[float | None], list[int]]:
+    """Log perplexity of each text (null if it is empty) under its language's other half, and its code points."""
+    out: list[float | None] = []
+    sizes: list[int] = []
+    for i, j in groups(texts):
+        keys, lengths = _keys(texts[i:j], np.array(ids[i:j], np.int64))
+        order, firsts = _distinct(keys)
+        found = np.zeros(len(keys))
+        if len(keys):
+            found[order] = np.repeat(find(keys[order[firsts]]), np.diff(np.r_[firsts, len(keys)]))
+        sums = np.concatenate([[0.0], np.cumsum(found)])
+        ends = np.cumsum(lengths)
+        out += [-(sums[e] - sums[e - n]) / n if n else None for e, n in zip(ends.tolist(), lengths.tolist())]
+        sizes += lengths.tolist()
+    return out, sizes
+
+
+def by_join(source: DataFrame, found: DataFrame, compute: Callable[[pa.Table, Callable[[np.ndarray], np.ndarray]], pa.Table], schema: T.StructType, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``compute`` over chunks of ``source`` (``row, text, m``) with the values of the chunk's n-grams; for values that no task can hold.
+
+    Rows are dealt at random to chunks of about ``chunk_bytes``; only distinct n-grams of a chunk are shuffled.
+    """
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, -(-total // chunk_bytes))
+    dealt = source.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)))
+    dealt = written(dealt.repartition("chunk").sortWithinPartitions("chunk"), "chunks")
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m, level, hi, lo = (batch.column(k).to_numpy() for k in range(4))
-            symbol = np.where(level >= _CONTEXT, lo, lo >> BITS) & MASK
-            everywhere = (level == 1) | (level == _CONTEXT)
-            shard = np.where(everywhere, -1, _shard(m, symbol, shards))
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(mixed((m << 4) | level, hi, lo).view(np.int64)), batch.column(4)], ["shard", "h", "v"])
-
-    rows = model.mapInArrow(each, "shard long, h long, v double")
-    if shards > 1:
-        rows = rows.repartition("shard", F.pmod("h", F.lit(16)))
-    path = new_path(model.sparkSession, "model")
-    rows.write.partitionBy("shard").parquet(path)
-    if not model.take(1):
-        return Model(path, shards, [])
-    present = [r.shard for r in model.sparkSession.read.parquet(path).select(F.col("shard").cast("long")).distinct().collect()]
-    return Model(path, shards, sorted(present))
+            texts, ids, chunk = _texts(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True]).tolist() if len(chunk) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                for i, j in groups(texts[a:b]):
+                    keys = np.unique(_keys(texts[a + i : a + j], ids[a + i : a + j])[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk[a])), pa.array(keys)], ["chunk", "key"])
+
+    wanted = dealt.select("text", "m", "chunk").mapInArrow(tidied(distinct), "chunk long, key long").distinct()
+    known = wanted.join(found, "key").select("chunk", "key", "v")
+
+    def together(left: pa.Table, right: pa.Table) -> pa.Table:
+        k, v = (right.column(c).to_numpy() for c in ("key", "v"))
+        order = np.argsort(k)
+        k, v = k[order], v[order]
+        return compute(left, lambda keys: v[np.searchsorted(k, keys)])
+
+    return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(together, T.StructType([dealt.schema["row"], *schema.fields[1:]]))

@@ -4,30 +4,20 @@ The language model is that of :mod:`ngram_model`: whole code points, counted ove
 half of a language's documents. A document is scored by the half that it is not in, so its own n-grams
 do not count as seen. A language's documents form a distribution of log perplexity; a document outside the
 language's band, on either side, is rejected.
-
-The functions over 64 classes of bytes are a small model for one machine's memory; :func:`judge` does not use them.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_model
-from .common import with_results, written
+from .common import computing, forget, join_few, source_rows, tidied, written
 
-ORDER, BITS = 4, 6
-#: Languages of the model of byte classes.
-LANGUAGES = 64
-#: Rows of the model that a scoring task holds at once; larger models take further passes.
-NGRAMS_PER_PASS = 1 << 24
-#: Bytes of text whose n-grams are sorted together.
-GROUP_BYTES = 4 << 20
+#: N-gram values that a scoring task holds at once, 16 bytes each; more are joined with chunks of documents.
+VALUES_PER_TASK = 6 << 20
 #: Half widths of the bands below and above the median. The unit is the spread of a document's length:
 #: the distance between the median and the 16th (84th) percentile, and the chance variation of n symbols.
 LOW_WIDTH, HIGH_WIDTH = 2.5, 2.5
@@ -35,30 +25,10 @@ LOW_WIDTH, HIGH_WIDTH = 2.5, 2.5
 LEAST_DISTANCE = 0.02
 #: Variance of a symbol's log probability, for the chance variation.
 SYMBOL_VARIANCE = 1.0
-#: Log probability of an n-gram that the model has not seen.
-UNSEEN = float(np.log(1e-6))
-
 WINDOW = 8
 BASE_FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def _classes() -> np.ndarray:
-    """The class of each byte; 0 is the start of a text and no byte's."""
-    table = np.zeros(256, np.uint32)
-    table[:128] = 1  # control and other punctuation
-    table[ord(" ")] = 2
-    table[ord("\n")] = 3
-    table[ord("0") : ord("9") + 1] = 4
-    for i, c in enumerate(b"abcdefghijklmnopqrstuvwxyz"):
-        table[c], table[c - 32] = 5 + i, 31 + i
-    table[list(b".,;:")] = 57
-    table[list(b"#*$%&|<>")] = 58
-    table[0x80:0xC0] = 59 + np.arange(64) % 4
-    table[0xC0:] = 63
-    return table
-
-
-CLASS = _classes()
 _SPACE = bytes(range(9, 14)) + b" "
 _NOT_CHARS = _SPACE + bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
@@ -108,143 +78,31 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     )
 
 
-def language_class(lang: str | None) -> int:
-    return zlib.crc32((lang or "").encode()) % LANGUAGES
-
-
-def _grams(texts: list[bytes], langs: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The coded n-grams of texts and the number of them in each text (one for each byte)."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    pad = b"\0" * (ORDER - 1)
-    raw = np.frombuffer(pad + pad.join(texts), np.uint8)
-    start = np.ones(len(raw), bool)
-    ends = np.cumsum(lengths + ORDER - 1)
-    for k in range(ORDER - 1):
-        start[ends[:-1] + k] = False
-        start[k] = False
-    symbols = np.where(start, CLASS[raw], np.uint32(0)).astype(np.uint32)
-    code = np.zeros(len(raw) - ORDER + 1, np.uint32)
-    for k in range(ORDER):
-        code |= symbols[k : k + len(code)] << np.uint32(BITS * (ORDER - 1 - k))
-    code = code[start[ORDER - 1 :]]
-    return code | np.repeat(np.array(langs, np.uint32) << np.uint32(BITS * ORDER), lengths), lengths
-
-
-def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= GROUP_BYTES:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def count_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """``code, n``: how often each n-gram occurs in all documents, language by language."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            codes, counts = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            order = np.argsort(codes, kind="stable")
-            codes, counts = codes[order], counts[order]
-            firsts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-            return codes[firsts], np.add.reduceat(counts, firsts)
-
-        def out(part: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(part[0].astype(np.int32)), pa.array(part[1])], ["code", "n"])
-
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            langs = [language_class(x) for x in batch.column(0).to_pylist()]
-            for i, j in _groups(texts):
-                codes, counts = np.unique(_grams(texts[i:j], langs[i:j])[0], return_counts=True)
-                if len(codes):
-                    held.append((codes, counts.astype(np.int64)))
-                if sum(len(h[0]) for h in held) > 6_000_000:
-                    held = [fold()]
-                    if len(held[0][0]) > 4_000_000:
-                        yield out(held.pop())
-        if held:
-            yield out(fold())
-
-    counted = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(each, "code int, n long")
-    return counted.groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _discounts(group: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The three discounts of modified Kneser-Ney for each language class; rows are classes."""
-    of = [np.bincount(group[counts == k], minlength=LANGUAGES).astype(float) for k in (1, 2, 3, 4)]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        y = of[0] / (of[0] + 2 * of[1])
-        d = np.stack([k + 1 - (k + 2) * y * of[k + 1] / of[k] for k in (0, 1, 2)], 1)
-    fallback = np.array([0.5, 1.0, 1.5])
-    return np.where(np.isfinite(d) & (d > 0), np.minimum(d, [1.0, 2.0, 3.0]), fallback)
-
-
-def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Log probabilities of the distinct n-grams ``codes`` (sorted), seen ``counts`` times."""
-    levels = [(codes.astype(np.int64), counts.astype(np.int64))]
-    for k in range(ORDER - 1, 0, -1):  # lower orders count the different symbols before
-        longer = levels[-1][0]
-        lang, tail = longer >> (BITS * (k + 1)), longer & ((1 << (BITS * k)) - 1)
-        levels.append(np.unique((lang << (BITS * k)) | tail, return_counts=True))
-    below = np.full(1, 1.0 / (1 << BITS))
-    below_codes = None
-    for k, (code, n) in zip(range(1, ORDER + 1), reversed(levels)):
-        lang, context = code >> (BITS * k), code >> BITS
-        d = _discounts(lang, n)[lang, np.minimum(n, 3) - 1]
-        contexts, at = np.unique(context, return_inverse=True)
-        total = np.bincount(at, n, len(contexts))
-        freed = np.bincount(at, d, len(contexts))
-        lower = below[0] if below_codes is None else below[np.searchsorted(below_codes, (lang << (BITS * (k - 1))) | (code & ((1 << (BITS * (k - 1))) - 1)))]
-        below = np.maximum(n - d, 0) / total[at] + (freed / total)[at] * lower
-        below_codes = code
-    return np.log(below).astype(np.float32)
-
-
-def train(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The model of a table of counts: sorted hashes and log probabilities."""
-    rows = counts.toArrow()
-    codes, n = rows.column("code").to_numpy().astype(np.uint32), rows.column("n").to_numpy()
-    order = np.argsort(codes)
-    return codes[order], kneser_ney(codes[order], n[order]) if len(codes) else np.zeros(0, np.float32)
-
-
-def _log_perplexity(texts: list[bytes], langs: list[int], codes: np.ndarray, logs: np.ndarray) -> list[float | None]:
-    out: list[float | None] = []
-    for i, j in _groups(texts):
-        grams, lengths = _grams(texts[i:j], langs[i:j])
-        if len(codes):
-            at = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
-            values = np.where(codes[at] == grams, logs[at], np.float32(UNSEEN))
-        else:
-            values = np.full(len(grams), UNSEEN, np.float32)
-        sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-        ends = np.cumsum(lengths)
-        out += [-(sums[e] - sums[e - n]) / n if n else None for e, n in zip(ends.tolist(), lengths.tolist())]
-    return out
+def score(docs: DataFrame, values: DataFrame, keep: list[str], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """Rows ``row, text, out`` of ``docs``: the base counts, ``lang_id``, ``n_chars`` and ``log_perplexity`` (null without text).
 
+    ``values`` is a table of :func:`ngram_model.values`. Either way of finding them gives the same rows.
+    """
+    fields = BASE_FIELDS + ", lang_id long, n_chars long, log_perplexity double"
+    source, schema = source_rows(docs, text_col, keep, fields, (ngram_model.language(F.col(f"`{lang_col}`")),))
+    names = schema["out"].dataType.names
 
-def language_ids(docs: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """``_lang, _lang_id``: an own number for each distinct language; a null language is the empty one."""
-    names = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang")).distinct()
-    return written(names.withColumn("_lang_id", F.row_number().over(Window.orderBy("_lang")).cast("long")), "languages")
+    def compute(find):
+        def of(texts: list[bytes], ids: list[int]) -> list[pa.Array]:
+            base = list(zip(*map(base_counts, texts))) or [()] * 5
+            logs, sizes = ngram_model.log_perplexity(texts, ids, find)
+            return [*(pa.array(c, pa.int64()) for c in base), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(logs, pa.float64())]
 
+        return computing(of, text_col in keep, names, 1)
 
-def score(docs: DataFrame, model: ngram_model.Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Rows ``row, text, out`` of ``docs`` with ``_lang_id``: the base counts, ``lang_id``, ``n_chars`` and ``log_perplexity`` (null without text)."""
-    fields = BASE_FIELDS + ", lang_id long, n_chars long, log_perplexity double"
+    if values.count() <= VALUES_PER_TASK:
+        return source.mapInArrow(tidied(compute(ngram_model.Model(values._ragloom_path).find)), schema)
 
-    def compute(texts: list[bytes], ids: list[int]) -> list[pa.Array]:
-        base = list(zip(*map(base_counts, texts))) or [()] * 5
-        logs, sizes = model.log_perplexity(texts, ids)
-        return [*(pa.array(c, pa.int64()) for c in base), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(logs, pa.float64())]
+    def together(rows: pa.Table, find) -> pa.Table:
+        batches = rows.select(["row", "text", "m"]).combine_chunks().to_batches(max_chunksize=4096)
+        return pa.Table.from_batches(list(compute(find)(iter(batches))))
 
-    return with_results(docs, text_col, keep, compute, fields, extra=("_lang_id",))
+    return ngram_model.by_join(source.withColumnRenamed("_0", "m"), values, together, schema)
 
 
 def bands(scored: DataFrame) -> DataFrame:
@@ -264,20 +122,19 @@ def judge(docs: DataFrame, keep: list[str] | None = None, lang_col: str = "lang"
 
     ``low`` and ``high`` are the perplexities between which a document of this language and length stays.
     Null and empty texts have no words and fail the base rules. Each distinct language has its own model and band; a null
-    language is the empty one. Repeated rows are judged alike and all come back. Counts, model and
-    bands come from all rows of ``docs``.
+    language is the empty one. Repeated rows are judged alike and all come back. Texts of any length are judged whole; an empty table gives
+    an empty result; ids and other columns play no part, whatever their names. Counts, model and bands come from all rows of ``docs``.
     """
-    ids = language_ids(docs, lang_col)
-    of_language = docs.join(ids, F.coalesce(docs[lang_col].cast("string"), F.lit("")) == ids["_lang"])
-    counts = written(ngram_model.count(of_language, "_lang_id", text_col), "ngram-counts")
-    model = ngram_model.sharded(ngram_model.train(counts), NGRAMS_PER_PASS)
-    scored = written(score(of_language, model, docs.columns if keep is None else keep, text_col), "quality-scores")
-    limits = bands(scored.select("out.*"))
+    counts = ngram_model.count(docs, ngram_model.language(F.col(f"`{lang_col}`")), F.col(f"`{text_col}`"))
+    values = ngram_model.values(ngram_model.train(written(counts, "ngram-counts")))
+    scored = written(score(docs, values, docs.columns if keep is None else keep, lang_col, text_col), "quality-scores")
+    forget(values)
+    limits = written(bands(scored.select("out.*")), "bands")
     chance = F.lit(SYMBOL_VARIANCE) / F.nullif(F.col("out.n_chars"), F.lit(0))
     low = F.col("middle") - low_width * F.sqrt(F.col("below") * F.col("below") + chance)
     high = F.col("middle") + high_width * F.sqrt(F.col("above") * F.col("above") + chance)
     return (
-        scored.join(limits, scored["out.lang_id"] == limits["lang_id"], "left")
+        join_few(scored.withColumn("lang_id", F.col("out.lang_id")), limits, "lang_id", "out", how="left")
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("out.log_perplexity").between(low, high), F.lit(False)))
         .select("row", "text", "out", "base_failed", "kept", F.exp("out.log_perplexity").alias("perplexity"), F.exp(low).alias("low"), F.exp(high).alias("high"))

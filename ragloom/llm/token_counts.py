@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import memory, slices, tidied
 
 #: Units remembered by a worker; beyond it the memory starts anew.
 REMEMBERED_UNITS = 600_000
@@ -114,14 +114,12 @@ class Counter:
         return out
 
 
-_counters: dict[str, Counter] = {}
-
-
 def _counter(path: str, proven: frozenset[str]) -> Counter:
-    """The worker's counter; a worker keeps it from task to task."""
-    if path not in _counters:
-        _counters[path] = Counter(path, proven)
-    return _counters[path]
+    """The worker's counter; a worker keeps it from task to task of this kind."""
+    kept = memory("token counters")
+    if path not in kept:
+        kept[path] = Counter(path, proven)
+    return kept[path]
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -132,14 +130,14 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col:
     ignored, whatever their names. An empty table gives an empty result.
     """
     path = public_tokenizers.path(vocabulary)
-    proven = prove_whole_tokens(path)
+    proven = docs.sparkSession.sparkContext.broadcast(prove_whole_tokens(path))  # no larger than the vocabulary
 
     def each(batches):
-        counter = _counter(path, proven)
+        counter = _counter(path, proven.value)
         for batch in batches:
             n = counter.count([t or "" for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("_text"))
-    return slim.mapInArrow(each, f"_id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("_id", id_col)
+    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.octet_length(f"`{text_col}`"), F.lit(0)).cast("long").alias("n_bytes"), F.col(f"`{text_col}`").alias("_text"))
+    return slim.mapInArrow(tidied(each), f"_id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("_id", id_col)

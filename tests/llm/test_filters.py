@@ -12,7 +12,7 @@ import pytest
 from conftest import *  # noqa: F403
 from pyspark.sql import functions as F
 
-from ragloom.llm import decontamination, html_extraction, quality, toxicity, url_lists, warc
+from ragloom.llm import decontamination, html_extraction, ngram_model, quality, toxicity, url_lists, warc
 from ragloom.llm.common import new_path
 from ragloom.llm.html_blocks import blocks
 
@@ -30,13 +30,13 @@ def plain_hits(text, items):
             for k in range(len(w) - size + 1):
                 if w[k : k + size] == b[i : i + size]:
                     hit.update(range(k, k + size))
-                    of.add(str(item))
-    return len(w), len(hit), sorted(of)
+                    of.add(item if item is None else str(item))
+    return len(w), len(hit), sorted(of, key=lambda x: (x is None, x))
 
 
 def contamination_cases():
-    items = [(0, prose(50, 30)), (1, prose(50, 20)), (2, "Two words"), (3, None), (4, ""), (5, "..."), (6, "Ärger ß 日本"), (7, prose(51, 13)), (8, "one"), (9, prose(50, 30))]  # noqa: F405
-    texts = [None, "", prose(50, 30), prose(60, 40) + " " + prose(50, 30) + " " + prose(61, 5), prose(50, 12), "x two, WORDS! two words", "ärger ß 日本", "Ärger ß 日本 Ärger ß 日本", prose(51, 13) + " " + prose(51, 13), "one One ONE"]  # noqa: F405
+    items = [(None, prose(50, 14)), (None, prose(52, 20)), (0, prose(50, 30)), (1, prose(50, 20)), (2, "Two words"), (3, None), (4, ""), (5, "..."), (6, "Ärger ß 日本"), (7, prose(51, 13)), (8, "one"), (9, prose(50, 30))]  # noqa: F405
+    texts = [None, "", prose(50, 30), prose(60, 40) + " " + prose(50, 30) + " " + prose(61, 5), prose(50, 12), "x two, WORDS! two words", "ärger ß 日本", "Ärger ß 日本 Ärger ß 日本", prose(51, 13) + " " + prose(51, 13), "one One ONE", prose(52, 19), prose(52, 13) * 2]  # noqa: F405
     return items, list(enumerate(texts)) + [(2, prose(50, 30))]  # noqa: F405
 
 
@@ -80,58 +80,6 @@ def test_base_counts():
         assert quality.base_counts((t or "").encode()) == plain_counts(t), t
 
 
-def plain_kneser_ney(counts):
-    """Modified Kneser-Ney of order four by the textbook, over tuples of symbols of one language."""
-    levels = {4: Counter(counts)}
-    for k in (3, 2, 1):
-        levels[k] = Counter(g[1:] for g in levels[k + 1])
-
-    def discounts(c):
-        n = Counter(c.values())
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else float("nan")
-        out = []
-        for k, fallback in ((1, 0.5), (2, 1.0), (3, 1.5)):
-            d = k - (k + 1) * y * n[k + 1] / n[k] if n[k] else float("nan")
-            out.append(min(d, k) if d > 0 else fallback)
-        return out
-
-    d = {k: discounts(levels[k]) for k in levels}
-
-    def p(g):
-        if not g:
-            return 1 / 64
-        k, c = len(g), levels[len(g)]
-        of = {h: n for h, n in c.items() if h[:-1] == g[:-1]}
-        total = sum(of.values())
-        freed = sum(d[k][min(n, 3) - 1] for n in of.values())
-        return max(of.get(g, 0) - d[k][min(of[g], 3) - 1], 0) / total + freed / total * p(g[1:])
-
-    return {g: math.log(p(g)) for g in counts}
-
-
-def test_model_is_modified_kneser_ney():
-    text = prose(5, 60).encode()  # noqa: F405
-    symbols = [0, 0, 0, *quality.CLASS[np.frombuffer(text, np.uint8)].tolist()]
-    expected = plain_kneser_ney(Counter(tuple(symbols[i : i + 4]) for i in range(len(symbols) - 3)))
-    codes, counts = np.unique(quality._grams([text], [5])[0], return_counts=True)
-    logs = quality.kneser_ney(codes, counts)
-    for code, log in zip(codes.tolist(), logs.tolist(), strict=True):
-        assert code >> 24 == 5
-        g = tuple(code >> s & 63 for s in (18, 12, 6, 0))
-        assert log == pytest.approx(expected[g], abs=1e-4)
-    lp = quality._log_perplexity([text, b""], [5, 5], codes, logs)
-    assert lp[1] is None
-    assert lp[0] == pytest.approx(-sum(expected[tuple(symbols[i : i + 4])] for i in range(len(text))) / len(text), abs=1e-4)
-
-
-def test_counts_are_of_all_documents(docs):
-    expected = Counter()
-    for _, text, lang, _ in ROWS:  # noqa: F405
-        codes, n = np.unique(quality._grams([(text or "").encode()], [quality.language_class(lang)])[0], return_counts=True)
-        expected.update(dict(zip(codes.tolist(), n.tolist())))
-    assert {r.code & 0xFFFFFFFF: r.n for r in quality.count_ngrams(docs).collect()} == dict(expected)
-
-
 def test_judge(spark, docs, no_docs):
     rows = quality.judge(docs, keep=["doc_id", "n_words"]).collect()
     assert len(rows) == len(ROWS)  # noqa: F405
@@ -147,12 +95,16 @@ def test_judge(spark, docs, no_docs):
     assert all(kept[i] for i, *_ in usual) and not kept[1000]
 
 
-def test_passes_by_language_agree(docs, monkeypatch):
+@pytest.mark.parametrize("chunk_bytes", [1 << 10, 1 << 20])
+def test_both_ways_of_finding_values_agree(docs, monkeypatch, chunk_bytes):
     def found():
-        return sorted((r.row.doc_id, r.kept, round(r.perplexity or 0, 6)) for r in quality.judge(docs, keep=["doc_id"]).collect())
+        rows = quality.judge(docs).collect()
+        assert all(r.row.score == 1.5 for r in rows)
+        return sorted((r.row.doc_id, r.text or "", r.kept, round(math.log(r.perplexity or 1), 8)) for r in rows)
 
     once = found()
-    monkeypatch.setattr(quality, "NGRAMS_PER_PASS", 10)
+    monkeypatch.setattr(quality, "VALUES_PER_TASK", 10)
+    monkeypatch.setattr(ngram_model.by_join, "__defaults__", (chunk_bytes,))
     assert found() == once
 
 
