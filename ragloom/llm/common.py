@@ -153,9 +153,11 @@ def with_results(docs: DataFrame, text_col: str, keep: list[str], compute: Calla
 
 def source_rows(docs: DataFrame, text_col: str, keep: list[str], fields: str, extra: tuple[str | Column, ...] = ()) -> tuple[DataFrame, T.StructType]:
     """The rows ``row, text, _0, _1 ...`` that :func:`with_results` hands to tasks, and the schema of what it returns."""
-    others = [c for c in keep if c != text_col]
+    others, present = [c for c in keep if c != text_col], "_present"
+    while present in others:
+        present += "_"
     source = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in others), F.lit(True).alias("_present")).alias("row"),
+        F.struct(*(F.col(f"`{c}`") for c in others), F.lit(True).alias(present)).alias("row"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
         *((F.col(f"`{c}`") if isinstance(c, str) else c).alias(f"_{k}") for k, c in enumerate(extra)),
     )

@@ -39,7 +39,7 @@ URL_LISTS = f"""WITH u AS (
     SELECT unnest([host, regexp_extract(host, '[^.]+\\.[^.]+$'), CASE WHEN regexp_extract(path, '^/([^/]+)', 1) <> '' THEN host || '/' || regexp_extract(path, '^/([^/]+)', 1) END]) AS key FROM u WHERE host <> '') WHERE key <> ''),
   dated AS (SELECT key, CASE WHEN {_NUMBER.format(5, 4)} = 0 THEN 'allow' ELSE 'block' END AS list, DATE '2024-01-01' + CAST({_NUMBER.format(9, 200)} AS INT) AS added, {_NUMBER.format(13, 3)} AS fate,
       CAST({_NUMBER.format(17, 100)} + 1 AS INT) AS after, CAST({_NUMBER.format(21, 60)} + 1 AS INT) AS again FROM listed WHERE {_NUMBER.format(1, 3)} = 0),
-  events AS (SELECT list, lower(key) AS key, true AS holds, added AS day FROM dated UNION ALL SELECT list, lower(key), false, added + after FROM dated WHERE fate >= 1 UNION ALL SELECT list, lower(key), true, added + after + again FROM dated WHERE fate = 2),
+  events AS (SELECT list, key, true AS holds, added AS day FROM dated UNION ALL SELECT list, key, false, added + after FROM dated WHERE fate >= 1 UNION ALL SELECT list, key, true, added + after + again FROM dated WHERE fate = 2),
   daily AS (SELECT list, key, day, bool_or(holds) AS holds FROM events GROUP BY ALL),
   keyed AS (
     SELECT page_id, day, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS key FROM u WHERE host <> ''

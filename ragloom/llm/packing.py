@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_units import encoder, groups
-from .common import written
+from .common import tidied, written
 
 CAPACITY = 1024
 #: Open bins of a packer.
@@ -96,8 +96,8 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(each, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return source.mapInArrow(tidied(each), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def pack(items: DataFrame, length_col: str = "length", keys: tuple[str, ...] = ("doc_id", "piece"), capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
@@ -122,7 +122,7 @@ def pack(items: DataFrame, length_col: str = "length", keys: tuple[str, ...] = (
 
     schema = items.schema.add("sequence_id", "long").add("offset", "long")
     dealt = items.withColumn("_order", F.xxhash64(*keys)).repartition(packers, "_order").sortWithinPartitions("_order", *keys)
-    return dealt.mapInArrow(each, schema)
+    return dealt.mapInArrow(tidied(each), schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_units import encoder, groups
-from .common import filesystem, written
+from .common import filesystem, tidied, written
 
 GROUP_IDS, PAGE_BYTES = 8 << 20, 256 << 10
 MANIFEST = "shard int, file string, n_rows long, n_tokens long"
@@ -84,8 +84,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
             file.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{path}/{name}"]), pa.array([rows], pa.int64()), pa.array([start], pa.int64())], ["shard", "file", "n_rows", "n_tokens"])
 
-    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(ordered.mapInArrow(each, MANIFEST), "token-manifest")
+    ordered = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    manifest = written(ordered.mapInArrow(tidied(each), MANIFEST), "token-manifest")
     # one row for each shard, so the window without partitions is over few rows
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     return manifest.withColumn("before", F.coalesce(before, F.lit(0)))
@@ -112,7 +112,7 @@ def _tables(batches: Iterator[pa.RecordBatch], columns: list[str], low: int | No
 
 def _over_files(manifest: DataFrame, function, schema: str) -> DataFrame:
     files = max(1, manifest.count())
-    return manifest.select("file", "before").repartition(files, "file").mapInArrow(function, schema)
+    return manifest.select("file", "before").repartition(files, "file").mapInArrow(tidied(function), schema)
 
 
 def read_tokens(manifest: DataFrame, kind: str = "long", with_ids: bool = True, low: int | None = None, high: int | None = None) -> DataFrame:

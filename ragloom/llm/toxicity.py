@@ -129,15 +129,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
     """Terms and labels of a sample of at most ``rows`` labelled ids that are not held out."""
-    eligible = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).filter(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2)
-    sample = eligible.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    named = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).dropna()
+    eligible = named.filter(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) != 2)
+    sample = eligible.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
 
     def compute(texts: list[bytes], label: list[int]) -> list[pa.Array]:
         found = [sorted({h for w in text_words(t) for h in terms(w)}) for t in texts]
         return [pa.array(found, pa.list_(pa.int32())), pa.array(label, pa.int32())]
 
-    chosen = docs.join(F.broadcast(sample), docs[id_col] == F.col("_id"))  # at most ``rows`` ids
-    out = with_results(chosen, text_col, [], compute, "terms array<int>, label int", extra=("label",)).select("out.*").toArrow()
+    texts_ = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    chosen = texts_.join(F.broadcast(sample), "id")  # at most ``rows`` ids
+    out = with_results(chosen, "text", [], compute, "terms array<int>, label int", extra=("label",)).select("out.*").toArrow()
     lists = out.column("terms").combine_chunks()
     return [np.asarray(x, np.int64) for x in lists.to_pylist()], out.column("label").to_numpy().astype(float)
 
@@ -152,7 +154,8 @@ def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None, text
     """Rows ``row, text, out`` with ``out.score`` from 0 to 1 for each row of ``docs``.
 
     Null and empty texts get the score of a text without terms. Long texts are scored whole. Repeated
-    rows get equal scores; other columns play no part.
+    rows get equal scores and all come back, as do rows with a null id; other columns play no part, whatever their names. An empty table gives
+    an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(machine)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_path, written
+from .common import filesystem, new_path, tidied, written
 
 #: Payloads below this many bytes are always written in full.
 LEAST_SHARED_BYTES = 100
@@ -31,20 +31,25 @@ def _member(record: bytes) -> bytes:
     return packer.compress(record) + packer.flush()
 
 
-def record(kind: str, url: str, page_id: str, digest: str, size: int, payload: bytes, refers_to: str = "", refers_url: str = "") -> bytes:
+def _record_id(page_id: str | None, url: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"
+
+
+def record(kind: str, url: str, page_id: str | None, digest: str, size: int, payload: bytes, refers_to: str = "", refers_url: str = "") -> bytes:
     """One uncompressed WARC/1.1 record. A revisit's block is empty; its headers name the full payload."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>",
+        f"WARC-Record-ID: {_record_id(page_id, url)}",
         f"WARC-Target-URI: {url}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Page-ID: {page_id}",
         f"X-Payload-Length: {size}",
     ]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {refers_url}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, refers_url)}", f"WARC-Refers-To-Target-URI: {refers_url}", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
@@ -65,13 +70,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     The payload is the html in UTF-8 (null: empty). Of equal payloads of at least :data:`LEAST_SHARED_BYTES` bytes the
     one with the smallest id is a response and the others revisit it; repeated rows of
-    that id are responses too. Digests of all pages are compared by a shuffle of ids and digests;
+    that id are responses too, and share its record id. Rows with a null id are responses, and none refers to them. Pages of any
+    length are written whole; an empty table gives an empty index; other columns are ignored. Digests of all pages are compared by a shuffle of ids and digests;
     the pages themselves move once, by id.
     """
     kind = pages.schema[id_col].dataType.simpleString()
-    slim = pages.select(F.col(id_col).alias("page_id"), F.coalesce(html_col, F.lit("")).alias("_html"), F.col(url_col).alias("url"))
+    slim = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("_html"), F.col(f"`{url_col}`").alias("url"))
     keyed = slim.select("page_id", "url", "_html", F.sha2("_html", 256).alias("digest"), F.octet_length("_html").alias("size"))
-    shared = keyed.filter(F.col("size") >= LEAST_SHARED_BYTES)
+    shared = keyed.filter((F.col("size") >= LEAST_SHARED_BYTES) & F.col("page_id").isNotNull())
     firsts = shared.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     firsts = written(firsts, "warc-firsts")  # so that the join below shuffles both sides and a hot digest can be split
     revisits = shared.select("page_id", "digest").join(firsts, "digest").filter("page_id <> first.page_id").select("page_id", "digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")).distinct()
@@ -92,7 +98,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                         name = f"part-{uuid.uuid4().hex}.warc.gz"
                         out, at = system.open_output_stream(f"{inner}/{name}", compression=None), 0
                     of = "response" if refers is None else "revisit"
-                    data = _member(record(of, _clean(url), str(page), digest, size, (html or "").encode(), refers or "", _clean(refers_url)))
+                    data = _member(record(of, _clean(url), None if page is None else str(page), digest, size, (html or "").encode(), refers or "", _clean(refers_url)))
                     out.write(data)
                     files.append(f"{path}/{name}")
                     offsets.append(at)
@@ -110,7 +116,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             if out is not None:
                 out.close()
 
-    return written(rows.mapInArrow(each, INDEX.format(kind=kind)), "warc-index")
+    return written(rows.mapInArrow(tidied(each), INDEX.format(kind=kind)), "warc-index")
 
 
 def _ranges(rows: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
@@ -154,13 +160,12 @@ def read_archives(selected: DataFrame, with_html: bool = True) -> DataFrame:
                             if head["WARC-Type"] == "response" and (hashlib.sha256(block).hexdigest(), len(block)) != (digest, size):
                                 raise ValueError(f"{files[k]} is damaged at {offsets[k]}")
                             full = head["WARC-Type"] == "response"
-                            found.append((head["X-Page-ID"], head["WARC-Target-URI"], size, digest, head["WARC-Type"], head.get("X-Refers-To-Page-ID"), block.decode() if full and with_html else None))
+                            found.append((head.get("X-Page-ID"), head["WARC-Target-URI"], size, digest, head["WARC-Type"], head.get("X-Refers-To-Page-ID"), block.decode() if full and with_html else None))
                         columns = list(zip(*found))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()))], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"])
 
-    found = rows.mapInArrow(each, RECORDS.format(kind="string"))
-    null_id = F.when(F.col("page_id") != "None", F.col("page_id")).cast(kind)
-    return found.withColumns({"page_id": null_id, "refers_to": F.col("refers_to").cast(kind)})
+    found = rows.mapInArrow(tidied(each), RECORDS.format(kind="string"))
+    return found.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
 
 
 def archive_pages(pages: DataFrame, spark: SparkSession) -> DataFrame:
