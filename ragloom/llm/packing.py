@@ -3,13 +3,15 @@
 A packer keeps a fixed number of open bins. A bitset has a bit for each amount of free
 space that some open bin has, so the bin that a piece fits best is the lowest set
 bit at or above the piece's length. When no open bin fits and all places are taken, the fullest
-bin (the lowest set bit) closes and a new one opens.
+bin (the lowest set bit) closes and a new one opens. A bin that closes is written as a sequence of ids with the pieces in it;
+where pieces stand is read back from the sequences.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,22 +21,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_units import encoder, groups
-from .common import tidied, written
+from .common import forget, tidied, written
 
 CAPACITY = 1024
-#: Open bins of a packer.
+#: Open bins of a packer: at most so many times the capacity of ids are held.
 OPEN_BINS = 4096
 #: Pieces that one packer takes; more pieces get more packers.
 PIECES_PER_PACKER = 200_000
+#: Closed bins that are handed on together.
+BINS_TOGETHER = 1024
 
 
 class Packer:
-    """Places lengths one by one; ``place`` returns (bin, offset)."""
+    """Places lengths one by one; ``place`` returns (bin, offset). Bins that take no more are in ``closed``."""
 
     def __init__(self, capacity: int = CAPACITY, open_bins: int = OPEN_BINS):
         self.capacity, self.open_bins = capacity, open_bins
         self.bits, self.open, self.bins = 0, 0, 0
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.closed: list[int] = []
 
     def place(self, length: int) -> tuple[int, int]:
         if not 0 < length <= self.capacity:
@@ -49,7 +54,7 @@ class Packer:
         else:
             if self.open >= self.open_bins:
                 fullest = (self.bits & -self.bits).bit_length() - 1
-                self.by_free[fullest].pop()
+                self.closed.append(self.by_free[fullest].pop())
                 if not self.by_free[fullest]:
                     self.bits ^= 1 << fullest
                 self.open -= 1
@@ -60,75 +65,119 @@ class Packer:
             self.by_free[left].append(number)
             self.bits |= 1 << left
             self.open += 1
+        else:
+            self.closed.append(number)
         return number, self.capacity - free
 
 
-def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32[, ids]`` of documents cut to at most ``capacity`` ids.
+def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, piece, start, ids`` of documents cut to at most ``capacity`` ids; ``ids`` are little-endian 32-bit integers in one binary value.
 
     Only documents that are longer are cut; their first piece takes what full pieces leave. A null
     text is empty, so its one piece is the end id. Other columns are ignored; repeated rows stay.
     """
     path, end = public_tokenizers.path(vocabulary), int(end_id).to_bytes(4, "little")
 
-    def each(batches):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in groups(texts):
-                row, piece, start, length, crc, ids = [], [], [], [], [], []
+                row, piece, start, ids = [], [], [], []
                 for k, packed in enumerate(tokens.encode(["" if t is None else t for t in texts[i:j]])):
                     packed += end
                     n = len(packed) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                     for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                        part = packed[4 * a : 4 * b]
                         row.append(i + k)
                         piece.append(number)
                         start.append(a)
-                        length.append(b - a)
-                        crc.append(zlib.crc32(part))
-                        ids.append(part)
-                columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+                        ids.append(packed[4 * a : 4 * b])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return source.mapInArrow(tidied(each), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return source.mapInArrow(tidied(each), f"doc_id {kind}, piece int, start long, ids binary")
 
 
-def pack(items: DataFrame, length_col: str = "length", keys: tuple[str, ...] = ("doc_id", "piece"), capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """``items`` with ``sequence_id`` and ``offset``.
+def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
+    """``sequence_id, ids, parts`` of the pieces ``doc_id, piece, start, ids``: each sequence's ids and the pieces in it, in order.
 
-    ``items`` is read twice, so it should be a table. Pieces are dealt by a hash of ``keys`` to packers
+    ``items`` is read twice, so it should be a table. Pieces are dealt by a hash of document and number to packers
     of about :data:`PIECES_PER_PACKER` each; a packer's last open bins are its only loss against one
     packer for all. Ties are placed in the order of the hash.
     """
     packers = max(1, math.ceil(items.count() / PIECES_PER_PACKER))
-    at = items.columns.index(length_col)
+    kind = items.schema["doc_id"].dataType.simpleString()
 
-    def each(batches):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, packer = TaskContext.get(), Packer(capacity, open_bins)
         base = (context.partitionId() if context else 0) << 40
+        held: dict[int, list[tuple]] = {}
+
+        def out(bins: list[int], id_type: pa.DataType) -> pa.RecordBatch:
+            rows = [held.pop(b) for b in bins]
+            offsets = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+            doc, piece, start, ids = zip(*(r for of in rows for r in of))
+            length = pa.array([len(x) // 4 for x in ids], pa.int32())
+            parts = pa.StructArray.from_arrays([pa.array(doc, id_type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), length], ["doc_id", "piece", "start", "length"])
+            joined = [b"".join(r[3] for r in of) for of in rows]
+            return pa.RecordBatch.from_arrays([pa.array([base + b for b in bins], pa.int64()), pa.array(joined, pa.binary()), pa.ListArray.from_arrays(offsets, parts)], ["sequence_id", "ids", "parts"])
+
+        id_type = pa.null()
         for batch in batches:
-            placed = [packer.place(n) for n in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
-                [*batch.schema.names[:-1], "sequence_id", "offset"],
-            )
-
-    schema = items.schema.add("sequence_id", "long").add("offset", "long")
-    dealt = items.withColumn("_order", F.xxhash64(*keys)).repartition(packers, "_order").sortWithinPartitions("_order", *keys)
-    return dealt.mapInArrow(tidied(each), schema)
+            id_type = batch.schema.field(0).type
+            for r in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+                held.setdefault(packer.place(len(r[3]) // 4)[0], []).append(r)
+                if len(packer.closed) >= BINS_TOGETHER:
+                    yield out(packer.closed, id_type)
+                    packer.closed = []
+        rest = list(held)
+        for i in range(0, len(rest), BINS_TOGETHER):
+            yield out(rest[i : i + BINS_TOGETHER], id_type)
+
+    columns = ["doc_id", "piece", "start", "ids"]
+    dealt = items.select(*columns, F.xxhash64("doc_id", "piece").alias("_order")).repartition(packers, "_order").sortWithinPartitions("_order", "doc_id", "piece")
+    return dealt.mapInArrow(tidied(each), f"sequence_id long, ids binary, parts array<struct<doc_id:{kind},piece:int,start:long,length:int>>")
+
+
+def places(sequences: DataFrame, with_ids: bool = False) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset`` of the pieces in ``sequences``, from the ids that stand there."""
+    kind = sequences.schema["parts"].dataType.elementType["doc_id"].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column(2)
+            ends = parts.offsets.to_numpy()
+            doc, piece, start, length = parts.flatten().flatten()
+            n = length.to_numpy().astype(np.int64)
+            sequence = np.repeat(batch.column(0).to_numpy(), np.diff(ends))
+            before = np.concatenate([[0], np.cumsum(n)])
+            offset = before[:-1] - np.repeat(before[ends[:-1] - ends[0]], np.diff(ends))
+            data = np.repeat(np.arange(len(batch)), np.diff(ends)).tolist()
+            ids = batch.column(1).to_pylist()
+            own = [ids[k][4 * a : 4 * (a + m)] for k, a, m in zip(data, offset.tolist(), n.tolist(), strict=True)]
+            columns = [doc, piece, start, pa.array(n), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(np.frombuffer(b"".join(own), "<i4"))))
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names)
+
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
+    return sequences.mapInArrow(tidied(each), schema)
+
+
+def pack_sequences(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The sequences of ``docs``, a table in the shared folder, as :func:`pack` gives them.
+
+    Rows with a null id, repeated rows and empty texts are packed as any others. An empty table gives an empty result.
+    """
+    cut = written(pieces(docs, vocabulary, end_id, capacity, id_col, text_col), "pieces")
+    sequences = written(pack(cut, capacity, open_bins), "sequences")
+    forget(cut)
+    return sequences
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of ``docs`` with their place: ``doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset``.
-
-    The pieces are written to the shared folder once; without ``with_ids`` these are numbers only.
-    An empty table gives an empty result.
-    """
-    return pack(written(pieces(docs, vocabulary, end_id, capacity, with_ids, id_col, text_col), "pieces"), capacity=capacity, open_bins=open_bins)
+    """Pieces of ``docs`` with their place in the sequences of :func:`pack_sequences`, read back from these; see :func:`places`."""
+    return places(pack_sequences(docs, vocabulary, end_id, capacity, open_bins, id_col, text_col), with_ids)

@@ -154,7 +154,9 @@ def test_pack_documents(docs, no_docs):
 
 def test_packing_is_dense(spark):
     r = random.Random(4)
-    items = spark.createDataFrame([(i, 0, r.randint(1, 1024)) for i in range(20_000)], "doc_id long, piece int, length long")
-    placed = packing.pack(items)
+    items = spark.createDataFrame([(i, 0, 0, bytes(4 * r.randint(1, 1024))) for i in range(20_000)], "doc_id long, piece int, start long, ids binary")
+    sequences = packing.written(packing.pack(items), "dense")
+    placed = packing.places(sequences)
+    assert sequences.filter("octet_length(ids) <> 4 * aggregate(parts.length, 0, (n, x) -> n + x) or octet_length(ids) > 4096").count() == 0 and placed.count() == 20_000
     total = placed.agg(F.sum("length"), F.count_distinct("sequence_id")).first()
     assert total[1] <= 1.03 * total[0] / 1024
