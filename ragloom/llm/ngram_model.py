@@ -26,9 +26,9 @@ MASK = (1 << BITS) - 1
 #: Probability of a symbol below order one: any code point.
 UNIFORM = 1 / 0x110000
 #: Bytes of text whose n-grams are sorted together.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 512 << 10
 #: Distinct n-grams that a counting task holds before it hands them on.
-HELD = 1_000_000
+HELD = 600_000
 #: Bytes of text of a chunk whose n-grams are joined with their values together.
 CHUNK_BYTES = 8 << 20
 
