@@ -27,7 +27,7 @@ CAPACITY = 1024
 #: Open bins of a packer: at most so many times the capacity of ids are held.
 OPEN_BINS = 4096
 #: Pieces that one packer takes; more pieces get more packers.
-PIECES_PER_PACKER = 200_000
+PIECES_PER_PACKER = 50_000
 #: Closed bins that are handed on together.
 BINS_TOGETHER = 1024
 
