@@ -14,7 +14,7 @@ EVIDENCE = [
     "dieu kien", "tim kiem", "to trinh", "so to", "trang thai", "ngay", "tu ngay", "den ngay",
     "nut", "bang", "cot", "dong", "o nhap", "checkbox", "combobox", "button", "field", "table", "panel", "textbox", "dropdown", "date-picker", "email", "from", "subject", "attachment",
 ]
-NUMBER_RUN, ZERO_RUN = r"(?:\d[\d.,]*+){80,}", r"(?:0{8,}|0001|0002|\.000){8,}"
+NUMBER_RUN, ZERO_RUN = r"\d(?:[.,]*+\d){79}", r"(?:0{8,}|0001|0002|\.000){8,}"
 
 
 def _most_equal(values: Column) -> Column:

@@ -56,6 +56,15 @@ def upsert(corpus: DataFrame, rows: DataFrame, position: str = "position") -> Da
     return kept.unionByName(replaced).unionByName(added)
 
 
+def add_documents(corpus: DataFrame, ids: list[str], documents: list[str], embeddings: list[list[float]], metadatas: list[str] | None = None) -> DataFrame:
+    """``corpus`` with a request's documents inserted or replaced. All lists have one length; missing metadata is ``{}``."""
+    metadatas = ["{}"] * len(ids) if metadatas is None else metadatas
+    if not len(ids) == len(documents) == len(embeddings) == len(metadatas):
+        raise ValueError("ids, documents, embeddings and metadatas differ in number")
+    rows = corpus.sparkSession.createDataFrame(list(zip(ids, documents, metadatas, embeddings, range(len(ids)))), "id string, document string, metadata string, embedding array<float>, position long")
+    return upsert(corpus, rows) if ids else corpus
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with ``number`` from 1 in the order of ``order``, by ranges: each is sorted by itself and starts after those before it."""
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())

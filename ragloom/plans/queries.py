@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import generated, intent, structured, text
 from ragloom.functions.embedding import embed
-from ragloom.operators import chunking, context, expansion, search
+from ragloom.operators import answers, chunking, expansion, search
 from ragloom.operators.corpus import delete, metadata_value, upsert
 from ragloom.sources.files import clean_slide_text
 from ragloom.streaming import files
@@ -86,7 +86,10 @@ def _hybrid_sql(keywords: bool, kind: str | None = None, final: str | None = Non
     kr = "1.0::DOUBLE / (60 + coalesce(kr, 9999)) + " if keywords else ""
     union = "UNION SELECT query_id, id FROM k" if keywords else ""
     k = f"""k AS (SELECT * FROM (SELECT query_id, s.id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s.id) AS kr FROM scored s JOIN corpus c ON c.id = s.id {where}) WHERE kr <= 200)""" if keywords else "k AS (SELECT NULL::BIGINT AS query_id, NULL::VARCHAR AS id, NULL::BIGINT AS kr WHERE false)"
-    last = final or """SELECT query_id, id, distance, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused) WHERE rank <= 10"""
+    ranked = "SELECT query_id, id, distance, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused)"
+    last = final or f"{ranked} WHERE rank <= 10"
+    if final == "hits":
+        last = f""", hits AS (SELECT query_id, c.*, rank FROM ({ranked} WHERE rank <= 50) JOIN corpus c USING (id))"""
     return f"""WITH {CORPUS_SQL}, {_QUERIES_SQL}, {_VECTOR_SQL}, {_BM25_SQL}, {_EXACT_SQL},
   v AS (SELECT * FROM (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS vr FROM near {where}) WHERE vr <= 200),
   {k},
@@ -116,28 +119,27 @@ def vector_only_rrf(spark, sf_dir):
 
 # --- expansion -------------------------------------------------------------------------------------------------------
 
-#: Hits that stand for a search: of each 50th document, the documents of its source whose id differs by a multiple of 50.
-_HITS_SQL = """hits AS (
-  SELECT query_id, id, row_seq, document, source, page, slide, action_kind, slide_title, instruction_role, rank FROM (
-    SELECT q.row_seq AS query_id, c.*, row_number() OVER (PARTITION BY q.row_seq ORDER BY c.row_seq) AS rank
-    FROM corpus q JOIN corpus c ON c.source = q.source AND c.content_kind = 'instruction_text' WHERE q.row_seq % 50 = 0) WHERE rank <= 50)"""
+#: Hits of each 50th document: the 50 best chunks of instructions.
+_HITS_SQL = _hybrid_sql(False, "instruction_text", "hits").removeprefix("WITH ")
 
 
-def _hits(chunks: DataFrame) -> DataFrame:
-    asked = chunks.filter("row_seq % 50 = 0").select(F.col("row_seq").alias("query_id"), F.col("source").alias("q_source"))
-    met = chunks.filter("content_kind = 'instruction_text'").join(asked, F.col("source") == F.col("q_source"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("row_seq"))
-    return met.withColumn("rank", rank).filter("rank <= 50").drop("q_source", "content_kind")
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, asked = _searched(spark, sf_dir)
+    found = search.hybrid(chunks, asked, top_k=50, kind="instruction_text", keywords=False)
+    return found.select("query_id", "id", "rank").join(corpus(spark, sf_dir), "id")
 
 
-@query(f"""WITH {CORPUS_SQL}, {_HITS_SQL},
+_RELATED_SQL = f"""WITH {_HITS_SQL},
   places AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, source, page NULLS FIRST, slide NULLS FIRST) AS n
     FROM (SELECT query_id, source, page, slide, min(rank) AS first FROM hits GROUP BY ALL)) WHERE n <= 20),
   met AS (SELECT DISTINCT query_id, c.id, c.row_seq FROM corpus c JOIN places p ON c.source = p.source AND (c.page = p.page OR c.slide = p.slide) WHERE c.content_kind = 'image_ui_description')
-SELECT query_id, id, row_seq FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY row_seq) AS n FROM met) WHERE n <= 10""")
+SELECT query_id, id, row_seq FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY row_seq) AS n FROM met) WHERE n <= 10"""
+
+
+@query(_RELATED_SQL)
 def related_chunks(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
-    return expansion.related(chunks, _hits(chunks), "image_ui_description", 10).select("query_id", "id", "row_seq")
+    return expansion.related(chunks, _hits(spark, sf_dir), "image_ui_description", 10).select("query_id", "id", "row_seq")
 
 
 @query(f"""WITH {CORPUS_SQL}, wanted AS (SELECT query_id, any_value(action_kind) AS action, any_value(source) AS source FROM (SELECT row_seq AS query_id, action_kind, source FROM corpus WHERE row_seq % 50 = 0 AND action_kind IS NOT NULL) GROUP BY query_id)
@@ -151,23 +153,21 @@ def procedure_chunks(spark, sf_dir):
     return expansion.procedures(chunks, wanted)
 
 
-@query(f"""WITH {CORPUS_SQL}, {_HITS_SQL},
-  more AS (SELECT q.row_seq AS query_id, c.row_seq AS position, c.id, c.document FROM corpus q JOIN corpus c ON c.source = q.source WHERE q.row_seq % 50 = 0),
-  staged AS (SELECT query_id, rank AS position, id, document, 0 AS stage FROM hits UNION ALL SELECT query_id, position, id, document, 1 FROM more WHERE trim(document) <> ''),
+@query(_RELATED_SQL.replace("SELECT query_id, id, row_seq FROM (SELECT *", ", more AS (SELECT query_id, id, row_seq FROM (SELECT *") + f"""),
+  staged AS (SELECT query_id, rank AS position, id, document, 0 AS stage FROM hits UNION ALL SELECT query_id, m.row_seq, m.id, c.document, 1 FROM more m JOIN corpus c USING (id) WHERE trim(c.document) <> ''),
   firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, {fold_sql('document')} ORDER BY stage, position, id) AS n FROM staged)
 SELECT query_id, id, stage, row_number() OVER (PARTITION BY query_id ORDER BY stage, position, id) AS place FROM firsts WHERE stage = 0 OR n = 1""")
 def append_related(spark, sf_dir):
-    chunks = corpus(spark, sf_dir)
-    base = _hits(chunks).select("query_id", F.col("rank").cast("long").alias("position"), "id", "document")
-    asked = chunks.filter("row_seq % 50 = 0").select(F.col("row_seq").alias("query_id"), F.col("source").alias("q_source"))
-    more = chunks.join(asked, F.col("source") == F.col("q_source")).select("query_id", F.col("row_seq").alias("position"), "id", "document")
+    hits = _hits(spark, sf_dir)
+    base = hits.select("query_id", F.col("rank").cast("long").alias("position"), "id", "document")
+    more = expansion.related(corpus(spark, sf_dir), hits, "image_ui_description", 10).select("query_id", F.col("row_seq").alias("position"), "id", "document")
     return expansion.append_new(base, more).select("query_id", "id", "stage", "place")
 
 
-@query(f"""WITH {CORPUS_SQL}, {_HITS_SQL}
+@query(f"""WITH {_HITS_SQL}
 SELECT query_id, source, page, id, rank FROM (SELECT query_id, source, coalesce(page, slide) AS page, id, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM hits) WHERE n = 1""")
 def citations(spark, sf_dir):
-    return expansion.citations(_hits(corpus(spark, sf_dir)))
+    return expansion.citations(_hits(spark, sf_dir))
 
 
 _WORDS_CTE = "words(action, word) AS (VALUES " + ", ".join(f"('{a}', '{w}')" for a, w in intent.ACTION_WORDS.items()) + ")"
@@ -181,18 +181,22 @@ def _kind_sql(folded: str) -> str:
     return "CASE " + " ".join(whens) + " END"
 
 
-@query(f"""WITH {CORPUS_SQL}, {_HITS_SQL}, {MESSAGES_SQL},
+@query(f"""WITH {CORPUS_SQL}, {MESSAGES_SQL}, {_WORDS_CTE},
   asked AS (SELECT query_id AS message_id, {_kind_sql(fold_sql('text'))} AS action, {{intent}} = 'TaskInstruction' AS task FROM messages),
-  met AS (SELECT message_id, action, task, c.id, c.row_seq AS rank,
-      CASE WHEN action IS NULL THEN 2
-        WHEN coalesce(c.action_kind, {_kind_sql(fold_sql('c.slide_title'))}) IS NOT NULL THEN CASE WHEN coalesce(c.action_kind, {_kind_sql(fold_sql('c.slide_title'))}) = action THEN CASE WHEN instruction_role = 'procedure_steps' THEN 0 ELSE 1 END ELSE 4 END
-        ELSE 2 END AS priority
-    FROM asked, corpus c WHERE c.row_seq % 50 = 0 AND c.action_kind IS NOT NULL),
+  chunks AS (SELECT *, coalesce(action_kind, {_kind_sql(fold_sql('slide_title'))}) AS own FROM corpus),
+  heads AS (SELECT id, {fold_sql("unnest(list_filter(string_split_regex(document, '[\\r\\n]'), lambda p: p <> '')[1:3])")} AS line FROM chunks WHERE own IS NULL),
+  named AS (SELECT DISTINCT id, words.action FROM heads, words WHERE regexp_matches(line, '(^|[^\\p{{L}}\\p{{N}}])' || word || '([^\\p{{L}}\\p{{N}}]|$)')),
+  lists AS (SELECT id, list(action) AS names FROM named GROUP BY id),
+  pairs AS (SELECT message_id, a.action, task, c.id, c.row_seq AS rank, instruction_role,
+      CASE WHEN own IS NOT NULL THEN own = a.action ELSE coalesce(list_contains(names, a.action), false) END AS same,
+      CASE WHEN own IS NOT NULL THEN own <> a.action ELSE coalesce(len(list_filter(names, lambda x: x <> a.action)) > 0, false) END AS other
+    FROM asked a, chunks c LEFT JOIN lists USING (id)),
+  met AS (SELECT *, CASE WHEN action IS NULL THEN 2 WHEN same THEN CASE WHEN instruction_role = 'procedure_steps' THEN 0 ELSE 1 END WHEN other THEN 4 ELSE 2 END AS priority FROM pairs),
   best AS (SELECT *, min(priority) OVER (PARTITION BY message_id) AS best FROM met)
 SELECT message_id, id, priority, row_number() OVER (PARTITION BY message_id ORDER BY priority, rank) AS place FROM best WHERE NOT (action IS NOT NULL AND task AND best = 0 AND priority = 4)""")
 def action_rerank(spark, sf_dir):
-    chunks = corpus(spark, sf_dir).filter("row_seq % 50 = 0 and action_kind is not null")
-    hits = chunks.withColumn("rank", F.col("row_seq")).crossJoin(F.broadcast(messages(spark).select("query_id")))
+    chunks = expansion.with_actions(corpus(spark, sf_dir)).select("id", F.col("row_seq").alias("rank"), "instruction_role", "actions")
+    hits = chunks.crossJoin(F.broadcast(messages(spark).select("query_id")))  # the messages are a fixed list
     return expansion.rerank(hits, messages(spark)).withColumnRenamed("query_id", "message_id")
 
 
@@ -511,16 +515,43 @@ def vision_budget(spark, sf_dir):
     return chunking.vision_budget(images, 7, 3).select("image_index", "granted")
 
 
+#: Questions of three intents: each 50th document after words of a task, of a place or of neither.
+_PREFIXES = ["huong dan cac buoc ", "vi tri menu ", ""]
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunks, asked = _searched(spark, sf_dir)
+    prefix = F.element_at(F.array(*map(F.lit, _PREFIXES)), ((F.col("query_id") / 50) % 3 + 1).cast("int"))
+    return chunks, asked.withColumn("text", F.concat(prefix, "text"))
+
+
+_ROUTES_SQL = f"""routes AS (SELECT query_id, CASE intent WHEN 'TaskInstruction' THEN 'instruction_text' WHEN 'UiLocation' THEN 'image_ui_description' END AS kind, top_k FROM (
+  SELECT query_id, {_intent_sql('text')} AS intent, least(CASE WHEN {_lookup_sql('text')} THEN 100 WHEN {_kind_sql(fold_sql('text'))} IS NOT NULL OR {_intent_sql('text')} = 'TaskInstruction' THEN 20 ELSE 3 END, 50) AS top_k FROM queries))"""
+_IN_KIND = "(r.kind IS NULL OR c.content_kind = r.kind)"
+
+
+@query(f"""WITH {CORPUS_SQL}, {_QUERIES_SQL.replace("c.document AS text", f"{_PREFIXES}[c.row_seq // 50 % 3 + 1] || c.document AS text")}, {_ROUTES_SQL}, {_VECTOR_SQL}, {_BM25_SQL}, {_EXACT_SQL},
+  v AS (SELECT * FROM (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS vr FROM near c JOIN routes r USING (query_id) WHERE {_IN_KIND}) WHERE vr <= 200),
+  k AS (SELECT * FROM (SELECT query_id, s.id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s.id) AS kr FROM scored s JOIN corpus c ON c.id = s.id JOIN routes r USING (query_id) WHERE {_IN_KIND}) WHERE kr <= 200),
+  e AS (SELECT query_id, x.id FROM exacts x JOIN corpus c ON c.id = x.id JOIN routes r USING (query_id) WHERE {_IN_KIND}),
+  cand AS (SELECT query_id, id FROM v UNION SELECT query_id, id FROM e UNION SELECT query_id, id FROM k),
+  fused AS (
+    SELECT c.query_id, c.id, coalesce(distance, 1.7976931348623157e308) AS distance,
+      round(1.0::DOUBLE / (60 + coalesce(vr, 9999)) + 1.0::DOUBLE / (60 + coalesce(kr, 9999)) + (CASE WHEN e.id IS NULL THEN 0 ELSE 10000.0::DOUBLE END), 9) AS score
+    FROM cand c LEFT JOIN v ON v.query_id = c.query_id AND v.id = c.id LEFT JOIN k ON k.query_id = c.query_id AND k.id = c.id LEFT JOIN e ON e.query_id = c.query_id AND e.id = c.id)
+SELECT query_id, id, distance, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused) JOIN routes USING (query_id) WHERE rank <= top_k""")
+def routed_search(spark, sf_dir):
+    chunks, asked = _asked(spark, sf_dir)
+    return answers.routed_search(chunks, answers.classified(asked))
+
+
 # --- beyond SQL ------------------------------------------------------------------------------------------------------
 
 
 @query()
 def context_text(spark, sf_dir):
-    chunks = corpus(spark, sf_dir)
-    asked = chunks.filter("row_seq % 50 = 0").select(F.col("row_seq").alias("query_id"), F.col("source").alias("q_source"), F.when(F.col("row_seq") % 100 == 0, intent.UI).otherwise(intent.TASK).alias("intent"))
-    met = chunks.join(asked, F.col("source") == F.col("q_source"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("row_seq"))
-    return context.contexts(met.withColumn("place", place).filter("place <= 72"))
+    chunks, asked = _asked(spark, sf_dir)
+    return answers.answer_contexts(chunks, asked)
 
 
 @query()

@@ -143,8 +143,8 @@ def test_answers(spark):
 
 def test_captions(spark):
     good = "This screen has a table with a button and a field for the search of records by date"
-    values = [good, good + " 日", good + "?????", "button", None, " ".join(["button"] * 30), good + " <visible title", "a nice view of something that has no use at all here", good + "\n" + "0" * 200, "\n".join(["the same line of button text"] * 3 + ["another line of text"])]
-    assert column(spark, values, generated.caption_is_useful) == [True] + [False] * 9
+    values = [good, good + " 日", good + "?????", "button", None, " ".join(["button"] * 30), good + " <visible title", "a nice view of something that has no use at all here", good + "\n" + "0" * 200, good + " " + "1234567." * 45, good + " " + "98765,4321" * 3000, "\n".join(["the same line of button text"] * 3 + ["another line of text"])]
+    assert column(spark, values, generated.caption_is_useful) == [True] + [False] * 11
 
 
 def test_repetition(spark):

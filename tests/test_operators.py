@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragloom.functions.embedding import embed, hashed
-from ragloom.operators import chunking, context, corpus, expansion, search
+from ragloom.operators import answers, chunking, context, corpus, expansion, search
 from ragloom.sources import files as sources
 from ragloom.streaming import files
 
@@ -286,3 +286,32 @@ def test_image_preparation(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(png)
     row = images.read_images(spark, str(tmp_path)).collect()[0]
     assert (row.width, row.height) == (2, 1) and row.threshold < 250
+
+
+def test_questions_to_contexts(spark):
+    def row(i, document, kind, **of):
+        return (f"c{i}", i, document, of.get("e", [1.0, 0.0]), kind, of.get("role"), None, of.get("action"), "a.pptx", None, str(i % 2), None, None, str(i))
+
+    fields = "id string, row_seq long, document string, embedding array<float>, content_kind string, instruction_role string, slide_title string, action_kind string, source string, page string, slide string, row string, paragraph_index string, chunk_index string"
+    rows = [
+        row(0, "Bước 1: mở hồ sơ. Bước 2: bấm duyệt.", "instruction_text", role="procedure_steps", action="duyet"),
+        row(1, "Bước 1: in tờ trình.", "instruction_text", role="procedure_steps", action="in"),
+        row(2, "Màn hình có nút duyệt ở góc phải.", "image_ui_description"),
+    ]
+    corpus_ = spark.createDataFrame(rows, fields)
+    asked = spark.createDataFrame([(1, "Các bước duyệt hồ sơ", [1.0, 0.0]), (2, "xin chào", [1.0, 0.0]), (3, "các bước in", None)], "query_id long, text string, embedding array<float>")
+    found = {r.query_id: r for r in answers.answer_contexts(corpus_, asked).collect()}
+    assert set(found) == {1, 3}
+    assert "bấm duyệt" in found[1].context and "in tờ trình" not in found[1].context and "góc phải" in found[1].context
+    pictures = corpus_.filter("content_kind = 'image_ui_description'")
+    again = answers.routed_search(pictures, answers.classified(asked.filter("query_id = 1")))
+    assert [r.id for r in again.collect()] == ["c2"]  # nothing of its kind: all content is searched
+    assert answers.search_texts(corpus_.withColumn("embedding", F.array(*[F.lit(0.1).cast("float")] * 64)), asked.select("query_id", "text"), 2).filter("query_id = 1").count() == 2
+
+
+def test_add_documents(spark):
+    base = corpus.empty(spark)
+    one = corpus.add_documents(base, ["a", "b"], ["x", "y"], [[1.0], [2.0]])
+    assert sorted((r.id, r.row_seq, r.metadata) for r in one.collect()) == [("a", 1, "{}"), ("b", 2, "{}")]
+    with pytest.raises(ValueError):
+        corpus.add_documents(base, ["a"], [], [[1.0]])
