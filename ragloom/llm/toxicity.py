@@ -24,6 +24,11 @@ BEGINNING = 4
 TRAINING_ROWS = 12_000
 #: Texts that a term must be in to get a weight, and its least chi-square against the label.
 LEAST_TEXTS, LEAST_CHI2 = 3, 8.0
+#: Terms that no single effect chooses are chosen in pairs: toxic texts that the others leave below EXPLAINED and that share the pair,
+#: how many times as many as chance gives, and the pair's least chi-square against the label.
+EXPLAINED, PAIR_TEXTS, PAIR_LIFT, PAIR_CHI2 = 0.5, 5, 4.0, 40.0
+#: Pairs that are counted together.
+PAIRS_TOGETHER = 4 << 20
 FACTORS, EPOCHS, RATE, SHRINK = 8, 12, 0.1, 1e-5
 THRESHOLD = 0.3
 REMEMBERED_WORDS = 400_000
@@ -90,12 +95,77 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     vocabulary, at = np.unique(flat, return_inverse=True)
     seen = np.bincount(at, minlength=len(vocabulary)).astype(float)
     seen_positive = np.bincount(at, labels[of], len(vocabulary))
-    expected = seen * positive / n
-    chi2 = (seen_positive - expected) ** 2 / expected + (seen_positive - expected) ** 2 / (seen - expected + 1e-9)
-    chosen = (seen >= LEAST_TEXTS) & (chi2 >= LEAST_CHI2)
-    place = np.cumsum(chosen) - 1
-    used = chosen[at]
-    of, at = of[used], place[at[used]]
+    enough = seen >= LEAST_TEXTS
+    chosen = enough & (_chi2(seen_positive, seen, positive / n) >= LEAST_CHI2)
+    w, v, bias = _descend(at, of, chosen, labels, seed)
+    logit = _logits(at, of, chosen, n, w, v, bias)
+    left = labels.astype(bool) & (logit < np.log(EXPLAINED / (1 - EXPLAINED)))
+    more = _pair_terms(at, of, enough, seen, labels, left)
+    if (more & ~chosen).any():
+        chosen |= more
+        w, v, bias = _descend(at, of, chosen, labels, seed)
+    return Machine(vocabulary[chosen], bias, w, v)
+
+
+def _chi2(found: np.ndarray, of: np.ndarray, rate: float) -> np.ndarray:
+    """Chi-square of ``found`` positive ones of ``of``."""
+    expected = of * rate
+    return (found - expected) ** 2 / expected + (found - expected) ** 2 / (of - expected + 1e-9)
+
+
+def _pair_terms(at: np.ndarray, of: np.ndarray, enough: np.ndarray, seen: np.ndarray, labels: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which terms are in a pair that tells the label, though each alone may not: looked for in the texts ``left``, counted in all."""
+    n, terms_ = len(labels), len(enough)
+    in_left = np.bincount(at[left[of]], minlength=terms_)
+    usable = enough & (in_left >= PAIR_TEXTS)
+    inside = left[of] & usable[at]
+    texts, own = of[inside], at[inside]
+    order = np.lexsort((own, texts))
+    texts, own = texts[order], own[order]
+    held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        codes, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        return codes, np.bincount(where, np.concatenate([h[1] for h in held]), len(codes)).astype(np.int64)
+
+    cuts = np.flatnonzero(np.r_[True, texts[1:] != texts[:-1], True]) if len(texts) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        i, j = np.triu_indices(b - a, 1)
+        new = own[a:b][i].astype(np.int64) * terms_ + own[a:b][j]  # distinct and sorted
+        held.append((new, np.ones(len(new), np.int64)))
+        size += len(new)
+        if size > PAIRS_TOGETHER:
+            held, size = [merged()], 0
+    codes, counts = merged()
+    x, y = codes // terms_, codes % terms_
+    likely = (counts >= PAIR_TEXTS) & (counts >= PAIR_LIFT * left.sum() * seen[x] * seen[y] / n**2)
+    by_term = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[by_term], np.arange(terms_ + 1))
+    found = np.zeros(terms_, bool)
+    rate = labels.sum() / n
+    for a, b in zip(x[likely].tolist(), y[likely].tolist()):
+        both = np.intersect1d(of[by_term[starts[a] : starts[a + 1]]], of[by_term[starts[b] : starts[b + 1]]], assume_unique=True)
+        if _chi2(labels[both].sum(), float(len(both)), rate) >= PAIR_CHI2:
+            found[[a, b]] = True
+    return found
+
+
+def _used(at: np.ndarray, of: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keep = chosen[at]
+    return (np.cumsum(chosen) - 1)[at[keep]], of[keep]
+
+
+def _logits(at: np.ndarray, of: np.ndarray, chosen: np.ndarray, n: int, w: np.ndarray, v: np.ndarray, bias: float) -> np.ndarray:
+    at, of = _used(at, of, chosen)
+    squares = np.bincount(of, (v[at] ** 2).sum(1), n)
+    sums = sum(np.bincount(of, v[at, k], n) ** 2 for k in range(v.shape[1]))
+    return bias + np.bincount(of, w[at], n) + 0.5 * (sums - squares)
+
+
+def _descend(at: np.ndarray, of: np.ndarray, chosen: np.ndarray, labels: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights and vectors of the chosen terms, and the bias, by adaptive gradient steps."""
+    n, positive = len(labels), int(labels.sum())
+    at, of = _used(at, of, chosen)
     starts = np.searchsorted(of, np.arange(n + 1))
     random = np.random.default_rng(seed)
     k = int(chosen.sum())
@@ -124,7 +194,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
             gv[touched] += dv**2
             w[touched] -= RATE * dw / np.sqrt(gw[touched])
             v[touched] -= RATE * dv / np.sqrt(gv[touched])
-    return Machine(vocabulary[chosen], bias, w, v)
+    return w, v, bias
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS) -> tuple[list[np.ndarray], np.ndarray]:

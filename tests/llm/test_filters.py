@@ -126,6 +126,39 @@ def test_machine_learns_a_pair():
     assert score("w1 insult w2 group w3") > 0.5 > score("w1 insult w2 w3") and score("w1 group w2") < 0.3 and score("") < 0.3
 
 
+def test_machine_learns_a_pair_whose_members_tell_nothing():
+    r = random.Random(11)
+    rows, labels = [], []
+    for i in range(4000):
+        words = {f"w{r.randrange(3000)}" for _ in range(40)}
+        kind = r.random()
+        if kind < 0.04:  # together: toxic; either alone is as often toxic as any text
+            words |= {"kettle", "violet"}
+        elif kind < 0.30:
+            words.add(r.choice(["kettle", "violet"]))
+        toxic = {"kettle", "violet"} <= words
+        if not toxic and not words & {"kettle", "violet"}:
+            toxic = r.random() < 0.16
+        rows.append(np.unique([h for w in words for h in toxicity.terms(w)]))
+        labels.append(float(toxic))
+    machine = toxicity.fit(rows, np.array(labels))
+    both, one, none = (machine.score(t.encode()) for t in ("kettle violet", "kettle", "nothing"))
+    assert both > 0.8 and one < 0.3 and none < 0.3, (both, one, none)
+
+
+@pytest.mark.parametrize("text", [b"", b"kettle", b"kettle violet unknown kettle", "Ärger kettle".encode()])
+def test_score_is_the_sum_over_pairs(text):
+    r = np.random.default_rng(5)
+    known = np.unique([h for w in ("kettle", "violet", "ärger") for h in toxicity.terms(w)])
+    machine = toxicity.Machine(known, -1.5, r.normal(size=len(known)), r.normal(size=(len(known), toxicity.FACTORS)))
+    mine = [k for k, h in enumerate(known) if h in {t for w in toxicity.text_words(text) for t in toxicity.terms(w)}]
+    logit = machine.bias + sum(machine.weights[k] for k in mine)
+    for i in range(len(mine)):
+        for j in range(i):
+            logit += sum(machine.vectors[mine[i]][f] * machine.vectors[mine[j]][f] for f in range(toxicity.FACTORS))
+    assert machine.score(text) == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-12)
+
+
 def test_toxicity_on_held_out_rows(spark, no_docs):
     sf = "/root/testdata/sf0.1"
     table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
