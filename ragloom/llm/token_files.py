@@ -2,9 +2,9 @@
 
 A row holds one document: ``doc_id, shard_start, n_tokens, ids``. Rows are in ascending
 document order over the shards and within them. ``ids`` is a list column with dictionary encoding; the
-other columns are delta encoded. Row groups hold about :data:`GROUP_IDS` ids and pages
-:data:`PAGE_BYTES` bytes, and page indexes are written, so that a range of documents reads few pages, and a query of
-the metadata never touches the ids. A manifest names the file of each shard with its numbers of rows and ids.
+other columns are delta encoded. Row groups hold about :data:`GROUP_IDS` ids, pages at most
+:data:`PAGE_BYTES` bytes or :data:`PAGE_ROWS` documents, and page indexes are written: Spark's reader then skips row groups by their statistics and, within one, the
+pages of all columns that hold no document of the range. A query of the metadata never touches the ids. A manifest names the file of each shard with its numbers of rows and ids.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .bpe_units import encoder, groups
 from .common import filesystem, tidied, written
 
-GROUP_IDS, PAGE_BYTES = 8 << 20, 256 << 10
+GROUP_IDS, PAGE_BYTES, PAGE_ROWS = 8 << 20, 256 << 10, 256
 MANIFEST = "shard int, file string, n_rows long, n_tokens long"
 
 
@@ -37,7 +37,7 @@ def _writer(file, schema: pa.Schema):
     import pyarrow.parquet as pq
 
     delta = {c: "DELTA_BINARY_PACKED" for c in schema.names if pa.types.is_integer(schema.field(c).type)}
-    return pq.ParquetWriter(file, schema, compression="zstd", compression_level=1, version="2.6", data_page_version="2.0", use_dictionary=["ids.list.element"], column_encoding=delta, write_page_index=True, data_page_size=PAGE_BYTES)
+    return pq.ParquetWriter(file, schema, compression="zstd", compression_level=1, version="2.6", data_page_version="2.0", use_dictionary=["ids.list.element"], column_encoding=delta, write_page_index=True, data_page_size=PAGE_BYTES, max_rows_per_page=PAGE_ROWS)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,23 +91,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     return manifest.withColumn("before", F.coalesce(before, F.lit(0)))
 
 
-def _tables(batches: Iterator[pa.RecordBatch], columns: list[str], low: int | None, high: int | None) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Row groups of the files that manifest rows name, with the ids before the file; only the pages of ``columns`` are read."""
+def _tables(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of the files that manifest rows name, with the ids before the file; only ``columns`` are read."""
     import pyarrow.parquet as pq
 
     for batch in batches:
         for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             system, inner = filesystem(path)
             with system.open_input_file(inner) as source, pq.ParquetFile(source) as file:
-                for g in range(file.num_row_groups):
-                    stats = file.metadata.row_group(g).column(0).statistics
-                    if stats and stats.has_min_max and ((low is not None and stats.max < low) or (high is not None and stats.min > high)):
-                        continue
-                    for part in file.iter_batches(batch_size=8192, row_groups=[g], columns=columns):
-                        if low is not None or high is not None:
-                            ids = part.column(0).to_numpy(zero_copy_only=False)
-                            part = part.filter(pa.array((ids >= (low if low is not None else ids.min(initial=0))) & (ids <= (high if high is not None else ids.max(initial=0)))))
-                        yield before, part
+                for part in file.iter_batches(batch_size=8192, columns=columns):
+                    yield before, part
 
 
 def _over_files(manifest: DataFrame, function, schema: str) -> DataFrame:
@@ -118,23 +111,29 @@ def _over_files(manifest: DataFrame, function, schema: str) -> DataFrame:
 def read_tokens(manifest: DataFrame, kind: str = "long", with_ids: bool = True, low: int | None = None, high: int | None = None) -> DataFrame:
     """``doc_id, start, n_tokens[, ids]`` of the files of ``manifest``; documents from ``low`` to ``high`` if these are given.
 
-    ``start`` is the number of ids of all documents before.
+    ``start`` is the number of ids of all documents before. The names of the files, one for each shard, come to the driver; their
+    rows are read by Spark, by pages where a range is given.
     """
-    columns = ["doc_id", "shard_start", "n_tokens", *["ids"] * with_ids]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for before, part in _tables(batches, [c if c != "ids" else "ids.list.element" for c in columns], low, high):
-            start = pa.array(part.column(1).to_numpy() + before)
-            yield pa.RecordBatch.from_arrays([part.column(0), start, part.column(2), *[part.column(3)] * with_ids], ["doc_id", "start", *columns[2:]])
-
-    return _over_files(manifest, each, f"doc_id {kind}, start long, n_tokens long" + ", ids array<int>" * with_ids)
+    spark = manifest.sparkSession
+    files = [r.file for r in manifest.select("file").collect()]
+    stored = f"doc_id {kind}, shard_start long, n_tokens long, ids array<int>"
+    if not files:
+        return spark.createDataFrame([], stored).select("doc_id", F.col("shard_start").alias("start"), "n_tokens", *["ids"] * with_ids)
+    rows = spark.read.schema(stored).parquet(*files)
+    if low is not None:
+        rows = rows.filter(F.col("doc_id") >= low)
+    if high is not None:
+        rows = rows.filter(F.col("doc_id") <= high)
+    before = manifest.select(F.substring_index("file", "/", -1).alias("name"), "before")
+    named = rows.select("doc_id", "shard_start", "n_tokens", *["ids"] * with_ids, F.col("_metadata.file_name").alias("name")).join(before, "name")
+    return named.select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", *["ids"] * with_ids)
 
 
 def digests(manifest: DataFrame, kind: str = "long") -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of the files, from the ids that are read."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for before, part in _tables(batches, ["doc_id", "shard_start", "ids.list.element"], None, None):
+        for before, part in _tables(batches, ["doc_id", "shard_start", "ids.list.element"]):
             ids = part.column(2)
             at, data = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
             raw = memoryview(np.ascontiguousarray(data, "<i4")).cast("B")

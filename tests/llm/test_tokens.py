@@ -103,6 +103,29 @@ def test_files_have_the_promised_format(spark, docs):
     assert by_name["doc_id"].has_column_index and by_name["ids.list.element"].has_offset_index
 
 
+def test_a_range_reads_few_pages(spark):
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("text"), F.col("id"), F.md5(F.col("id").cast("string"))).alias("text")).coalesce(1)
+    manifest = token_files.write_tokens(many, new_path(spark, "pages"))
+    whole = {r.doc_id: (r.start, r.ids) for r in token_files.read_tokens(manifest).filter("doc_id between 9990 and 10009").collect()}
+    some = token_files.read_tokens(manifest, low=9990, high=10009)
+    assert {r.doc_id: (r.start, r.ids) for r in some.collect()} == whole and len(whole) == 20
+
+    noted = []
+    plan = some._jdf.queryExecution().executedPlan()
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        elif node.nodeName().startswith("Scan parquet") and "ids" in node.schema().simpleString():
+            noted.append(node.metrics().apply("numOutputRows").value())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert 20 <= sum(noted) <= 3 * token_files.PAGE_ROWS, noted
+
+
 @pytest.mark.parametrize("open_bins", [1, 3, 64])
 def test_packer_is_best_fit(open_bins):
     r = random.Random(open_bins)
