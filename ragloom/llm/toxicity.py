@@ -28,7 +28,7 @@ LEAST_TEXTS, LEAST_CHI2 = 3, 8.0
 #: how many times as many as chance gives, and the pair's least chi-square against the label.
 EXPLAINED, PAIR_TEXTS, PAIR_LIFT, PAIR_CHI2 = 0.5, 5, 4.0, 40.0
 #: Pairs that are counted together.
-PAIRS_TOGETHER = 4 << 20
+PAIRS_TOGETHER = 1 << 20
 FACTORS, EPOCHS, RATE, SHRINK = 8, 12, 0.1, 1e-5
 THRESHOLD = 0.3
 REMEMBERED_WORDS = 400_000
@@ -139,6 +139,8 @@ def _pair_terms(at: np.ndarray, of: np.ndarray, enough: np.ndarray, seen: np.nda
     codes, counts = merged()
     x, y = codes // terms_, codes % terms_
     likely = (counts >= PAIR_TEXTS) & (counts >= PAIR_LIFT * left.sum() * seen[x] * seen[y] / n**2)
+    if not likely.any():
+        return np.zeros(terms_, bool)
     by_term = np.argsort(at, kind="stable")
     starts = np.searchsorted(at[by_term], np.arange(terms_ + 1))
     found = np.zeros(terms_, bool)
@@ -210,8 +212,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     texts_ = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     chosen = texts_.join(F.broadcast(sample), "id")  # at most ``rows`` ids
     out = with_results(chosen, "text", [], compute, "terms array<int>, label int", extra=("label",)).select("out.*").toArrow()
-    lists = out.column("terms").combine_chunks()
-    return [np.asarray(x, np.int64) for x in lists.to_pylist()], out.column("label").to_numpy().astype(float)
+    lists = [x for chunk in out.column("terms").chunks for x in np.split(chunk.flatten().to_numpy(), np.diff(chunk.offsets.to_numpy()).cumsum()[:-1])]
+    return lists, out.column("label").to_numpy().astype(float)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS) -> Machine:
