@@ -16,8 +16,8 @@ import numpy as np
 
 from .common import memory
 
-#: Units that a worker remembers, of up to so many characters: about 140 bytes each, 100 MB in all.
-REMEMBERED_UNITS = 700_000
+#: Units that a worker remembers, of up to so many characters: about 140 bytes each, 140 MB in all.
+REMEMBERED_UNITS = 1_000_000
 REMEMBERED_CHARS = 48
 UNITS_PER_CALL = 512
 SLICE_CHARS = 1 << 20
