@@ -70,13 +70,19 @@ class Packer:
         return number, self.capacity - free
 
 
+def id_bytes(vocabulary: str) -> int:
+    """Bytes of an id while pieces are moved: two where the vocabulary's numbers fit, else four."""
+    return 2 if encoder(public_tokenizers.path(vocabulary)).library.get_vocab_size() <= 1 << 16 else 4
+
+
 def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, ids`` of documents cut to at most ``capacity`` ids; ``ids`` are little-endian 32-bit integers in one binary value.
+    """``doc_id, piece, start, ids`` of documents cut to at most ``capacity`` ids; ``ids`` are little-endian integers of :func:`id_bytes` in one binary value.
 
     Only documents that are longer are cut; their first piece takes what full pieces leave. A null
     text is empty, so its one piece is the end id. Other columns are ignored; repeated rows stay.
     """
-    path, end = public_tokenizers.path(vocabulary), int(end_id).to_bytes(4, "little")
+    path, width = public_tokenizers.path(vocabulary), id_bytes(vocabulary)
+    end = int(end_id).to_bytes(width, "little")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
@@ -85,14 +91,14 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
             for i, j in groups(texts):
                 row, piece, start, ids = [], [], [], []
                 for k, packed in enumerate(tokens.encode(["" if t is None else t for t in texts[i:j]])):
-                    packed += end
-                    n = len(packed) // 4
+                    packed = (packed if width == 4 else np.frombuffer(packed, "<u4").astype("<u2").tobytes()) + end
+                    n = len(packed) // width
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                     for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
                         row.append(i + k)
                         piece.append(number)
                         start.append(a)
-                        ids.append(packed[4 * a : 4 * b])
+                        ids.append(packed[width * a : width * b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -100,8 +106,8 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
     return source.mapInArrow(tidied(each), f"doc_id {kind}, piece int, start long, ids binary")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """``sequence_id, ids, parts`` of the pieces ``doc_id, piece, start, ids``: each sequence's ids and the pieces in it, in order.
+def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, width: int = 4) -> DataFrame:
+    """``sequence_id, ids, parts`` of the pieces ``doc_id, piece, start, ids``: each sequence's ids, of ``width`` bytes, and the pieces in it, in order.
 
     ``items`` is read twice, so it should be a table. Pieces are dealt by a hash of document and number to packers
     of about :data:`PIECES_PER_PACKER` each; a packer's last open bins are its only loss against one
@@ -119,7 +125,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS)
             rows = [held.pop(b) for b in bins]
             offsets = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
             doc, piece, start, ids = zip(*(r for of in rows for r in of))
-            length = pa.array([len(x) // 4 for x in ids], pa.int32())
+            length = pa.array([len(x) // width for x in ids], pa.int32())
             parts = pa.StructArray.from_arrays([pa.array(doc, id_type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), length], ["doc_id", "piece", "start", "length"])
             joined = [b"".join(r[3] for r in of) for of in rows]
             return pa.RecordBatch.from_arrays([pa.array([base + b for b in bins], pa.int64()), pa.array(joined, pa.binary()), pa.ListArray.from_arrays(offsets, parts)], ["sequence_id", "ids", "parts"])
@@ -128,7 +134,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS)
         for batch in batches:
             id_type = batch.schema.field(0).type
             for r in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-                held.setdefault(packer.place(len(r[3]) // 4)[0], []).append(r)
+                held.setdefault(packer.place(len(r[3]) // width)[0], []).append(r)
                 if len(packer.closed) >= BINS_TOGETHER:
                     yield out(packer.closed, id_type)
                     packer.closed = []
@@ -141,7 +147,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS)
     return dealt.mapInArrow(tidied(each), f"sequence_id long, ids binary, parts array<struct<doc_id:{kind},piece:int,start:long,length:int>>")
 
 
-def places(sequences: DataFrame, with_ids: bool = False) -> DataFrame:
+def places(sequences: DataFrame, with_ids: bool = False, width: int = 4) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset`` of the pieces in ``sequences``, from the ids that stand there."""
     kind = sequences.schema["parts"].dataType.elementType["doc_id"].dataType.simpleString()
 
@@ -156,7 +162,9 @@ def places(sequences: DataFrame, with_ids: bool = False) -> DataFrame:
             offset = before[:-1] - np.repeat(before[ends[:-1] - ends[0]], np.diff(ends))
             data = np.repeat(np.arange(len(batch)), np.diff(ends)).tolist()
             ids = batch.column(1).to_pylist()
-            own = [ids[k][4 * a : 4 * (a + m)] for k, a, m in zip(data, offset.tolist(), n.tolist(), strict=True)]
+            own = [ids[k][width * a : width * (a + m)] for k, a, m in zip(data, offset.tolist(), n.tolist(), strict=True)]
+            if width == 2:
+                own = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in own]
             columns = [doc, piece, start, pa.array(n), pa.array([zlib.crc32(x) for x in own], pa.int64())]
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(np.frombuffer(b"".join(own), "<i4"))))
@@ -173,11 +181,11 @@ def pack_sequences(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_i
     Rows with a null id, repeated rows and empty texts are packed as any others. An empty table gives an empty result.
     """
     cut = written(pieces(docs, vocabulary, end_id, capacity, id_col, text_col), "pieces")
-    sequences = written(pack(cut, capacity, open_bins), "sequences")
+    sequences = written(pack(cut, capacity, open_bins, id_bytes(vocabulary)), "sequences")
     forget(cut)
     return sequences
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of ``docs`` with their place in the sequences of :func:`pack_sequences`, read back from these; see :func:`places`."""
-    return places(pack_sequences(docs, vocabulary, end_id, capacity, open_bins, id_col, text_col), with_ids)
+    return places(pack_sequences(docs, vocabulary, end_id, capacity, open_bins, id_col, text_col), with_ids, id_bytes(vocabulary))
