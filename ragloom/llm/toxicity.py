@@ -212,7 +212,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     texts_ = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     chosen = texts_.join(F.broadcast(sample), "id")  # at most ``rows`` ids
     out = with_results(chosen, "text", [], compute, "terms array<int>, label int", extra=("label",)).select("out.*").toArrow()
-    lists = [x for chunk in out.column("terms").chunks for x in np.split(chunk.flatten().to_numpy(), np.diff(chunk.offsets.to_numpy()).cumsum()[:-1])]
+    lists = []
+    for chunk in out.column("terms").chunks:
+        values, at = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        lists += [values[a:b] for a, b in zip(at[:-1], at[1:])]
     return lists, out.column("label").to_numpy().astype(float)
 
 
