@@ -23,6 +23,8 @@ VALUES_PER_TASK = 6 << 20
 LOW_WIDTH, HIGH_WIDTH = 2.5, 2.5
 #: Distances below this (in nats) count as this, so that uniform languages keep wide bands.
 LEAST_DISTANCE = 0.02
+#: Log perplexities (in nats) are counted by steps of this for the bands.
+BAND_STEP = 1e-4
 #: Variance of a symbol's log probability, for the chance variation.
 SYMBOL_VARIANCE = 1.0
 WINDOW = 8
@@ -106,9 +108,15 @@ def score(docs: DataFrame, values: DataFrame, keep: list[str], lang_col: str = "
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """``lang_id, middle, below, above``: median log perplexity of each language and its distances, from all its documents."""
-    p = F.percentile_approx("log_perplexity", F.array(*map(F.lit, (0.16, 0.5, 0.84))), 2000)
-    of = scored.groupBy("lang_id").agg(p.alias("p"))
+    """``lang_id, middle, below, above``: median log perplexity of each language and its distances, from all its documents.
+
+    Documents are counted by steps of :data:`BAND_STEP` first. So a language is few rows, however large it is, and its band is
+    the same whatever the partitions and the order in which tasks end.
+    """
+    step = F.round(F.col("log_perplexity") / BAND_STEP).cast("long").alias("step")
+    counted = scored.filter("log_perplexity is not null").groupBy("lang_id", step).count()
+    p = F.transform(F.percentile("step", F.array(*map(F.lit, (0.16, 0.5, 0.84))), F.col("count")), lambda x: x * BAND_STEP)
+    of = counted.groupBy("lang_id").agg(p.alias("p"))
     least = F.lit(LEAST_DISTANCE)
     return of.select("lang_id", F.col("p")[1].alias("middle"), F.greatest(least, F.col("p")[1] - F.col("p")[0]).alias("below"), F.greatest(least, F.col("p")[2] - F.col("p")[1]).alias("above"))
 
