@@ -83,3 +83,16 @@ def test_languages_have_their_own_bands(spark):
     alone = {r.row.doc_id: r.perplexity for r in quality.judge(docs.filter("lang = 'ro'"), keep=["doc_id"]).collect()}
     assert {r.row.doc_id: round(r.perplexity, 6) for r in rows if r.row.lang == "ro"} == {i: round(x, 6) for i, x in alone.items()}
     assert sum(r.kept for r in rows if r.row.lang == "ro") > 15
+
+
+def test_bands_do_not_move_with_partitions(spark):
+    r = random.Random(5)
+    logs = [(k % 2, r.gauss(1.5, 0.05)) for k in range(20_000)]
+    scored = spark.createDataFrame([*logs, (0, None), (2, None)], "lang_id long, log_perplexity double")
+    found = [{b.lang_id: b for b in quality.bands(scored.repartition(n)).collect()} for n in (1, 7)]
+    assert found[0] == found[1] and set(found[0]) == {0, 1}
+    for lang, b in found[0].items():
+        own = sorted(x for k, x in logs if k == lang)
+        exact = [own[round(p * (len(own) - 1))] for p in (0.16, 0.5, 0.84)]
+        assert (b.middle, b.below, b.above) == pytest.approx((exact[1], exact[1] - exact[0], exact[2] - exact[1]), abs=3e-4)
+    assert not quality.bands(scored.limit(0)).collect()
