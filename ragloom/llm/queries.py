@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, jaccard_join, quality, toxicity, url_lists, warc
+from . import decontamination, fill_in_middle, html_extraction, jaccard_join, license_scan, quality, spelling_variants, toxicity, url_lists, warc
 from .common import new_path, table
 from .oracles import ORACLE_SQL  # noqa: F401
 from .packing import pack_documents
@@ -71,7 +71,36 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(spelling_variants.count_words(table(spark, sf_dir, "documents"), slip_every=199))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counts = [f"out.{c}" for c in ("n_words", "n_base", "first_word", "last_word")]
+    return found.select("row.doc_id", *counts, F.array_join("out.base_labels", ",").alias("base_labels"), F.array_join("out.labels", ",").alias("labels"), "out.score")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return fill_in_middle.digests(made).select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_url_lists, op3_jaccard_join, op4_token_files, op5_decontamination, op6_html_extraction, op7_quality_rules, op8_toxicity, op9_warc, op10_best_fit_packing)
+    for f in (
+        op1_token_counts,
+        op2_url_lists,
+        op3_jaccard_join,
+        op4_token_files,
+        op5_decontamination,
+        op6_html_extraction,
+        op7_quality_rules,
+        op8_toxicity,
+        op9_warc,
+        op10_best_fit_packing,
+        op11_spelling_variants,
+        op12_license_scan,
+        op13_fill_in_middle,
+    )
 }
