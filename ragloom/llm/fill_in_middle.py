@@ -12,6 +12,7 @@ import hashlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -46,6 +47,11 @@ def pieces(parts: Iterable[bytes], size: int) -> Iterator[bytes]:
         yield rest
 
 
+def n_chars(data: bytes) -> int:
+    """Code points that begin in UTF-8 bytes; they may be cut anywhere."""
+    return int(np.count_nonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80))
+
+
 class Frames:
     """Compressed frames with cumulative counts; the frame that was read last stays decompressed."""
 
@@ -60,7 +66,7 @@ class Frames:
         for piece in pieces(parts, size):
             data.append(compressor.compress(piece))
             bytes_.append(bytes_[-1] + len(piece))
-            chars.append(chars[-1] + len(piece.decode("utf-8", "replace")))
+            chars.append(chars[-1] + n_chars(piece))
             lines.append(lines[-1] + piece.count(b"\n"))
         return cls(data, bytes_, chars, lines)
 
@@ -89,7 +95,7 @@ class Frames:
         frame, at = self.frame(k), -1
         for _ in range(n - self.lines[k]):
             at = frame.find(b"\n", at + 1)
-        return self.bytes[k] + at + 1, self.chars[k] + len(frame[: at + 1].decode("utf-8", "replace"))
+        return self.bytes[k] + at + 1, self.chars[k] + n_chars(frame[: at + 1])
 
     def find(self, marker: bytes, start: int = 0) -> int:
         """The first place of ``marker`` from ``start`` on, also across frames; -1 if there is none."""

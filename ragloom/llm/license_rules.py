@@ -10,7 +10,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 #: Every match holds one of these, so a text without them needs no rules.
-STEMS = ("licen", "copyright", "warrant", "redistribut", "permission", "public domain", "creative commons", "gnu ", "copyleft", "rights reserved", "unencumbered", "terms of")
+STEMS = ("licen", "copyright", "warrant", "redistribut", "permission", "public domain", "creative commons", "gnu ", "copyleft", "rights reserved", "unencumbered", "terms of", "gpl", "wtfpl")
 #: Words that the longest match may have.
 MOST_WORDS = 64
 #: How sure a detection of each tier is.
@@ -63,7 +63,7 @@ zlib | zlib | 1 | spdx license identifier zlib
 bsl-1.0 | bsl | 1 | spdx license identifier bsl 1 0
 artistic-2.0 | artistic | 1 | spdx license identifier artistic 2 0
 ofl-1.1 | ofl | 1 | spdx license identifier ofl 1 1
-python-2.0 | python | 1 | spdx license identifier (?:python|psf) 2 0
+python-2.0 | python | 1 | spdx license identifier python 2 0
 ncsa | ncsa | 1 | spdx license identifier ncsa
 postgresql | postgresql | 1 | spdx license identifier postgresql
 busl-1.1 | busl | 1 | spdx license identifier busl 1 1
@@ -74,7 +74,7 @@ upl-1.0 | upl | 1 | spdx license identifier upl 1 0
 odbl-1.0 | odbl | 1 | spdx license identifier odbl 1 0
 mit | permission | 1 | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 mit | permission | 1 | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
-mit-0 | permission | 1 | to permit persons to whom the software is furnished to do so the software is provided as is without warranty of any kind
+mit-0 | furnished | 1 | to permit persons to whom the software is furnished to do so the software is provided as is without warranty of any kind
 warranty-disclaimer-mit | merchantability | 2 | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
 bsd-2-clause | redistribution | 1 | redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
 bsd-3-clause | endorse | 1 | neither the name of (?:\S+ ){1,12}nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission
@@ -122,7 +122,7 @@ apache-1.1 | apache | 2 | (?:licensed|released|distributed) under (?:the )?apach
 mit | mit | 2 | (?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?mit license
 mit | mit | 2 | this (?:project|software|work|code|package|library|repository) is (?:\S+ ){0,3}(?:licensed|under) (?:\S+ ){0,3}mit license
 mit | expat | 2 | (?:licensed|released|distributed) under the expat license
-bsd-2-clause | bsd | 2 | (?:licensed|released|distributed) under (?:the )?(?:simplified|2 clause|two clause|freebsd)(?: bsd)? license
+bsd-2-clause | bsd | 2 | (?:licensed|released|distributed) under (?:the )?(?:simplified|2 clause|two clause|free) bsd license
 bsd-3-clause | bsd | 2 | (?:licensed|released|distributed) under (?:the )?(?:new|modified|revised|3 clause|three clause) bsd(?: style)? license
 bsd-4-clause | bsd | 2 | (?:licensed|released|distributed) under (?:the )?(?:original|4 clause|four clause) bsd license
 bsd | bsd | 2 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the |a )?bsd(?: style)? license
@@ -210,7 +210,7 @@ bsl-1.0 | boost | 3 | boost software licen[cs]e(?: version)? 1 0
 cddl-1.0 | common development | 3 | common development and distribution licen[cs]e(?: cddl)?(?: version)? v?1 0
 cpl-1.0 | common public | 3 | common public licen[cs]e(?: version)? v?1 0
 ofl-1.1 | open font | 3 | (?:sil )?open font licen[cs]e(?: version)? 1 1
-cc0-1.0 | cc0 | 3 | creative commons (?:zero|cc0)(?: v?1 0)?(?: universal)?
+cc0-1.0 | creative commons | 3 | creative commons (?:zero|cc0)(?: v?1 0)?(?: universal)?
 cc-by-nc-sa | commercial | 4 | creative commons attribution non ?commercial share ?alike
 cc-by-nc-nd | commercial | 4 | creative commons attribution non ?commercial no ?derivatives
 cc-by-nc | commercial | 4 | creative commons attribution non ?commercial
