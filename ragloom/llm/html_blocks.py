@@ -6,24 +6,28 @@ import html
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 TAG_HASHES, WORD_HASHES = 512, 1024
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)
-      | <svg\b(?:"[^"]*+"|'[^']*+'|[^>"'])*+(?<=/)>
-      | <(?P<raw>script|style|template|textarea|title|iframe)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)
-      | <svg\b[^>]*+>(?:(?!<(?:p|div|h[1-6]|[uod]l|li|d[dt]|table|pre|blockquote|body|span)\b).)*?</svg\s*+>
-      | <select\b[^>]*+>(?:(?!<(?:select|input|textarea)\b).)*?</select\s*+>
-      | <noscript\b[^>]*+>(?:(?!<noscript\b).)*?</noscript\s*+>
-      | <(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>(?:"[^"]*+"|'[^']*+'|[^>"'])*+)>
-      | <[!?/][^>]*+>
-      | (?P<text>[^<]++|<)
-    """,
-    re.S | re.I | re.X,
-)
+_FLAGS = re.S | re.I
+# A tag whose attributes hold no "<": what nearly all are, and tried in no more time than it takes to reach the next one.
+_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:"[^"<]*+"|'[^'<]*+'|[^<>"'])*+)>""", _FLAGS)
+_TAG_START = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)", _FLAGS)
+_SPECIAL, _GREATER = re.compile(r"""[>"']"""), re.compile(">")
+_WHOLE = re.compile(r"<(script|style|template|textarea|title|iframe)\b", _FLAGS)
+_ENDS = {name: re.compile(rf"</{name}\s*+>", _FLAGS) for name in ("script", "style", "template", "textarea", "title", "iframe")}
+#: How something that is left out can begin; S and K have further forms when case is ignored.
+_ODD = frozenset("!stinſ")
+#: Elements that are left out if they are closed before one of these tags begins.
+_CLOSED = re.compile(r"<(svg|select|noscript)\b", _FLAGS)
+_STOPS = {
+    "svg": re.compile(r"</svg\s*+>|<(?P<stop>p|div|h[1-6]|[uod]l|li|d[dt]|table|pre|blockquote|body|span)\b", _FLAGS),
+    "select": re.compile(r"</select\s*+>|<(?P<stop>select|input|textarea)\b", _FLAGS),
+    "noscript": re.compile(r"</noscript\s*+>|<(?P<stop>noscript)\b", _FLAGS),
+}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -53,6 +57,97 @@ def word_hash(word: str) -> int:
     return zlib.crc32(word.lower().encode("utf-8", "replace")) % WORD_HASHES
 
 
+class _Scan:
+    """Texts and tags of a page, in time that grows with its length however broken it is: what a search found, or did not, is kept for later starts."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self._next: dict[re.Pattern, tuple[int, re.Match | None]] = {}
+        self._quotes: dict[int, int] = {}
+
+    def _search(self, pattern: re.Pattern, at: int) -> re.Match | None:
+        """The first match from ``at`` on; one that an earlier search found further on is it again."""
+        since, found = self._next.get(pattern, (-1, None))
+        if not 0 <= since <= at or (found is not None and found.start() < at):
+            found = pattern.search(self.source, at)
+            self._next[pattern] = (at, found)
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """The place of the ">" that ends the attributes from ``at``, outside quotes; -1 if there is none."""
+        passed, end = [], -1
+        while (mark := self._search(_SPECIAL, at)) is not None:
+            at = mark.start()
+            if mark[0] == ">":
+                end = at
+                break
+            if at in self._quotes:
+                end = self._quotes[at]
+                break
+            passed.append(at)
+            close = self.source.find(mark[0], at + 1)
+            if close < 0:
+                break
+            at = close + 1
+        for place in passed:
+            self._quotes[place] = end
+        return end
+
+    def _left_out(self, at: int) -> int:
+        """Where the comment, script, drawing or the like ends that begins at ``at``; -1 if none does."""
+        source = self.source
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            return len(source) if end < 0 else end + 3
+        closed = _CLOSED.match(source, at)
+        if closed and closed[1].lower() == "svg":
+            end = self._tag_end(closed.end())
+            if end > 0 and source[end - 1] == "/":
+                return end + 1
+        whole = _WHOLE.match(source, at)
+        if not whole and not closed:
+            return -1
+        mark = self._search(_GREATER, (whole or closed).end())
+        if mark is None:
+            return -1
+        if whole:
+            end_ = _ENDS[whole[1].lower()].search(source, mark.end())
+            return end_.end() if end_ else len(source)
+        end_ = self._search(_STOPS[closed[1].lower()], mark.end())
+        return end_.end() if end_ and not end_["stop"] else -1
+
+    def tokens(self) -> Iterator[tuple[str | None, str, str, str]]:
+        """``text, tag, close, attributes``: a text, or else a tag, with "/" if it closes."""
+        source, at = self.source, 0
+        while at < len(source):
+            start = source.find("<", at)
+            if start != at:
+                yield source[at : start if start > 0 else len(source)], "", "", ""
+                if start < 0:
+                    return
+            head = source[start + 1 : start + 3].lower()
+            end = self._left_out(start) if head[:1] in _ODD else -1
+            if end > 0:
+                at = end
+                continue
+            tag = _PLAIN_TAG.match(source, start)
+            if tag:
+                at = tag.end()
+                yield None, tag[2], tag[1], tag[3]
+                continue
+            tag = _TAG_START.match(source, start)
+            if tag and (end := self._tag_end(tag.end())) >= 0:
+                at = end + 1
+                yield None, tag[2], tag[1], source[tag.end() : end]
+                continue
+            mark = self._search(_GREATER, start + 2) if head[:1] in ("!", "?", "/") else None
+            if mark is not None:
+                at = mark.end()
+                continue
+            at = start + 1
+            yield "<", "", "", ""
+
+
 def blocks(source: str) -> list[Block]:
     """The leaf blocks of ``source`` in page order.
 
@@ -80,8 +175,7 @@ def blocks(source: str) -> list[Block]:
         opened.subtract(name for name, *_ in stack[k:])
         del stack[k:]
 
-    for token in _TOKEN.finditer(source):
-        text = token["text"]
+    for text, tag, closing, attributes in _Scan(source).tokens():
         if text is not None:
             if not pieces:
                 if text.isspace():
@@ -92,9 +186,6 @@ def blocks(source: str) -> list[Block]:
             if stack and stack[-1][2]:
                 linked += len(text.strip())
             continue
-        tag = token["tag"]
-        if tag is None:
-            continue
         tag = tag.lower()
         inline = tag in _INLINE
         if not inline:
@@ -105,7 +196,7 @@ def blocks(source: str) -> list[Block]:
             continue
         if tag in _VOID:
             continue
-        if token["close"]:
+        if closing:
             if opened[tag]:
                 close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
@@ -119,7 +210,7 @@ def blocks(source: str) -> list[Block]:
                 elif stack[k][0] not in _INLINE and stack[k][0] != "p":
                     break
         above, links = stack[-1][1:] if stack else (frozenset(), 0)
-        own = _tokens(tag, token["attributes"] or "")
+        own = _tokens(tag, attributes)
         stack.append((tag, above if above.issuperset(own) else above.union(own), links + (tag == "a")))
         opened[tag] += 1
     end()

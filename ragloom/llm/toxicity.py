@@ -27,8 +27,6 @@ LEAST_TEXTS, LEAST_CHI2 = 3, 8.0
 #: Terms that no single effect chooses are chosen in pairs: toxic texts that the others leave below EXPLAINED and that share the pair,
 #: how many times as many as chance gives, and the pair's least chi-square against the label.
 EXPLAINED, PAIR_TEXTS, PAIR_LIFT, PAIR_CHI2 = 0.5, 5, 4.0, 40.0
-#: Pairs that are counted together.
-PAIRS_TOGETHER = 1 << 20
 FACTORS, EPOCHS, RATE, SHRINK = 8, 12, 0.1, 1e-5
 THRESHOLD = 0.3
 REMEMBERED_WORDS = 400_000
@@ -113,43 +111,45 @@ def _chi2(found: np.ndarray, of: np.ndarray, rate: float) -> np.ndarray:
     return (found - expected) ** 2 / expected + (found - expected) ** 2 / (of - expected + 1e-9)
 
 
+def _rows_of(starts: np.ndarray, values: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the lists ``which`` one after the other, and the length of each list."""
+    sizes = starts[which + 1] - starts[which]
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(starts[which] - before, sizes) + np.arange(sizes.sum())], sizes
+
+
 def _pair_terms(at: np.ndarray, of: np.ndarray, enough: np.ndarray, seen: np.ndarray, labels: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Which terms are in a pair that tells the label, though each alone may not: looked for in the texts ``left``, counted in all."""
+    """Which terms are in a pair that tells the label, though each alone may not: looked for in the texts ``left``, counted in all.
+
+    The pairs of one term are counted at a time, so memory grows with the sample's terms and not with its pairs.
+    """
     n, terms_ = len(labels), len(enough)
     in_left = np.bincount(at[left[of]], minlength=terms_)
-    usable = enough & (in_left >= PAIR_TEXTS)
-    inside = left[of] & usable[at]
-    texts, own = of[inside], at[inside]
-    order = np.lexsort((own, texts))
-    texts, own = texts[order], own[order]
-    held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        codes, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        return codes, np.bincount(where, np.concatenate([h[1] for h in held]), len(codes)).astype(np.int64)
-
-    cuts = np.flatnonzero(np.r_[True, texts[1:] != texts[:-1], True]) if len(texts) else np.zeros(1, np.int64)
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        i, j = np.triu_indices(b - a, 1)
-        new = own[a:b][i].astype(np.int64) * terms_ + own[a:b][j]  # distinct and sorted
-        held.append((new, np.ones(len(new), np.int64)))
-        size += len(new)
-        if size > PAIRS_TOGETHER:
-            held, size = [merged()], 0
-    codes, counts = merged()
-    x, y = codes // terms_, codes % terms_
-    likely = (counts >= PAIR_TEXTS) & (counts >= PAIR_LIFT * left.sum() * seen[x] * seen[y] / n**2)
-    if not likely.any():
-        return np.zeros(terms_, bool)
-    by_term = np.argsort(at, kind="stable")
-    starts = np.searchsorted(at[by_term], np.arange(terms_ + 1))
-    found = np.zeros(terms_, bool)
-    rate = labels.sum() / n
-    for a, b in zip(x[likely].tolist(), y[likely].tolist()):
-        both = np.intersect1d(of[by_term[starts[a] : starts[a + 1]]], of[by_term[starts[b] : starts[b + 1]]], assume_unique=True)
-        if _chi2(labels[both].sum(), float(len(both)), rate) >= PAIR_CHI2:
-            found[[a, b]] = True
-    return found
+    usable = np.flatnonzero(enough & (in_left >= PAIR_TEXTS))
+    number = np.full(terms_, -1)
+    number[usable] = np.arange(len(usable))
+    at, of = number[at], of[number[at] >= 0]
+    at = at[at >= 0]
+    by_text, by_term = np.lexsort((at, of)), np.lexsort((of, at))
+    text_starts, term_starts = np.searchsorted(of[by_text], np.arange(n + 1)), np.searchsorted(at[by_term], np.arange(len(usable) + 1))
+    texts, terms_of = of[by_term], at[by_text]
+    seen, rate = seen[usable], labels.sum() / n
+    found = np.zeros(len(usable), bool)
+    for x in range(len(usable)):
+        mine = texts[term_starts[x] : term_starts[x + 1]]
+        counts = np.bincount(_rows_of(text_starts, terms_of, mine[left[mine]])[0], minlength=len(usable))
+        likely = (counts >= PAIR_TEXTS) & (counts >= PAIR_LIFT * left.sum() * seen[x] * seen / n**2)
+        likely[: x + 1] = False  # a pair is counted with its first term
+        if likely.any():
+            others, sizes = _rows_of(text_starts, terms_of, mine)
+            both, positive = np.bincount(others, minlength=len(usable)), np.bincount(others, np.repeat(labels[mine], sizes), len(usable))
+            telling = likely.copy()
+            telling[likely] = _chi2(positive[likely], both[likely].astype(float), rate) >= PAIR_CHI2
+            found |= telling
+            found[x] |= telling.any()
+    out = np.zeros(terms_, bool)
+    out[usable[found]] = True
+    return out
 
 
 def _used(at: np.ndarray, of: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,18 +200,19 @@ def _descend(at: np.ndarray, of: np.ndarray, chosen: np.ndarray, labels: np.ndar
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Terms and labels of a sample of at most ``rows`` labelled ids that are not held out."""
+    """Terms and labels of a sample of at most ``rows`` labelled ids that are not held out. Of repeated rows of an id one comes, the first by its terms."""
     named = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).dropna()
     eligible = named.filter(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) != 2)
     sample = eligible.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
 
-    def compute(texts: list[bytes], label: list[int]) -> list[pa.Array]:
+    def compute(texts: list[bytes], label: list[int], ids: list[str]) -> list[pa.Array]:
         found = [sorted({h for w in text_words(t) for h in terms(w)}) for t in texts]
-        return [pa.array(found, pa.list_(pa.int32())), pa.array(label, pa.int32())]
+        return [pa.array(found, pa.list_(pa.int32())), pa.array(label, pa.int32()), pa.array(ids, pa.string())]
 
     texts_ = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     chosen = texts_.join(F.broadcast(sample), "id")  # at most ``rows`` ids
-    out = with_results(chosen, "text", [], compute, "terms array<int>, label int", extra=("label",)).select("out.*").toArrow()
+    found = with_results(chosen, "text", [], compute, "terms array<int>, label int, id string", extra=("label", F.col("id").cast("string"))).select("out.*")
+    out = found.groupBy("id").agg(F.min(F.struct("terms", "label")).alias("first")).select("first.*").toArrow()  # so an id that is repeated is one row
     lists = []
     for chunk in out.column("terms").chunks:
         values, at = chunk.values.to_numpy(), chunk.offsets.to_numpy()
@@ -220,6 +221,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS) -> Machine:
+    """A machine of a sample of labelled rows (see :func:`training_rows`). Null ids and labels, and ids without a row, teach nothing; without toxic rows, or with
+    none but these, and from empty tables, all texts get one score. Other columns play no part."""
     found, of = training_rows(docs, labels, id_col, text_col, label_col, rows)
     order = sorted(range(len(found)), key=lambda i: (len(found[i]), found[i].tobytes(), of[i]))  # whatever order tasks end in
     return fit([found[i] for i in order], of[order])

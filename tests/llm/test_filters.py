@@ -343,3 +343,27 @@ def test_extraction_of_pages(spark):
         parts = [" ".join(html_.unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", body)]
         assert rows[r.page_id] == "\n\n".join(p for p in parts if p)
     assert html_extraction.extract(pages.limit(0)).count() == 0
+
+
+def test_pairs_of_long_unexplained_texts_stay_small():
+    import resource
+    import time
+
+    r = np.random.default_rng(2)
+    rows = [np.sort(r.choice(6000, 4000, replace=False)).astype(np.int64) for _ in range(60)]
+    labels = np.r_[np.ones(30), np.zeros(30)]
+    flat, of = np.concatenate(rows), np.repeat(np.arange(60), 4000)
+    seen = np.bincount(flat, minlength=6000).astype(float)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    found = toxicity._pair_terms(flat, of, np.ones(6000, bool), seen, labels, labels.astype(bool))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000 and time.perf_counter() - began < 60
+    # the same pairs one by one, for some first terms
+    sets, rate = [set(x.tolist()) for x in rows], 0.5
+    expected = set()
+    for x in range(0, 6000, 1500):
+        for y in range(x + 1, 6000):
+            both = [k for k in range(60) if x in sets[k] and y in sets[k]]
+            inside = sum(k < 30 for k in both)
+            if inside >= toxicity.PAIR_TEXTS and inside >= toxicity.PAIR_LIFT * 30 * seen[x] * seen[y] / 3600 and toxicity._chi2(float(inside), float(len(both)), rate) >= toxicity.PAIR_CHI2:
+                expected |= {x, y}
+    assert all(found[t] for t in expected)
