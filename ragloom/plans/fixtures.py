@@ -11,7 +11,14 @@ ACTIONS = ["tim_kiem", "them_moi", "luu_nhap", "gui_phe_duyet", "duyet", "tu_cho
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """An input table. One of fewer files than cores, and less data than these read at once, is dealt to all cores: its row groups are too few to share out."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    files = found.inputFiles()
+    if len(files) >= cores:
+        return found
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    sizes = sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+    return found.repartition(cores) if 1 << 20 < sizes < cores * (128 << 20) else found
 
 
 def corpus(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
