@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .versions import new_path
+
 COLUMNS = ["id", "row_seq", "document", "metadata", "embedding"]
 #: Metadata keys that are columns too, so that filters on them reach the files.
 HOISTED = ["source", "relative_path", "content_kind", "page", "slide", "row", "paragraph_index", "chunk_index", "slide_title", "action_kind", "instruction_role"]
@@ -24,38 +30,62 @@ def metadata_text(metadata: Column, key: str) -> Column:
 
 
 def hoisted(corpus: DataFrame) -> DataFrame:
-    """``corpus`` with the columns :data:`HOISTED`."""
-    return corpus.withColumns({k: metadata_value(F.col("metadata"), k) for k in HOISTED})
+    """``corpus`` with the columns :data:`HOISTED`: strings and numbers of the metadata as text, null for other values.
+
+    The metadata is parsed once, and the type of a value is its own, whatever else is nested in it. Metadata that does not parse so, as with one key twice,
+    is read by :func:`metadata_value`.
+    """
+    parsed = corpus.withColumn("_parsed", F.try_parse_json("metadata"))
+
+    def value(key: str) -> Column:
+        kind = F.schema_of_variant(F.variant_get("_parsed", f"$.{key}", "variant"))
+        own = F.when(kind.rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get("_parsed", f"$.{key}", "string"))
+        return F.when(F.col("_parsed").isNull(), metadata_value(F.col("metadata"), key)).otherwise(own)
+
+    return parsed.withColumns({k: value(k) for k in HOISTED}).drop("_parsed")
 
 
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 
 
-def create_if_missing(spark: SparkSession, path: str) -> DataFrame:
-    """The corpus at ``path``; an empty one is made there if there is none."""
-    empty(spark).write.mode("ignore").parquet(path)
-    return spark.read.schema(SCHEMA).parquet(path)
+def create_if_missing(spark: SparkSession, path: str, attempts: int = 10, wait: float = 5.0) -> DataFrame:
+    """The corpus at ``path``; an empty one is made there if there is none. What fails is tried again after ``wait`` seconds, ``attempts`` times in all."""
+    for attempt in range(1, attempts + 1):
+        try:
+            empty(spark).write.mode("ignore").parquet(path)
+            return spark.read.schema(SCHEMA).parquet(path)
+        except (PySparkException, Py4JError):
+            if attempt == attempts:
+                raise
+            time.sleep(wait)
+    raise ValueError("attempts must be positive")
 
 
-def upsert(corpus: DataFrame, rows: DataFrame, position: str = "position") -> DataFrame:
+def upsert(corpus: DataFrame, rows: DataFrame, position: str = "position", top: int | None = None) -> DataFrame:
     """``corpus`` with ``rows`` (id, document, metadata, embedding and the order ``position``) inserted or replaced by id.
 
-    Of rows with one id the last counts. Replaced rows keep their ``row_seq``; new ones continue it in the order of ``rows``. Null
+    Of rows with one id the last counts. Replaced rows keep their ``row_seq``; new ones continue it, or ``top``, in the order of ``rows``. Null
     metadata is ``{}``. The new rows' numbers come from counts of ranges, not from one sorted partition.
     """
     latest = rows.groupBy("id").agg(F.max_by(F.struct("document", F.coalesce("metadata", F.lit("{}")).alias("metadata"), "embedding", F.col(position).alias("_at")), position).alias("r"))
-    latest = latest.select("id", "r.*")
-    old = corpus.select("id", "row_seq")
-    placed = latest.join(old, "id", "left")
+    placed = _written(latest.select("id", "r.*").join(corpus.select("id", "row_seq"), "id", "left"), "placed")
     fresh = numbered(placed.filter("row_seq is null").drop("row_seq"), "_at", "id")
-    top = corpus.agg(F.coalesce(F.max("row_seq"), F.lit(0)).alias("top"))  # one row
-    added = fresh.crossJoin(F.broadcast(top)).select("id", (F.col("top") + F.col("number")).alias("row_seq"), "document", "metadata", "embedding")
+    if top is None:
+        top = corpus.agg(F.coalesce(F.max("row_seq"), F.lit(0))).first()[0]
+    added = fresh.select("id", (F.lit(top) + F.col("number")).cast("long").alias("row_seq"), "document", "metadata", "embedding")
     replaced = placed.filter("row_seq is not null").select("id", "row_seq", "document", "metadata", "embedding")
-    kept = corpus.join(latest.select("id"), "id", "left_anti").select("id", "row_seq", "document", "metadata", "embedding")
+    kept = corpus.join(placed.select("id"), "id", "left_anti").select("id", "row_seq", "document", "metadata", "embedding")
     return kept.unionByName(replaced).unionByName(added)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, so that what reads it twice reads the same."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def add_documents(corpus: DataFrame, ids: list[str], documents: list[str], embeddings: list[list[float]], metadatas: list[str] | None = None) -> DataFrame:
     """``corpus`` with a request's documents inserted or replaced. All lists have one length; missing metadata is ``{}``."""
     metadatas = ["{}"] * len(ids) if metadatas is None else metadatas
@@ -66,11 +96,10 @@ def add_documents(corpus: DataFrame, ids: list[str], documents: list[str], embed
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` with ``number`` from 1 in the order of ``order``, by ranges: each is sorted by itself and starts after those before it."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(*order)
-    ranked = parts.withColumn("_own", F.row_number().over(own))
-    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))
+    """``df`` with ``number`` from 1 in the order of ``order``, by ranges: each is sorted by itself and starts after those before it. The ranges are written once."""
+    parts = _written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ranked = parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ranked.join(F.broadcast(before), "_part").withColumn("number", F.col("_before") + F.col("_own")).drop("_part", "_own", "_n", "_before")
 

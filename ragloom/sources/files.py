@@ -227,13 +227,17 @@ def extension(path) -> object:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
 
-def read_documents(spark: SparkSession, folder: str, parsers: dict[str, Callable[[bytes, str], Rows]] | None = None) -> DataFrame:
-    """All documents of the files in ``folder``; files of other kinds, and broken ones, have none.
+PARSED = SCHEMA + ", error string"
+
+
+def parsed(files: DataFrame, parsers: dict[str, Callable[[bytes, str], Rows]] | None = None) -> DataFrame:
+    """``path, doc_no, document, metadata, error`` of files ``path, content``; files of other kinds have no rows.
 
-    ``parsers`` adds or replaces parsers by extension, as for PDF and images.
+    ``parsers`` adds or replaces parsers by extension, as for PDF and images. A file whose parser fails has what was read before, as with a stream of documents, and a
+    row with the error, without document. Content that is null is not read.
     """
     of = PARSERS | (parsers or {})
-    files = spark.read.format("binaryFile").load(folder).select("path", "content").filter(extension(F.col("path")).isin(list(of)))
+    some = files.filter(extension(F.col("path")).isin(list(of)) & F.col("content").isNotNull()).select("path", "content")
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -242,13 +246,19 @@ def read_documents(spark: SparkSession, folder: str, parsers: dict[str, Callable
                 rows = []
                 try:
                     for number, (text, metadata) in enumerate(of[name.rsplit(".", 1)[-1].lower()](bytes(content), name)):
-                        rows.append((path, number, text, json.dumps(metadata, ensure_ascii=False)))
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, csv.Error):
-                    pass  # what was read before stays, as with a stream of documents
+                        rows.append((path, number, text, json.dumps(metadata, ensure_ascii=False), None))
+                except Exception as failed:  # whatever a parser or its engine raises concerns its file alone
+                    rows.append((path, len(rows), None, None, f"{type(failed).__name__}: {failed}"))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["path", "doc_no", "document", "metadata"])
+                    yield pd.DataFrame(rows, columns=["path", "doc_no", "document", "metadata", "error"])
 
-    return files.mapInPandas(each, SCHEMA)
+    return some.mapInPandas(each, PARSED)
+
+
+def read_documents(spark: SparkSession, folder: str, parsers: dict[str, Callable[[bytes, str], Rows]] | None = None) -> DataFrame:
+    """All documents of the files in ``folder`` (see :func:`parsed`); of broken files, what was read before."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "content")
+    return parsed(files, parsers).filter("error is null").drop("error")
 
 
 def first_recognised(image: bytes, variants: list[Callable[[bytes], bytes]], languages: tuple[str, ...], recognise: Callable[[bytes, str], str]) -> str:

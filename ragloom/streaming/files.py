@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragloom.operators.corpus import delete, upsert
+from ragloom.functions.embedding import embed, hashed
+from ragloom.functions.text import chunk_id
+from ragloom.operators.chunking import UNSPLIT, number_chunks, split_documents
+from ragloom.operators.storage import Conflict, CorpusTable
+from ragloom.operators.versions import new_path
+from ragloom.sources.files import extension
+from ragloom.sources.files import parsed as parsed_files
 
 THROTTLE_SECONDS, MOST_RETRIES, RETRY_SECONDS, STABILITY_TRIES = 2.0, 3, 10.0, 5
 
@@ -81,49 +91,66 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", F.col("modificationTime").alias("modified"), "length")
 
 
-def replace_file(corpus: DataFrame, chunks: DataFrame, relative_path: str, source: str | None = None) -> DataFrame:
-    """``corpus`` with the chunks of a file replaced by ``chunks`` (id, document, metadata, embedding, position)."""
-    return upsert(delete(corpus, relative_path, source), chunks)
-
-
-class CorpusTable:
-    """A corpus in versions: a change is written as a new version, then the pointer moves; readers see whole versions only."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions")
-        self._fs = self._at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def version(self) -> int:
-        if not self._fs.exists(self._at):
-            return 0
-        return max((int(s.getPath().getName()) for s in self._fs.listStatus(self._at)), default=0)
-
-    def read(self) -> DataFrame:
-        from ragloom.operators.corpus import SCHEMA, empty
-
-        n = self.version()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{n}") if n else empty(self.spark)
-
-    def write(self, corpus: DataFrame) -> int:
-        n = self.version() + 1
-        corpus.write.mode("overwrite").parquet(f"{self.path}/v{n}")
-        self._fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(self._at, str(n)), True).close()
-        return n
+def prepared(files: DataFrame, parsers: dict | None = None, model: Callable[[list[str]], np.ndarray] = hashed, size: int = 600, overlap: int = 100) -> DataFrame:
+    """The chunks of files ``path, modified, length, content``, and a row for each file without any.
 
+    ``path, relative_path, source, error`` and ``id, document, metadata, embedding, position`` (null if a file has no content). Tables' rows and slides are chunks as they are,
+    other documents are split. A chunk's id is of its file's path, time and length and its number in the file; its metadata
+    has the path and that number too. Paths are relative to the folder, which is not searched deeper, so they are names.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    docs = parsed_files(files, parsers)
+    whole = extension(F.col("path")).isin(*UNSPLIT) | F.coalesce(F.get_json_object("metadata", "$.type").startswith("pptx_slide"), F.lit(False))
+    chunks = number_chunks(split_documents(docs.filter("error is null"), size, overlap, whole=whole))
+    about = files.select("path", "modified", "length").distinct()
+    placed = chunks.join(about, "path").withColumn("relative_path", name)
+    placed = placed.select(
+        "path",
+        chunk_id(F.col("relative_path"), F.col("modified"), F.col("length"), F.col("chunk_index")).alias("id"),
+        F.col("chunk").alias("document"),
+        F.concat(F.expr("substring(metadata, 1, length(metadata) - 1)"), F.lit(", "), F.expr("substring(to_json(named_struct('relative_path', relative_path, 'chunk_index', chunk_index)), 2)")).alias("metadata"),
+        F.struct("relative_path", "chunk_index").alias("position"),
+    )
+    errors = docs.filter("error is not null").groupBy("path").agg(F.first("error").alias("error"))
+    rows = about.select("path", name.alias("relative_path"), name.alias("source")).join(errors, "path", "left").join(embed(placed, "document", model=model), "path", "left")
+    return rows.select("path", "relative_path", "source", "error", "id", "document", "metadata", "embedding", "position")
+
+
+def ingest_stream(files: DataFrame, table: CorpusTable, prepare: Callable[[DataFrame], DataFrame], checkpoint: str, name: str = "files", most: int = MOST_RETRIES, wait: float = RETRY_SECONDS, keep: int = 2):
+    """A running query over a stream of files (see :func:`read_changes`): the chunks of each file of a batch replace its former ones.
+
+    ``prepare`` makes rows as :func:`prepared` does. Files that fail are tried again after ``wait`` seconds, ``most`` times; one that fails still keeps its former
+    chunks, and is listed in the folder ``failures`` of the table with its error. A batch is one version of the table, which knows the batches that it
+    has, so one that is repeated after a restart changes nothing; if another writer was first, the batch is put upon what that one wrote.
+    """
+    spark = table.spark
 
-def ingest_stream(files: DataFrame, table: CorpusTable, parse, checkpoint: str):
-    """A query that replaces the chunks of each new file. ``parse`` makes chunks (with relative_path, source) of a batch of files."""
+    def stable(df: DataFrame) -> DataFrame:
+        path = new_path(spark, "prepared")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
     def each(batch: DataFrame, number: int) -> None:
-        chunks = parse(batch).persist()
-        corpus = table.read()
-        gone = chunks.select("relative_path").distinct()
-        from ragloom.operators.corpus import metadata_value
-
-        kept = corpus.withColumn("relative_path", metadata_value(F.col("metadata"), "relative_path")).join(gone, "relative_path", "left_anti").drop("relative_path")
-        table.write(upsert(kept, chunks))
-        chunks.unpersist()
+        rows = stable(prepare(batch))
+        for _ in range(most):
+            failed = rows.filter("error is not null").select("path").distinct()
+            if failed.isEmpty():
+                break
+            time.sleep(wait)
+            again = stable(prepare(batch.join(failed, "path", "left_semi")))
+            rows = stable(rows.join(failed, "path", "left_anti").unionByName(again))
+        good = rows.filter("error is null")
+        failures = rows.filter("error is not null").select("path", "error").distinct()
+        if not failures.isEmpty():
+            failures.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{table.path}/failures")
+        if good.isEmpty():
+            return
+        while True:
+            try:
+                table.replace_files(good.filter("id is not null"), good.select("relative_path", "source"), batch=(name, number))
+                break
+            except Conflict:
+                time.sleep(0.1)
+        table.expire(keep)
 
     return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()

@@ -167,16 +167,6 @@ def test_ingestion_replaces_a_file(spark, tmp_path):
     found = {(sources.file_name(r.path), r.document, json.loads(r.metadata).get("row")) for r in docs.collect()}
     assert found == {("a.txt", "xin chào", None), ("b.csv", "Họ: Trần, Tên: An, B", 2), ("b.csv", "Họ: x", 4)}
 
-    def parse(batch):
-        name = F.regexp_extract("path", "[^/]+$", 0)
-        return batch.select(name.alias("id"), F.col("content").cast("string").alias("document"), F.to_json(F.struct(name.alias("relative_path"))).alias("metadata"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(1).alias("position"), name.alias("relative_path"))
-
-    table = files.CorpusTable(spark, str(tmp_path / "corpus"))
-    assert table.read().count() == 0
-    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(str(folder))
-    files.ingest_stream(stream, table, parse, str(tmp_path / "checkpoint")).awaitTermination(120)
-    assert {r.id for r in table.read().collect()} == {"a.txt", "b.csv"} and table.version() == 1
-
 
 def test_ledger_stability_and_retries(spark):
     at = datetime.datetime(2024, 1, 1)
