@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .versions import new_path
+from .versions import stable
 
 COLUMNS = ["id", "row_seq", "document", "metadata", "embedding"]
 #: Metadata keys that are columns too, so that filters on them reach the files.
@@ -69,7 +69,7 @@ def upsert(corpus: DataFrame, rows: DataFrame, position: str = "position", top:
     metadata is ``{}``. The new rows' numbers come from counts of ranges, not from one sorted partition.
     """
     latest = rows.groupBy("id").agg(F.max_by(F.struct("document", F.coalesce("metadata", F.lit("{}")).alias("metadata"), "embedding", F.col(position).alias("_at")), position).alias("r"))
-    placed = _written(latest.select("id", "r.*").join(corpus.select("id", "row_seq"), "id", "left"), "placed")
+    placed = stable(latest.select("id", "r.*").join(corpus.select("id", "row_seq"), "id", "left"), "placed")
     fresh = numbered(placed.filter("row_seq is null").drop("row_seq"), "_at", "id")
     if top is None:
         top = corpus.agg(F.coalesce(F.max("row_seq"), F.lit(0))).first()[0]
@@ -79,13 +79,6 @@ def upsert(corpus: DataFrame, rows: DataFrame, position: str = "position", top:
     return kept.unionByName(replaced).unionByName(added)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, so that what reads it twice reads the same."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def add_documents(corpus: DataFrame, ids: list[str], documents: list[str], embeddings: list[list[float]], metadatas: list[str] | None = None) -> DataFrame:
     """``corpus`` with a request's documents inserted or replaced. All lists have one length; missing metadata is ``{}``."""
     metadatas = ["{}"] * len(ids) if metadatas is None else metadatas
@@ -97,7 +90,7 @@ def add_documents(corpus: DataFrame, ids: list[str], documents: list[str], embed
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with ``number`` from 1 in the order of ``order``, by ranges: each is sorted by itself and starts after those before it. The ranges are written once."""
-    parts = _written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = stable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     ranked = parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .corpus import HOISTED, SCHEMA, hoisted, upsert
-from .versions import Conflict, Versions, new_path
+from .versions import Conflict, Versions, stable
 
 __all__ = ["BUCKETS", "Conflict", "CorpusTable"]
 
@@ -52,8 +52,8 @@ class CorpusTable:
         content = self._content(number)
         if batch and content["batches"].get(batch[0], -1) >= batch[1]:
             return number
-        own = self._stable(chunks.select("id", "document", "metadata", "embedding", "position"), "new-chunks")
-        gone = self._stable(files.select("relative_path", "source").distinct(), "files")
+        own = stable(chunks.select("id", "document", "metadata", "embedding", "position"), "new-chunks")
+        gone = stable(files.select("relative_path", "source").distinct(), "files")
         n = content["buckets"]
         hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
         place = F.when(F.col("relative_path").isNotNull(), hashed("relative_path")).otherwise(hashed("id"))
@@ -90,8 +90,3 @@ class CorpusTable:
     def expire(self, keep: int = 2) -> list[str]:
         """Deletes what only versions before the last ``keep`` hold."""
         return self.versions.expire(keep, lambda content: list(content["folders"].values()))
-
-    def _stable(self, df: DataFrame, name: str) -> DataFrame:
-        path = new_path(self.spark, name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)

@@ -69,21 +69,35 @@ MESSAGES = [
     "phe duyet", "xem o nao", "print in color", "inbox", "đường Đinh Tiên Hoàng", "Nút và bảng tìm kiếm trạng thái: số liệu " + "1234567." * 40, "ÀÉÎÕÜ ñ ç ß Ø",
 ]
 
-RECORDS = [
-    'Mã số ID: 20110123, Họ tên: Nguyễn Văn An, Email: an.nguyen@example.com, Lớp: CNTT1',
-    'Mã số ID: 20110124, Họ: Trần, Tên: Thị Bình, Email: binh@example.com, Lớp: CNTT2',
-    'MSSV: 20110125, Name: "Lê, Minh Châu", Mail: chau@example.com, Class: KT1',
-    "Ten sinh vien: Phạm Dung, Lop: KT2, Mã ID: 20110126",
-    "no record here", "a:, :b, c:d, C: e, c : f", 'x: "1, 2, y: 3, z: 4', "", "Địa chỉ thư điện tử: hoa@example.com, Họ và tên: Hoa Mai, Student ID: 20110127",
-]
-
-
 def messages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, m) for i, m in enumerate(MESSAGES)], "query_id int, text string")
 
 
-def records(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, m) for i, m in enumerate(RECORDS)], "record_id int, text string")
+#: Records of customers in four ways of writing them, and rows of parts, which have no person; odd ones among them.
+_CUSTOMER = """CASE c_custkey % 4
+    WHEN 0 THEN concat('Mã số ID: ', 20000000 + c_custkey, ', Họ tên: ', c_name, ', Email: c', c_custkey, '@example.com, Lớp: ', c_mktsegment)
+    WHEN 1 THEN concat('MSSV: ', 20000000 + c_custkey, ', Name: "', c_name, ', Lê Châu", Mail: ', CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE concat(c_custkey, '@example.org') END, ', Class: ', c_mktsegment)
+    WHEN 2 THEN concat('Ten sinh vien: ', c_name, ', Lop: ', c_mktsegment, ', Mã ID: ', 20000000 + c_custkey, ', Ghi chú: a:b, :x, y:')
+    ELSE concat('Địa chỉ thư điện tử: x', c_custkey, '@example.net, Họ: Trần, Tên: ', c_name, ', Student ID: ', 20000000 + c_custkey, ', Ho: another') END"""
+_PART = "concat('p_name: ', p_name, ', p_brand: ', p_brand, CASE WHEN p_partkey % 2 = 0 THEN ', x: \"1, 2, y: 3, z: 4' ELSE '' END)"
+RECORDS_SQL = f"records(record_id, text) AS (SELECT c_custkey * 2, {_CUSTOMER} FROM customer UNION ALL SELECT p_partkey * 2 + 1, {_PART} FROM part)"
+#: Questions of conversations: by id, by e-mail and name, by name alone, and what was said.
+_SAID = """CASE WHEN k % 5 = 0 THEN concat(20000000 + k % 400, ' là của ai?')
+    WHEN k % 5 = 1 THEN concat('Email của ', CASE WHEN k % 2 = 0 THEN 'customer#00000' ELSE 'Customer#000000' END, lpad(CAST(k % 300 AS STRING), 3, '0'), ' là gì')
+    WHEN k % 5 = 2 THEN concat('email cua Trần Customer#', lpad(CAST(k % 900 AS STRING), 9, '0'), '?')
+    WHEN k % 5 = 3 THEN concat('lê châu ', k, ' của ai, của #', lpad(CAST(k % 77 AS STRING), 9, '0'))
+    ELSE text END"""
+QUESTIONS_SQL = f"questions AS (SELECT k AS query_id, {_SAID.replace('STRING', 'VARCHAR')} AS text FROM (SELECT conv_id * 100 + turn AS k, text FROM conversations))"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("record_id"), F.expr(_CUSTOMER).alias("text"))
+    return customers.unionAll(table(spark, sf_dir, "part").select((F.col("p_partkey") * 2 + 1).alias("record_id"), F.expr(_PART).alias("text")))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), "text")
+    return said.select(F.col("k").alias("query_id"), F.expr(_SAID).alias("text"))
 
 
 def values_sql(name: str, rows: list[str], key: str) -> str:
@@ -92,7 +106,6 @@ def values_sql(name: str, rows: list[str], key: str) -> str:
 
 
 MESSAGES_SQL = values_sql("messages", MESSAGES, "query_id")
-RECORDS_SQL = values_sql("records", RECORDS, "record_id")
 
 
 def fold_sql(x: str) -> str:

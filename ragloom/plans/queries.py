@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ragloom.functions import generated, intent, structured, text
 from ragloom.functions.embedding import embed
 from ragloom.operators import answers, chunking, expansion, fulltext, search
+from ragloom.operators import records as record_answers
 from ragloom.operators.corpus import delete, metadata_value, upsert
 from ragloom.sources.files import clean_slide_text
 from ragloom.streaming import files
 
-from .fixtures import CORPUS_SQL, MESSAGES_SQL, RECORDS_SQL, corpus, fold_sql, messages, records, table
+from .fixtures import CORPUS_SQL, MESSAGES_SQL, QUESTIONS_SQL, RECORDS_SQL, corpus, fold_sql, messages, questions, records, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -449,17 +450,37 @@ _FIELDS_CTE = f"""quoted AS (SELECT record_id, string_split(text, '"') AS q FROM
 
 @query(f"WITH {RECORDS_SQL}, {_FIELDS_CTE} SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY pos) - 1 AS field_no, key, value FROM fields")
 def structured_rows(spark, sf_dir):
-    found = records(spark).select("record_id", F.posexplode(structured.fields(F.col("text"))).alias("field_no", "f"))
+    found = records(spark, sf_dir).select("record_id", F.posexplode(structured.fields(F.col("text"))).alias("field_no", "f"))
     return found.select("record_id", F.col("field_no").cast("long").alias("field_no"), "f.key", "f.value")
 
 
-@query()
+def _field_sql(name: str) -> str:
+    exact = ", ".join(f"list_filter(f, lambda x: x.key = '{a}')[1].value" for a in structured.FIELDS[name])
+    return f"coalesce({exact}, list_filter(f, lambda x: {' OR '.join(f"contains(x.key, '{a}')" for a in structured.FIELDS[name])})[1].value)"
+
+
+def _words_sql(folded: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({folded}, '{w}')" for w in words) + ")"
+
+
+_TAIL = "\\s+(.+?)(?:\\s+(?:là|la)\\s+gì|[?？])?$"
+_ANSWERS_SQL = f"""lists AS (SELECT record_id, list(struct_pack(key, value) ORDER BY pos) AS f FROM fields GROUP BY record_id),
+  found AS (SELECT record_id, {", ".join(f"{_field_sql(n)} AS {n}" for n in structured.FIELDS)} FROM lists),
+  people AS (SELECT record_id, student_id, coalesce(full_name, nullif(concat_ws(' ', nullif(trim(last_name), ''), nullif(trim(first_name), '')), '')) AS full_name, email, class_name FROM found),
+  said AS (SELECT *, {fold_sql('text')} AS folded, nullif(regexp_extract(text, '\\b\\d{{6,}}\\b'), '') AS number, trim(regexp_extract(text, '(?i)(?:email|mail|thư điện tử)\\s+(?:của|cua){_TAIL}', 1)) AS mail,
+    trim(regexp_extract(text, '(?i)(?:của|cua){_TAIL}', 1)) AS anyone FROM questions),
+  named AS (SELECT *, CASE WHEN regexp_matches(folded, 'email|mail|thu dien tu|cua ai|la ai') THEN CASE WHEN mail <> '' THEN mail WHEN anyone <> '' AND {fold_sql('anyone')} NOT IN ('ai', 'ai vay') THEN anyone END END AS name FROM said),
+  asked AS (SELECT *, {_words_sql('folded', structured.MAIL_WORDS)} AS asks_mail, {_words_sql('folded', structured.PERSON_WORDS)} OR number IS NOT NULL AS asks_person FROM named WHERE number IS NOT NULL OR name IS NOT NULL),
+  met AS (SELECT a.*, p.* FROM asked a JOIN people p ON CASE WHEN number IS NOT NULL THEN lower(trim(student_id)) = lower(number) ELSE trim(full_name) <> '' AND contains({fold_sql('full_name')}, {fold_sql('name')}) END),
+  replies AS (SELECT query_id, record_id, CASE WHEN asks_mail THEN CASE WHEN trim(email) <> '' THEN 'Email của ' || coalesce(full_name, name, '') || ' là ' || email || '.' ELSE '{structured.NO_MAIL}' END
+    WHEN asks_person THEN coalesce(nullif(concat_ws(', ', {", ".join(f"'{label}' || CASE WHEN trim({n}) <> '' THEN {n} END" for n, label in structured.PARTS.items())}), '') || '.', '{structured.NOT_FOUND}') END AS answer FROM met),
+  firsts AS (SELECT query_id, min(record_id) AS record_id, arg_min(answer, record_id) AS answer FROM replies WHERE answer IS NOT NULL GROUP BY query_id)
+SELECT query_id, record_id, coalesce(answer, '{structured.NOT_FOUND}') AS answer FROM (SELECT DISTINCT query_id FROM asked) LEFT JOIN firsts USING (query_id)"""
+
+
+@query(f"WITH {RECORDS_SQL}, {QUESTIONS_SQL}, {_FIELDS_CTE}, {_ANSWERS_SQL}")
 def structured_answer(spark, sf_dir):
-    asked = messages(spark).filter(structured.asks_for_record(F.col("text")))
-    met = asked.crossJoin(F.broadcast(records(spark).select("record_id", structured.person(F.col("text")).alias("who"))))
-    answers = met.select("query_id", "record_id", structured.answer_from(F.col("text"), F.col("who")).alias("answer"))
-    first = answers.groupBy("query_id").agg(F.min(F.when(F.col("answer").isNotNull(), F.struct("record_id", "answer"))).alias("best"))
-    return first.select("query_id", F.coalesce("best.answer", F.lit(structured.NOT_FOUND)).alias("answer"))
+    return record_answers.answers(questions(spark, sf_dir), record_answers.people(records(spark, sf_dir)))
 
 
 @query("""SELECT p_partkey AS key, nullif(concat_ws(', ', 'p_name: ' || nullif(trim(p_name), ''), 'p_brand: ' || nullif(trim(p_brand), ''), 'p_type: ' || nullif(trim(CASE WHEN p_partkey % 3 > 0 THEN p_type END), ''), 'p_size: ' || p_size), '') AS document, p_partkey + 1 AS row FROM part""")

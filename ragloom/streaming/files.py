@@ -14,7 +14,7 @@ from ragloom.functions.embedding import embed, hashed
 from ragloom.functions.text import chunk_id
 from ragloom.operators.chunking import UNSPLIT, number_chunks, split_documents
 from ragloom.operators.storage import Conflict, CorpusTable
-from ragloom.operators.versions import new_path
+from ragloom.operators.versions import stable
 from ragloom.sources.files import extension
 from ragloom.sources.files import parsed as parsed_files
 
@@ -123,22 +123,15 @@ def ingest_stream(files: DataFrame, table: CorpusTable, prepare: Callable[[DataF
     chunks, and is listed in the folder ``failures`` of the table with its error. A batch is one version of the table, which knows the batches that it
     has, so one that is repeated after a restart changes nothing; if another writer was first, the batch is put upon what that one wrote.
     """
-    spark = table.spark
-
-    def stable(df: DataFrame) -> DataFrame:
-        path = new_path(spark, "prepared")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     def each(batch: DataFrame, number: int) -> None:
-        rows = stable(prepare(batch))
+        rows = stable(prepare(batch), "prepared")
         for _ in range(most):
             failed = rows.filter("error is not null").select("path").distinct()
             if failed.isEmpty():
                 break
             time.sleep(wait)
-            again = stable(prepare(batch.join(failed, "path", "left_semi")))
-            rows = stable(rows.join(failed, "path", "left_anti").unionByName(again))
+            again = stable(prepare(batch.join(failed, "path", "left_semi")), "prepared")
+            rows = stable(rows.join(failed, "path", "left_anti").unionByName(again), "prepared")
         good = rows.filter("error is null")
         failures = rows.filter("error is not null").select("path", "error").distinct()
         if not failures.isEmpty():

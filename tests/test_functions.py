@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import generated, intent, structured, text
 from ragloom.operators import context
-from ragloom.plans.fixtures import MESSAGES, RECORDS
+from ragloom.plans.fixtures import MESSAGES
+
+RECORDS = [
+    'Mã số ID: 20110123, Họ tên: Nguyễn Văn An, Email: an.nguyen@example.com, Lớp: CNTT1',
+    'Mã số ID: 20110124, Họ: Trần, Tên: Thị Bình, Email: binh@example.com, Lớp: CNTT2',
+    'MSSV: 20110125, Name: "Lê, Minh Châu", Mail: chau@example.com, Class: KT1',
+    "Ten sinh vien: Phạm Dung, Lop: KT2, Mã ID: 20110126",
+    "no record here", "a:, :b, c:d, C: e, c : f", 'x: "1, 2, y: 3, z: 4', "", "Địa chỉ thư điện tử: hoa@example.com, Họ và tên: Hoa Mai, Student ID: 20110127",
+]
 
 
 def column(spark, values, f, kind="string"):
