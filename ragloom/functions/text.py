@@ -136,35 +136,55 @@ def cache_key(text: Column) -> Column:
     return trim_space(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
+#: Chunks that are found before their list is put to the others: lists of lists grow by fewer copies.
+GROUP = 64
+
+
 def chunks(text: Column, size: int = 600, overlap: int = 100) -> Column:
     """Overlapping chunks of ``text``, cut at spaces where one is near the end of the window.
 
     A text of at most ``size`` characters is one chunk as it is; else chunks are trimmed and blank ones left out. A blank text
-    has none. A cut advances by a quarter of ``size - overlap`` at least.
+    has none. A cut advances by a quarter of ``size - overlap`` at least. The text is cut into blocks of ``size`` once, and a window looks at two of
+    them, so a long text takes as much time for each chunk as a short one.
     """
     if size <= 0 or overlap < 0 or overlap > size // 2:
         raise ValueError(f"size {size} and overlap {overlap} do not fit")
     least = max((size - overlap) // 4, 1)
-    n = F.length(text)
-    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<string>")
 
-    def step(acc: Column, _: Column) -> Column:
-        at = acc["at"]
-        target = F.least(F.lit(size), n - at)
-        tail = F.substring(text, at + target - overlap + 1, F.lit(overlap)) if overlap else F.lit("")
+    def walked(cut: Column) -> Column:
+        blocks, n = cut["blocks"], cut["n"]  # counted once: a length is a walk through the text
 
-        def length(back: Column) -> Column:  # ``back``: place of the last space, counted from the window's end
-            cut = target - back
-            usable = (at + target < n) & (back > 0) & (cut > 0) & (cut >= overlap + least)
-            return F.when(usable, cut).otherwise(target)
+        def part(at: Column, length: Column) -> Column:  # at most ``size`` characters
+            k = F.floor(at / size).cast("int")
+            return F.substring(F.concat(F.get(blocks, k), F.coalesce(F.get(blocks, k + 1), F.lit(""))), at % size + 1, length)
 
-        def moved(taken: Column) -> Column:
-            piece = F.filter(F.array(trim_space(F.substring(text, at + 1, taken))), lambda p: p != "")
-            return F.struct((at + F.greatest(taken - overlap, F.lit(least))).alias("at"), (at + taken >= n).alias("done"), F.concat(acc["out"], piece).alias("out"))
+        def step(acc: Column, _: Column) -> Column:
+            at = acc["at"]
+            target = F.least(F.lit(size), n - at)
 
-        return F.when(acc["done"], acc).otherwise(once(once(F.instr(F.reverse(tail), " "), length), moved))
+            def length(window: Column) -> Column:
+                back = F.instr(F.reverse(F.right(window, F.lit(overlap))), " ") if overlap else F.lit(0)  # place of the last space, counted from the window's end
+                return once(back, lambda b: F.when((at + target < n) & (b > 0) & (target - b > 0) & (target - b >= overlap + least), target - b).otherwise(target))
 
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / least).cast("int")))
-    folded = F.aggregate(rounds, state, step, lambda acc: acc["out"])
-    none = F.array().cast("array<string>")
-    return F.when(is_blank(text), none).when(n <= size, F.array(text)).otherwise(folded)
+            def moved(window: Column) -> Column:
+                def taken(t: Column) -> Column:
+                    piece = F.filter(F.array(trim_space(F.substring(window, F.lit(1), t))), lambda p: p != "")
+                    return F.struct((at + F.greatest(t - overlap, F.lit(least))).alias("at"), (at + t >= n).alias("done"), F.concat(acc["out"], piece).alias("out"))
+
+                return once(length(window), taken)
+
+            return F.when(acc["done"], acc).otherwise(once(part(at, target), moved))
+
+        def group(acc: Column, _: Column) -> Column:
+            fresh = F.struct(acc["at"].alias("at"), acc["done"].alias("done"), none.alias("out"))
+            some = F.aggregate(F.sequence(F.lit(1), F.lit(GROUP)), fresh, step)
+            return F.when(acc["done"], acc).otherwise(once(some, lambda g: F.struct(g["at"].alias("at"), g["done"].alias("done"), F.concat(acc["out"], F.array(g["out"])).alias("out"))))
+
+        start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast("array<array<string>>").alias("out"))
+        rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / (least * GROUP)).cast("int")))
+        return F.aggregate(rounds, start, group, lambda acc: F.flatten(acc["out"]))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    whole = F.struct(blocks.alias("blocks"), F.length(text).alias("n"))
+    return F.when(is_blank(text), none).when(F.length(text) <= size, F.array(text)).otherwise(once(whole, walked))

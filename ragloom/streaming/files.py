@@ -15,8 +15,10 @@ from ragloom.functions.text import chunk_id
 from ragloom.operators.chunking import UNSPLIT, number_chunks, split_documents
 from ragloom.operators.storage import Conflict, CorpusTable
 from ragloom.operators.versions import stable
+from ragloom.sources.engines import Engines
 from ragloom.sources.files import extension
 from ragloom.sources.files import parsed as parsed_files
+from ragloom.sources.pictures import office_documents
 
 THROTTLE_SECONDS, MOST_RETRIES, RETRY_SECONDS, STABILITY_TRIES = 2.0, 3, 10.0, 5
 
@@ -91,15 +93,17 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", F.col("modificationTime").alias("modified"), "length")
 
 
-def prepared(files: DataFrame, parsers: dict | None = None, model: Callable[[list[str]], np.ndarray] = hashed, size: int = 600, overlap: int = 100) -> DataFrame:
+def prepared(files: DataFrame, parsers: dict | None = None, model: Callable[[list[str]], np.ndarray] = hashed, size: int = 600, overlap: int = 100, engines: Engines | None = None) -> DataFrame:
     """The chunks of files ``path, modified, length, content``, and a row for each file without any.
 
     ``path, relative_path, source, error`` and ``id, document, metadata, embedding, position`` (null if a file has no content). Tables' rows and slides are chunks as they are,
     other documents are split. A chunk's id is of its file's path, time and length and its number in the file; its metadata
-    has the path and that number too. Paths are relative to the folder, which is not searched deeper, so they are names.
+    has the path and that number too. Paths are relative to the folder, which is not searched deeper, so they are names. With ``engines`` the images within Word files and
+    presentations are read too.
     """
     name = F.element_at(F.split("path", "/"), -1)
-    docs = parsed_files(files, parsers)
+    office = extension(F.col("path")).isin("docx", "pptx")
+    docs = parsed_files(files.filter(~office), parsers).unionByName(office_documents(files.filter(office), engines)) if engines else parsed_files(files, parsers)
     whole = extension(F.col("path")).isin(*UNSPLIT) | F.coalesce(F.get_json_object("metadata", "$.type").startswith("pptx_slide"), F.lit(False))
     chunks = number_chunks(split_documents(docs.filter("error is null"), size, overlap, whole=whole))
     about = files.select("path", "modified", "length").distinct()

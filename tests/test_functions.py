@@ -169,3 +169,25 @@ def test_images(spark):
     assert [r[0] for r in df.select(role).collect()] == ["InlineIcon", "InlineIcon", "UnknownImage", "UiScreenshot", "UiScreenshot"]
     sizes = spark.createDataFrame([(2, 36), (10, 100), (80, 40), (20, 400)], "w int, h int")
     assert [r[0] for r in sizes.select(generated.skip_recognition(F.col("w"), F.col("h"))).collect()] == [True, True, False, True]
+
+
+def test_chunks_of_a_long_text_take_seconds(spark):
+    import random
+    import time
+
+    r = random.Random(3)
+    long_ = " ".join("𝕏é" * r.randrange(5) + "w" * r.randrange(9) for _ in range(260_000))
+    began = time.perf_counter()
+    made = spark.createDataFrame([(long_,)], "t string").select(F.explode(text.chunks(F.col("t"))).alias("c")).collect()
+    assert time.perf_counter() - began < 30 and len(long_) > 1_900_000
+    white = "\t\n\x0b\x0c\r \x85\xa0"
+    expected, at = [], 0
+    while True:  # one window after the other
+        target = min(600, len(long_) - at)
+        back = long_[at + target - 100 : at + target][::-1].find(" ") + 1
+        taken = target - back if at + target < len(long_) and back and target - back >= 225 else target
+        expected += [long_[at : at + taken].strip(white)] if long_[at : at + taken].strip(white) else []
+        if at + taken >= len(long_):
+            break
+        at += max(taken - 100, 125)
+    assert [x.c for x in made] == expected
