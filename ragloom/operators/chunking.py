@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ragloom.functions.text import chunks, filled_lines, fold, is_blank, lines, trim_space, useful_line
 
+from .versions import stable
+
 UNSPLIT = ("csv", "xlsx")
 
 
@@ -66,6 +68,35 @@ def near_duplicate_pairs(pieces: DataFrame, scope: str = "source", key: str = "i
     return both.filter(F.col("shared") >= F.greatest("n", "m") * ratio - 1e-9).select(scope, "a", "b", "shared", "n", "m")
 
 
+def near_duplicate_classes(pieces: DataFrame, scope: str = "source", key: str = "id", text: str = "document", least_lines: int = 4) -> DataFrame:
+    """``scope, key, class_key, n_lines``: chunks of a scope with equal sets of lines, ``least_lines`` or more, are one class, named by its smallest key."""
+    sets = pieces.select(scope, key, F.array_sort(line_set(F.col(text))).alias("lines")).filter(F.size("lines") >= least_lines)
+    digest = F.sha2(F.array_join("lines", "\n"), 256)  # a line holds no line end
+    slim = sets.select(scope, key, F.size("lines").alias("n_lines"), digest.alias("digest"))
+    firsts = slim.groupBy(scope, "digest").agg(F.min(key).alias("class_key"))
+    return slim.join(firsts, [scope, "digest"]).select(scope, key, "class_key", "n_lines")
+
+
+def near_duplicate_links(pieces: DataFrame, scope: str = "source", key: str = "id", text: str = "document", least_lines: int = 4, ratio: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The classes of :func:`near_duplicate_classes`, and the links between them: ``scope, a, b, shared, n, m``.
+
+    A class links by its first chunk, so many equal chunks are one row for each and no pair among them. The pairs of all chunks are those of linked classes and
+    those within a class; :func:`expanded` gives them.
+    """
+    classes = stable(near_duplicate_classes(pieces, scope, key, text, least_lines), "line-classes")
+    heads = pieces.join(classes.filter(F.col(key) == F.col("class_key")).select(scope, key), [scope, key], "left_semi")
+    return classes, near_duplicate_pairs(heads, scope, key, text, least_lines, ratio)
+
+
+def expanded(classes: DataFrame, links: DataFrame, scope: str = "source", key: str = "id") -> DataFrame:
+    """``scope, a, b``: all pairs of chunks that classes and links stand for, the smaller key first. There may be very many."""
+    member = classes.select(scope, "class_key", F.col(key).alias("member"))
+    within = member.join(member.withColumnRenamed("member", "other"), [scope, "class_key"]).filter("member < other").select(scope, F.col("member").alias("a"), F.col("other").alias("b"))
+    left, right = member.toDF(scope, "a", "x"), member.toDF(scope, "b", "y")
+    across = links.select(scope, "a", "b").join(left, [scope, "a"]).join(right, [scope, "b"]).select(scope, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return within.unionByName(across)
+
+
 def vision_budget(images: DataFrame, per_file: int, per_slide: int, file: str = "file", slide: str = "slide", order: str = "image_index") -> DataFrame:
     """``images`` with ``granted``: whether an eligible image is described. 0 means no limit.
 

@@ -287,6 +287,22 @@ def near_dup_pairs(spark, sf_dir):
     return both.filter(~(F.col("ta").eqNullSafe(F.col("tb")) & F.col("ka").eqNullSafe(F.col("kb")))).select("content_kind", "a", "b", "shared", "n", "m")
 
 
+_LINE_SETS = f"""sets AS (SELECT source, doc_id, list_sort(list_distinct(list_transform(list_filter(string_split_regex(coalesce(text, ''), '\\r\\n|\\r|\\n'), lambda x: trim(x) <> ''), lambda x: {fold_sql('x')}))) AS l FROM documents)"""
+
+
+@query(f"""WITH {_LINE_SETS}, long AS (SELECT source, doc_id, l FROM sets WHERE len(l) >= 4)
+SELECT source, doc_id, min(doc_id) OVER (PARTITION BY source, l) AS class_key, len(l) AS n_lines FROM long""")
+def near_dup_classes(spark, sf_dir):
+    return chunking.near_duplicate_classes(table(spark, sf_dir, "documents"), key="doc_id", text="text").select("source", "doc_id", "class_key", F.col("n_lines").cast("long").alias("n_lines"))
+
+
+@query(f"""WITH {_LINE_SETS}, heads AS (SELECT source, min(doc_id) AS doc_id, l FROM sets WHERE len(l) >= 4 GROUP BY source, l)
+SELECT a.source, a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.l, b.l)) AS shared, len(a.l) AS n, len(b.l) AS m
+FROM heads a JOIN heads b ON a.source = b.source AND a.doc_id < b.doc_id WHERE len(list_intersect(a.l, b.l)) >= 0.8 * greatest(len(a.l), len(b.l))""")
+def near_dup_links(spark, sf_dir):
+    return chunking.near_duplicate_links(table(spark, sf_dir, "documents"), key="doc_id", text="text")[1].select("source", "a", "b", *(F.col(c).cast("long").alias(c) for c in ("shared", "n", "m")))
+
+
 _CHUNKS_CTE = """walk(key, text, n, start0, taken, done, no) AS (
     SELECT key, text, length(text), 0, 0, false, -1 FROM texts WHERE length(text) > 600 AND regexp_matches(text, '\\S')
     UNION ALL
@@ -589,6 +605,19 @@ def context_text(spark, sf_dir):
     return answers.answer_contexts(chunks, asked)
 
 
+@query()
+def ask_messages(spark, sf_dir):
+    """Every message of every conversation, some of them questions about customers or what was named before, over documents and customers' records."""
+    chunks = corpus(spark, sf_dir).drop("embedding")
+    rows = records(spark, sf_dir).select(F.concat(F.lit("record_"), "record_id").alias("id"), (F.col("record_id") + 1000000000).alias("row_seq"), F.col("text").alias("document"), F.lit("records.csv").alias("source"), F.col("record_id").cast("string").alias("row"))
+    all_ = embed(chunks.unionByName(rows, allowMissingColumns=True), "document")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.timestamp_seconds(F.col("turn") * 60).alias("ts"), (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "text")
+    said = questions(spark, sf_dir).withColumnRenamed("text", "said").join(c, "query_id")
+    text_ = F.when(F.col("turn") % 7 == 3, "của ai").when(F.col("turn") % 7 == 5, "Xin chào").otherwise(F.col("said"))
+    told = answers.ask(all_, said.withColumn("text", text_))
+    return told.select("query_id", "effective", "outcome", "reply", F.md5("context").alias("context_digest"), "max_tokens", F.size("citations").alias("n_citations"))
+
+
 @query()
 def slide_text_clean(spark, sf_dir):
     from pyspark.sql.functions import pandas_udf

@@ -305,3 +305,33 @@ def test_add_documents(spark):
     assert sorted((r.id, r.row_seq, r.metadata) for r in one.collect()) == [("a", 1, "{}"), ("b", 2, "{}")]
     with pytest.raises(ValueError):
         corpus.add_documents(base, ["a"], [], [[1.0]])
+
+
+def test_near_duplicates_as_classes(spark):
+    body = "\n".join(f"line {k}" for k in range(5))
+    rows = [("s", f"k{i:02d}", body if i % 2 else "\n".join(reversed(body.split("\n")))) for i in range(20)]
+    rows += [("s", "n1", body.replace("line 4", "other")), ("t", "n2", body), ("s", "short", "a\nb"), ("s", "null", None)]
+    pieces = spark.createDataFrame(rows, "source string, id string, document string")
+    classes, links = chunking.near_duplicate_links(pieces, ratio=0.6)
+    assert {(r.source, r.class_key) for r in classes.collect()} == {("s", "k00"), ("s", "n1"), ("t", "n2")} and classes.count() == 22
+    assert [(r.a, r.b, r.shared, r.n, r.m) for r in links.collect()] == [("k00", "n1", 4, 5, 5)]
+    pairs = {(r.source, r.a, r.b) for r in chunking.near_duplicate_pairs(pieces, ratio=0.6).collect()}
+    assert {(r.source, r.a, r.b) for r in chunking.expanded(classes, links).collect()} == pairs and len(pairs) == 20 * 19 // 2 + 20
+
+
+def test_ask(spark):
+    at = lambda m: datetime.datetime(2024, 1, 1, 8) + datetime.timedelta(minutes=m)
+    texts = [
+        ("Mã số ID: 20110123, Họ tên: Nguyễn Văn An, Email: an@example.com, Lớp: CNTT1", {"source": "a.csv", "row": 2}),
+        ("Bước 1: mở hồ sơ. Bước 2: bấm duyệt.", {"source": "b.pptx", "content_kind": "instruction_text", "instruction_role": "procedure_steps", "action_kind": "duyet", "slide": 1}),
+        ("Màn hình có nút duyệt ở góc phải.", {"source": "b.pptx", "content_kind": "image_ui_description", "slide": 1}),
+    ]
+    chunks_ = embed(chunk_rows(spark, [(t, m, None) for t, m in texts]).drop("embedding"), "document")
+    said = [(1, 1, 1, at(0), "Xin chào"), (2, 1, 2, at(1), "20110123 là của ai?"), (3, 1, 3, at(2), "của ai"), (4, 1, 4, at(3), "Các bước duyệt hồ sơ"), (5, 2, 1, at(0), "Email của Trần Bình là gì"), (6, 2, 2, at(1), "của ai"), (7, 3, 1, at(0), None)]
+    rows = answers.ask(chunks_, spark.createDataFrame(said, "query_id int, conv_id int, turn int, ts timestamp, text string")).collect()
+    got = {r.query_id: r for r in rows}
+    assert {k: r.outcome for k, r in got.items()} | {6: None, 7: None} == {1: "greeting", 2: "record", 3: "record", 4: "context", 5: "record", 6: None, 7: None} and len(rows) == 7
+    person = "Mã số ID: 20110123, Họ tên: Nguyễn Văn An, Email: an@example.com, Lớp: CNTT1."
+    assert got[1].reply == answers.GREETING and got[2].reply == got[3].reply == person and got[3].effective == "20110123 là của ai"
+    assert got[4].reply is None and "bấm duyệt" in got[4].context and got[4].max_tokens >= 900 and "góc phải" in got[4].context
+    assert got[5].reply == "Mình chưa tìm thấy thông tin này trong tài liệu đã nạp." and {c.source for c in got[2].citations} >= {"a.csv"}
