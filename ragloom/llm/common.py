@@ -95,11 +95,18 @@ def give_back() -> None:
         pass
 
 
-def tidied(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``function`` for ``mapInArrow``, with :func:`give_back` at the end of each task."""
+def tidied(
+    function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], own: str | None = None, release: Callable[[], None] | None = None
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` for ``mapInArrow``. Before each task what this process keeps under other names than ``own`` goes; after it ``release`` lets go of what the
+    task held, and :func:`give_back` returns it: a process may be idle for long before it is used again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [n for n in _memories if n != own]:
+            del _memories[other]
         yield from function(batches)
+        if release:
+            release()
         give_back()
 
     return run
@@ -140,15 +147,15 @@ def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def with_results(docs: DataFrame, text_col: str, keep: list[str], compute: Callable[..., list[pa.Array]], fields: str, extra: tuple[str | Column, ...] = ()) -> DataFrame:
+def with_results(docs: DataFrame, text_col: str, keep: list[str], compute: Callable[..., list[pa.Array]], fields: str, extra: tuple[str | Column, ...] = (), **tidy) -> DataFrame:
     """One row ``row, text, out`` for each row of ``docs``.
 
     ``row`` is a struct of the columns ``keep`` but the text's own, ``text`` is the text if it is kept and
     else null, ``out`` is a struct of ``fields``. So names of columns never clash. ``compute`` gets the
-    texts of a batch as bytes (null: empty) and lists of the columns ``extra``, and returns an array for each field.
+    texts of a batch as bytes (null: empty) and lists of the columns ``extra``, and returns an array for each field. ``tidy`` is for :func:`tidied`.
     """
     source, schema = source_rows(docs, text_col, keep, fields, extra)
-    return source.mapInArrow(tidied(computing(compute, text_col in keep, schema["out"].dataType.names, len(extra))), schema)
+    return source.mapInArrow(tidied(computing(compute, text_col in keep, schema["out"].dataType.names, len(extra)), **tidy), schema)
 
 
 def source_rows(docs: DataFrame, text_col: str, keep: list[str], fields: str, extra: tuple[str | Column, ...] = ()) -> tuple[DataFrame, T.StructType]:

@@ -222,7 +222,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
         names = [sorted(of, key=lambda x: (x is None, x)) for of in items]
         return [pa.array(counts), pa.array(joined, _SPANS), pa.array(names, pa.list_(pa.string()))]
 
-    return with_results(docs, text_col, docs.columns if keep is None else keep, compute, _FIELDS)
+    return with_results(docs, text_col, docs.columns if keep is None else keep, compute, _FIELDS, own="benchmark tables")
 
 
 def n_hit() -> Column:

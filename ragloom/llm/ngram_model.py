@@ -200,6 +200,9 @@ class Model:
     def __setstate__(self, state):
         self.__init__(state)
 
+    def release(self) -> None:
+        self.held = None
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         if self.held is None:
             from pyarrow import dataset

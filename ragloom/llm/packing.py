@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return source.mapInArrow(tidied(each), f"doc_id {kind}, piece int, start long, ids binary")
+    return source.mapInArrow(tidied(each, own="encoders"), f"doc_id {kind}, piece int, start long, ids binary")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, width: int = 4) -> DataFrame:

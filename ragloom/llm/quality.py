@@ -98,7 +98,8 @@ def score(docs: DataFrame, values: DataFrame, keep: list[str], lang_col: str = "
         return computing(of, text_col in keep, names, 1)
 
     if values.count() <= VALUES_PER_TASK:
-        return source.mapInArrow(tidied(compute(ngram_model.Model(values._ragloom_path).find)), schema)
+        model = ngram_model.Model(values._ragloom_path)
+        return source.mapInArrow(tidied(compute(model.find), release=model.release), schema)
 
     def together(rows: pa.Table, find) -> pa.Table:
         batches = rows.select(["row", "text", "m"]).combine_chunks().to_batches(max_chunksize=4096)

@@ -140,4 +140,4 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.octet_length(f"`{text_col}`"), F.lit(0)).cast("long").alias("n_bytes"), F.col(f"`{text_col}`").alias("_text"))
-    return slim.mapInArrow(tidied(each), f"_id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("_id", id_col)
+    return slim.mapInArrow(tidied(each, own="token counters"), f"_id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("_id", id_col)

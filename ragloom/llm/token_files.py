@@ -85,7 +85,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{path}/{name}"]), pa.array([rows], pa.int64()), pa.array([start], pa.int64())], ["shard", "file", "n_rows", "n_tokens"])
 
     ordered = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(ordered.mapInArrow(tidied(each), MANIFEST), "token-manifest")
+    manifest = written(ordered.mapInArrow(tidied(each, own="encoders"), MANIFEST), "token-manifest")
     # one row for each shard, so the window without partitions is over few rows
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     return manifest.withColumn("before", F.coalesce(before, F.lit(0)))

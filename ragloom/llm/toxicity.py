@@ -240,4 +240,4 @@ def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None, text
     def compute(texts: list[bytes]) -> list[pa.Array]:
         return [pa.array([model.value.score(t) for t in texts], pa.float64())]
 
-    return with_results(docs, text_col, docs.columns if keep is None else keep, compute, "score double")
+    return with_results(docs, text_col, docs.columns if keep is None else keep, compute, "score double", release=lambda: model.value.words.clear())
