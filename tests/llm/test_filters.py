@@ -187,7 +187,7 @@ def test_held_out_labels_are_never_used(spark, docs):
 
     rows = [(i, 1) for i, *_ in ROWS]  # noqa: F405
     of, _ = toxicity.training_rows(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
-    assert len(of) == sum(crc32(str(i).encode()) % 4 != 2 for i, *_ in ROWS)  # noqa: F405
+    assert len(of) == len({i for i, *_ in ROWS if crc32(str(i).encode()) % 4 != 2})  # noqa: F405  # rows of one id come once
 
 
 # --- URL lists -------------------------------------------------------------------------------------------------------
