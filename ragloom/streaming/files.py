@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from ragloom.functions.embedding import embed, hashed
 from ragloom.functions.text import chunk_id
 from ragloom.operators.chunking import UNSPLIT, number_chunks, split_documents
 from ragloom.operators.storage import Conflict, CorpusTable
-from ragloom.operators.versions import stable
+from ragloom.operators.versions import stable as written
 from ragloom.sources.engines import Engines
 from ragloom.sources.files import extension
 from ragloom.sources.files import parsed as parsed_files
@@ -23,21 +26,91 @@ from ragloom.sources.pictures import office_documents
 THROTTLE_SECONDS, MOST_RETRIES, RETRY_SECONDS, STABILITY_TRIES = 2.0, 3, 10.0, 5
 
 
+def _runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.Table]:
+    """Rows that follow each other with equal ``columns``, as one table each."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        # the last row that waits, so that a run goes on over batches
+        joined = pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), rows]) if held else rows
+        differs = np.zeros(joined.num_rows - 1, bool)
+        for c in columns:
+            values = joined[c].combine_chunks()
+            differs |= pc.not_equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+        cuts = np.flatnonzero(differs) + (0 if held else 1)
+        at = 0
+        for cut in cuts.tolist():
+            yield pa.concat_tables([*held, rows.slice(at, cut - at)]).combine_chunks()
+            held, at = [], cut
+        held.append(rows.slice(at))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _next(times: np.ndarray, micros: int) -> np.ndarray:
+    """The first event ``micros`` or more after each one; itself if there is none."""
+    found = np.searchsorted(times, times + micros, "left")
+    return np.where(found < len(times), found, np.arange(len(times)))
+
+
 def throttled(events: DataFrame, seconds: float, path: str = "path", at: str = "ts", key: str = "event_id") -> DataFrame:
-    """Events that are accepted: a path's first, and those ``seconds`` or more after its last *accepted* one.
+    """Events that are accepted: a path's first, and those ``seconds`` or more after its last *accepted* one. Of equal times the smallest key comes first.
 
-    A fold over a path's events in order. The fold holds times and keys only; a path with very many events in one batch
-    should be read as a stream (:func:`throttle_stream`), where a path's state is one time.
+    Each event points to the next one that could be accepted after it, and doubling the pointers tells where a chain that enters a range of events leaves it. Ranges are
+    of all paths' events in order, so a path with very many of them is many ranges. What leaves one enters the next, and then the
+    chains are followed within all ranges at once. Events with a null path or time are left out.
     """
     micros = int(seconds * 1_000_000)
-    ordered = events.groupBy(path).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(key).alias("k")))).alias("e"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<t:bigint,k:bigint>>").alias("out"))
-
-    def step(acc, e):
-        taken = acc["last"].isNull() | (e["t"] - acc["last"] >= micros)
-        return F.when(taken, F.struct(e["t"].alias("last"), F.concat(acc["out"], F.array(F.struct(e["t"].alias("t"), e["k"].cast("long").alias("k")))).alias("out"))).otherwise(acc)
-
-    return ordered.select(path, F.explode(F.aggregate("e", start, step, lambda acc: acc["out"])).alias("x")).select(path, F.col("x.k").alias(key), F.timestamp_micros("x.t").cast("timestamp_ntz").alias(at))
+    rows = events.select(F.col(path).alias("p"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(key).alias("k")).filter("p is not null and t is not null")
+    time_ = F.timestamp_micros("t").cast("timestamp_ntz")
+    if micros <= 0:
+        return rows.select(F.col("p").alias(path), F.col("k").alias(key), time_.alias(at))
+    ranges = written(rows.repartitionByRange("p", "t", "k").withColumn("part", F.spark_partition_id()), "event-ranges")
+    ordered = lambda df: df.repartition("p", "part").sortWithinPartitions("p", "part", "t", "k")
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, "p", "part"):
+            times = run["t"].to_numpy()
+            leaves = _next(times, micros)
+            while (further := leaves[leaves]).tobytes() != leaves.tobytes():
+                leaves = further
+            # a chain enters at the first event that is late enough: no later than ``micros`` after the range begins
+            enter = np.arange(min(int(np.searchsorted(times, times[0] + micros, "left")) + 1, len(times)))
+            out = times[leaves[enter]]
+            last = np.flatnonzero(np.r_[out[1:] != out[:-1], True])
+            yield pa.RecordBatch.from_arrays([run["p"].combine_chunks().slice(0, 1), pa.array([run["part"][0].as_py()], pa.int32()), pa.array([times[enter[last]]], pa.list_(pa.int64())), pa.array([out[last]], pa.list_(pa.int64()))], ["p", "part", "until", "leaves"])
+
+    kind = ranges.schema["p"].dataType.simpleString()
+    passed = ordered(ranges).mapInArrow(through, f"p {kind}, part int, until array<bigint>, leaves array<bigint>")
+
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, "p"):
+            last, enters = None, []
+            for until, leaves in zip(run["until"].to_pylist(), run["leaves"].to_pylist()):
+                enters.append(last)
+                k = 0 if last is None else bisect_left(until, last + micros)
+                last = leaves[k] if k < len(leaves) else last
+            yield pa.RecordBatch.from_arrays([run["p"].combine_chunks(), run["part"].combine_chunks(), pa.array(enters, pa.int64())], ["p", "part", "last"])
+
+    lasts = passed.repartition("p").sortWithinPartitions("p", "part").mapInArrow(entered, f"p {kind}, part int, last bigint")
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, "p", "part"):
+            times, last = run["t"].to_numpy(), run["last"][0].as_py()
+            k = 0 if last is None else int(np.searchsorted(times, last + micros, "left"))
+            follow, taken = _next(times, micros).tolist(), []
+            while k < len(times):
+                taken.append(k)
+                if follow[k] == k:
+                    break
+                k = follow[k]
+            if taken:
+                yield from run.select(["p", "k", "t"]).take(pa.array(taken)).combine_chunks().to_batches()
+
+    found = ordered(ranges.join(lasts, ["p", "part"])).mapInArrow(chosen, f"p {kind}, k {ranges.schema['k'].dataType.simpleString()}, t bigint")
+    return found.select(F.col("p").alias(path), F.col("k").alias(key), time_.alias(at))
 
 
 def throttle_stream(events: DataFrame, seconds: float = THROTTLE_SECONDS, path: str = "path", at: str = "ts") -> DataFrame:
@@ -128,14 +201,14 @@ def ingest_stream(files: DataFrame, table: CorpusTable, prepare: Callable[[DataF
     has, so one that is repeated after a restart changes nothing; if another writer was first, the batch is put upon what that one wrote.
     """
     def each(batch: DataFrame, number: int) -> None:
-        rows = stable(prepare(batch), "prepared")
+        rows = written(prepare(batch), "prepared")
         for _ in range(most):
             failed = rows.filter("error is not null").select("path").distinct()
             if failed.isEmpty():
                 break
             time.sleep(wait)
-            again = stable(prepare(batch.join(failed, "path", "left_semi")), "prepared")
-            rows = stable(rows.join(failed, "path", "left_anti").unionByName(again), "prepared")
+            again = written(prepare(batch.join(failed, "path", "left_semi")), "prepared")
+            rows = written(rows.join(failed, "path", "left_anti").unionByName(again), "prepared")
         good = rows.filter("error is null")
         failures = rows.filter("error is not null").select("path", "error").distinct()
         if not failures.isEmpty():
