@@ -25,13 +25,13 @@ def plain(df):
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(entry_module._own.SQL))
 def test_against_sql(spark, duck, name):
-    found, expected = entry_module.queries()[name](spark, SF).toPandas(), duck.execute(entry_module.oracle_sql()[name]).df()
+    found, expected = entry_module._own.QUERIES[name](spark, SF).toPandas(), duck.execute(entry_module._own.SQL[name]).df()
     pd.testing.assert_frame_equal(plain(found), plain(expected), check_dtype=False)
 
 
-@pytest.mark.parametrize("name", sorted(k for k in entry_module._own.QUERIES if k not in entry_module.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(k for k in entry_module._own.QUERIES if k not in entry_module._own.SQL))
 def test_without_sql(spark, name):
     assert entry_module._own.QUERIES[name](spark, SF).count() > 0
 
