@@ -66,7 +66,8 @@ MESSAGES = [
     "lưu nháp", "tạo mới", "20110123 là của ai?", "MSSV 20110123", "Email của Nguyễn Văn An là gì", "email cua Tran Thi Binh?", "của ai", "là của ai", "ai vậy",
     "Xin chào", "hello", "Chào", "alo", "Lớp nào có sinh viên này", "hướng dẫn sử dụng menu", "layout cua giao dien", "Bước 1: mở màn hình. Bước 2: bấm nút. BƯỚC 3: lưu",
     "B1: mo\nB2: luu\nB1: xoa\nB2: dong", "Chuẩn bị. Buoc 1: a Buoc 2: b Buoc 1: c", "bước 12 : xong", "ab12345678cd 123456 9876543", "", "   ", "dinh kem file va dinh kem anh",
-    "phe duyet", "xem o nao", "print in color", "inbox", "đường Đinh Tiên Hoàng", "Nút và bảng tìm kiếm trạng thái: số liệu " + "1234567." * 40, "ÀÉÎÕÜ ñ ç ß Ø",
+    "phe duyet", "xem o nao", "print in color", "inbox", "đường Đinh Tiên Hoàng", "tạo mới rồi Từ chối", "chia sẻ, tu choi , tao moi",
+    "Nút và bảng tìm kiếm trạng thái: số liệu " + "1234567." * 40, "ÀÉÎÕÜ ñ ç ß Ø",
 ]
 
 def messages(spark: SparkSession) -> DataFrame:

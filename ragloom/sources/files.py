@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragloom.functions.text import FIRST_STEP, STEP, STEP_LINE
+
 SCHEMA = "path string, doc_no int, document string, metadata string"
 IMAGES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff")
 Rows = Iterator[tuple[str, dict]]
@@ -124,9 +126,8 @@ def clean_slide_text(text: str) -> str:
     return re.sub(r" *\n *", "\n", squeezed).strip()
 
 
-_STEP_LINE = re.compile(r"^\s*(?:Bước|Buoc|Step|B)\s*\d+\b", re.I)
-_STEPS = re.compile(r"\b(?:Bước|Buoc|B)\s*\d+\s*:", re.I)
-_FIRST = re.compile(r"\b(?:Bước|Buoc|B)\s*1\s*:", re.I)
+# the patterns of the Column functions; letters and digits of all scripts count here without a flag
+_STEP_LINE, _STEPS, _FIRST = (re.compile(p.replace("(?iU)", "(?i)")) for p in (STEP_LINE, STEP, FIRST_STEP))
 
 
 def slide_title(texts: list[str]) -> str | None:

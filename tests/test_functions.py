@@ -191,3 +191,17 @@ def test_chunks_of_a_long_text_take_seconds(spark):
             break
         at += max(taken - 100, 125)
     assert [x.c for x in made] == expected
+
+
+def test_plain_helpers_agree_with_columns(spark):
+    from ragloom.operators.context import folded
+    from ragloom.sources import files
+
+    r = random.Random(11)
+    words = ["Bước 1:", "bước 2 :", "BUOC 3:", "B1:", "B 1 :", "Step 4", "phê duyệt", "in", "In tờ trình", "tạo mới", "đính kèm", "Từ chối", "ủy quyền", "\n", "x", "Ⅻ", "ß", "É", "١:", "b١:", "inbox"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(9))) for _ in range(400)] + MESSAGES
+    t = F.col("t")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", text.fold(t).alias("f"), text.count_steps(t).alias("n"), text.is_step_line(t).alias("s"), text.procedure_blocks(t).alias("b"), intent.action_kind(t).alias("a")).collect()
+    for row in rows:
+        assert (row.f, row.n, row.a) == (folded(row.t), len(files._STEPS.findall(row.t)), files.action_of(row.t)), row.t
+        assert row.s == bool(files._STEP_LINE.search(row.t)) and row.b == files.procedure_blocks(row.t), row.t
