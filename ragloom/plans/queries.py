@@ -450,7 +450,12 @@ def repetition_lines(spark, sf_dir):
     return _texts(spark, sf_dir).select("key", generated.repeats_lines(F.col("text")).alias("repeats"))
 
 
-@query()
+@query(f"""WITH {_ALL_TEXTS}, l AS (SELECT key, {fold_sql('line')} AS x FROM (SELECT key, unnest(string_split_regex(text, '[\\r\\n]')) AS line FROM texts)),
+  most AS (SELECT key, max(n) AS n FROM (SELECT key, x, count(*) AS n FROM l WHERE x <> '' GROUP BY ALL) GROUP BY key),
+  s AS (SELECT key, text, {fold_sql('text')} AS f, right({fold_sql('text')}, 40) AS tail,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {fold_sql('x')}), lambda x: length(x) >= 35) AS s FROM texts)
+SELECT s.key, coalesce(length(text) >= 100 AND (coalesce(n, 0) >= 3 OR len(s) >= 4 AND len(list_filter(s, lambda x: x = s[-1])) >= 3 OR length(f) >= 80 AND strpos(substr(f, strpos(f, tail) + 40), tail) > 0), false) AS loops
+FROM s LEFT JOIN most USING (key)""")
 def repetition_loop(spark, sf_dir):
     return _texts(spark, sf_dir).select("key", generated.is_repetition_loop(F.col("text")).alias("loops"))
 
