@@ -75,6 +75,13 @@ def id_bytes(vocabulary: str) -> int:
     return 2 if encoder(public_tokenizers.path(vocabulary)).library.get_vocab_size() <= 1 << 16 else 4
 
 
+def _bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of all values of a binary column, one after another, and where each begins and the last one ends."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+    return memoryview(column.buffers()[2] or b"")[at[0] : at[-1]].tobytes(), at - at[0]
+
+
 def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, ids`` of documents cut to at most ``capacity`` ids; ``ids`` are little-endian integers of :func:`id_bytes` in one binary value.
 
@@ -82,24 +89,21 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
     text is empty, so its one piece is the end id. Other columns are ignored; repeated rows stay.
     """
     path, width = public_tokenizers.path(vocabulary), id_bytes(vocabulary)
-    end = int(end_id).to_bytes(width, "little")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in groups(texts):
-                row, piece, start, ids = [], [], [], []
-                for k, packed in enumerate(tokens.encode(["" if t is None else t for t in texts[i:j]])):
-                    packed = (packed if width == 4 else np.frombuffer(packed, "<u4").astype("<u2").tobytes()) + end
-                    n = len(packed) // width
-                    cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                        row.append(i + k)
-                        piece.append(number)
-                        start.append(a)
-                        ids.append(packed[width * a : width * b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "ids"])
+            for i, j in groups(batch.column(1)):
+                ids, ends = tokens.encode_column(batch.column(1).slice(i, j - i), end_id)
+                n = np.diff(ends)
+                count = -(-n // capacity)
+                row = np.repeat(np.arange(j - i), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = np.where(piece > 0, n[row] - (count[row] - piece) * capacity, 0)  # the first piece takes what full pieces leave
+                cuts = (width * np.append(ends[row] + start, ends[-1])).astype(np.int64)
+                packed = pa.py_buffer(np.ascontiguousarray(ids, "<u2" if width == 2 else "<i4"))
+                cut = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(cuts), packed]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), cut], ["doc_id", "piece", "start", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -133,7 +137,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
         id_type = pa.null()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for r in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+            data, at = _bytes(batch.column(3))
+            ids = [data[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
+            for r in zip(batch.column(0).to_pylist(), *(c.to_numpy().tolist() for c in batch.columns[1:3]), ids, strict=True):
                 held.setdefault(packer.place(len(r[3]) // width)[0], []).append(r)
                 if len(packer.closed) >= BINS_TOGETHER:
                     yield out(packer.closed, id_type)
@@ -160,14 +166,15 @@ def places(sequences: DataFrame, with_ids: bool = False, width: int = 4) -> Data
             sequence = np.repeat(batch.column(0).to_numpy(), np.diff(ends))
             before = np.concatenate([[0], np.cumsum(n)])
             offset = before[:-1] - np.repeat(before[ends[:-1] - ends[0]], np.diff(ends))
-            data = np.repeat(np.arange(len(batch)), np.diff(ends)).tolist()
-            ids = batch.column(1).to_pylist()
-            own = [ids[k][width * a : width * (a + m)] for k, a, m in zip(data, offset.tolist(), n.tolist(), strict=True)]
-            if width == 2:
-                own = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in own]
-            columns = [doc, piece, start, pa.array(n), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+            raw, at = _bytes(batch.column(1))
+            if (at != width * before[ends - ends[0]]).any():
+                raise ValueError("a sequence's ids are not as many as its pieces have")
+            ids = np.frombuffer(raw, "<u2" if width == 2 else "<i4").astype("<i4")  # of all pieces, as they follow each other
+            data = memoryview(ids).cast("B")
+            cuts = (4 * before).tolist()
+            columns = [doc, piece, start, pa.array(n), pa.array([zlib.crc32(data[a:b]) for a, b in zip(cuts, cuts[1:])], pa.int64())]
             if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(np.frombuffer(b"".join(own), "<i4"))))
+                columns.append(pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids)))
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names)
 

@@ -27,12 +27,6 @@ GROUP_IDS, PAGE_BYTES, PAGE_ROWS = 8 << 20, 256 << 10, 256
 MANIFEST = "shard int, file string, n_rows long, n_tokens long"
 
 
-def _list_array(packed: list[bytes]) -> pa.Array:
-    offsets = np.zeros(len(packed) + 1, np.int32)
-    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-
-
 def _writer(file, schema: pa.Schema):
     import pyarrow.parquet as pq
 
@@ -49,7 +43,6 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     manifest names the one that counts. ``before`` in the manifest is the number of ids in the shards before.
     """
     vocabulary_path = public_tokenizers.path(vocabulary)
-    end = int(end_id).to_bytes(4, "little")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -69,12 +62,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
             held.clear()
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in groups(texts):
-                packed = [p + end for p in tokens.encode(["" if t is None else t for t in texts[i:j]])]
-                n = np.array([len(p) // 4 for p in packed], np.int64)
-                held.append(pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(start + np.cumsum(n) - n), pa.array(n), _list_array(packed)], ["doc_id", "shard_start", "n_tokens", "ids"]))
-                start, rows = start + int(n.sum()), rows + j - i
+            for i, j in groups(batch.column(1)):
+                ids, ends = tokens.encode_column(batch.column(1).slice(i, j - i), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                held.append(pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(start + ends[:-1]), pa.array(np.diff(ends)), lists], ["doc_id", "shard_start", "n_tokens", "ids"]))
+                start, rows = start + len(ids), rows + j - i
                 if sum(len(h.column(3).values) for h in held) >= GROUP_IDS:
                     flush()
         if held:

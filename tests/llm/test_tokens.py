@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import *  # noqa: F403
 from pyspark.sql import functions as F
@@ -56,6 +57,27 @@ def test_ids_are_the_librarys(monkeypatch):
             assert [np.frombuffer(x, "<i4").tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_cuts_are_the_patterns(monkeypatch):
+    library = Tokenizer.from_file(BYTES)
+    r = random.Random(5)
+    alphabets = [" \n ab'stmdrevl.1", " \naé×÷ɏɐ¡\xa0ſ'sZ0", "<|endoftext|> \n'", "  \n\n\n a.", "aß÷×ÀÖØöøɏɐÿ \n,ʼ²½ª"]
+    texts = ["", *("".join(r.choice(a) for _ in range(r.randrange(16))) for a in alphabets for _ in range(1500)), "a<|endoftext|>b <|endoftext|>"]
+    texts += [" ".join(f"{c}x{c} y{c}z" for c in map(chr, range(k, k + 64))) for k in range(1, 0x3000, 64)]
+    for size in (1 << 20, 3):
+        monkeypatch.setattr(bpe_units, "SLICE_CHARS", size)
+        ids, ends = bpe_units.Encoder(BYTES).encode_column(pa.array([None, *texts]).slice(1), 7)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [library.encode(t, add_special_tokens=False).ids + [7] for t in texts]
+
+
+def test_each_pre_token_is_encoded_once():
+    library = Tokenizer.from_file(BYTES)
+    encoder = bpe_units.Encoder(BYTES)
+    encoder.encode([" thnt qorly, qorly.\nThnt's &&& x"])
+    encoder.library = encoder.bare = None  # nothing is left to ask
+    text = " qorly thnt's.\nThnt qorly &&& qorly,\nThnt x's qorly.\nThnt, &&& thnt"
+    assert np.frombuffer(encoder.encode([text])[0], "<i4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe_units, "REMEMBERED_UNITS", 50)
     encoder = bpe_units.Encoder(BYTES)
