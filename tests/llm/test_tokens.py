@@ -78,6 +78,12 @@ def test_each_pre_token_is_encoded_once():
     assert np.frombuffer(encoder.encode([text])[0], "<i4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_remembered_parts_are_pre_tokens():
+    encoder = bpe_units.Encoder(BYTES)
+    encoder.encode([f"so a{i}.\nB{k}, as" for i in range(30) for k in range(30)])
+    assert len(encoder.units) < 50  # not one for each of the pairs
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe_units, "REMEMBERED_UNITS", 50)
     encoder = bpe_units.Encoder(BYTES)
