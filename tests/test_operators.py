@@ -3,6 +3,7 @@
 import datetime
 import io
 import json
+import random
 import zipfile
 
 import numpy as np
@@ -73,6 +74,24 @@ def test_related_and_citations(spark, chunks):
     assert [r.id for r in expansion.related(same, hit, "image_ui_description", 5).collect()] == ["c1"]
 
 
+def test_related_takes_the_first_of_each_place_before_it_joins(spark):
+    r = random.Random(3)
+    rows = [("t", {"source": r.choice(["a", "b", " "]), "content_kind": "image_ui_description", **{k: r.randrange(4) for k in ("page", "slide", "paragraph_index") if r.random() < 0.6}}, None) for _ in range(300)]
+    own = chunk_rows(spark, rows)
+    hits = own.filter("row_seq % 37 = 0").withColumn("query_id", (F.col("row_seq") / 74).cast("int")).withColumn("rank", F.col("row_seq"))
+    met = expansion.related(own, hits, "image_ui_description", 7)
+    expected = set()
+    for q in {i // 74 for i in range(0, 300, 37)}:
+        at = [rows[i][1] for i in range(0, 300, 37) if i // 74 == q and rows[i][1]["source"] != " "]
+        places = [(m["source"], {k: m[k] for k in ("page", "slide", "paragraph_index") if k in m}) for m in at]
+        same = [i for i, (_, m, _) in enumerate(rows) if any(m["source"] == s and (not p or any(m.get(k) == v for k, v in p.items())) for s, p in places)]
+        expected |= {(q, i) for i in same[:7]}
+    assert {(x.query_id, x.row_seq) for x in met.collect()} == expected and len(expected) > 7
+    twice = expansion.related(own.unionAll(own), hits, "image_ui_description", 7)
+    assert sorted((x.query_id, x.row_seq) for x in twice.collect()) == sorted(expected)
+    assert "WindowGroupLimit [source" in met._jdf.queryExecution().optimizedPlan().toString()  # as many rows of a place as are asked for, however many lie there
+
+
 def test_procedures_by_former_name(spark):
     meta = {"content_kind": "instruction_text", "instruction_role": "procedure_steps", "source": "s"}
     rows = chunk_rows(spark, [("a", {**meta, "action_kind": "phe_duyet", "slide": 10}, None), ("b", {**meta, "action_kind": "duyet", "slide": 9}, None), ("c", {**meta, "action_kind": "in"}, None), ("d", {**meta, "action_kind": "duyet"}, None)])
