@@ -116,6 +116,15 @@ def test_append_and_fallback(spark):
     assert expansion.with_fallback(base, two).groupBy("query_id").count().count() == 2 and expansion.with_fallback(one, base).count() == 2
 
 
+def test_appended_texts_move_once(spark):
+    base = spark.createDataFrame([(1, 1, "a", "Tờ trình"), (1, 2, "b", None)], "query_id int, position int, id string, document string")
+    more = spark.createDataFrame([(1, 1, "c", "to  TRINH"), (1, 2, "d", None), (2, 1, "a", "mới")], base.schema)
+    met = expansion.append_new(base.repartition(3), more)
+    assert sorted((r.query_id, r.place, r.stage, r.id) for r in met.collect()) == [(1, 1, 0, "a"), (1, 2, 0, "b"), (2, 1, 1, "a")]
+    plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("hashpartitioning(query_id") == 1
+
+
 def line_chunk(names, **meta):
     return {"document": "\n".join(names), "content_kind": "instruction_text", **meta}
 
