@@ -363,3 +363,27 @@ def test_ask(spark):
     assert got[1].reply == answers.GREETING and got[2].reply == got[3].reply == person and got[3].effective == "20110123 là của ai"
     assert got[4].reply is None and "bấm duyệt" in got[4].context and got[4].max_tokens >= 900 and "góc phải" in got[4].context
     assert got[5].reply == "Mình chưa tìm thấy thông tin này trong tài liệu đã nạp." and {c.source for c in got[2].citations} >= {"a.csv"}
+
+
+def test_vectors_are_made_once_for_many_queries(spark, monkeypatch):
+    from pyspark.sql.functions import udf
+
+    made = spark.sparkContext.accumulator(0)
+
+    @udf("array<float>")
+    def vector(k):
+        made.add(1)
+        return [float(k % 7), float(k % 5), 1.0]
+
+    own = spark.range(60).select(F.concat(F.lit("c"), "id").alias("id"), vector("id").alias("embedding"), F.when(F.col("id") % 2 == 0, "x").alias("content_kind"))
+    asked = spark.createDataFrame([(i, [1.0 + i, 2.0, 0.5], [None, "x", "y"][i % 3]) for i in range(9)], "query_id int, embedding array<float>, kind string")
+    monkeypatch.setattr(search, "QUERIES_PER_PASS", 2)
+    found = {(r.query_id, r.id, r["rank"]) for r in search.vector_candidates(own, asked, 4).collect()}
+    assert made.value == 60
+    rows = {f"c{k}": (np.array([k % 7, k % 5, 1.0]), k % 2 == 0) for k in range(60)}
+    expected = set()
+    for i in range(9):
+        v, kind = np.array([1.0 + i, 2.0, 0.5]), [None, "x", "y"][i % 3]
+        near = sorted((round(1 - v @ w / np.linalg.norm(v) / np.linalg.norm(w), 6), c) for c, (w, x) in rows.items() if kind is None or (kind == "x" and x))
+        expected |= {(i, c, k) for k, (_, c) in enumerate(near[:4], 1)}
+    assert found == expected
